@@ -19,7 +19,7 @@ def _c(x) -> Column:
 # F1 -------------------------------------------------------------------------
 def ns_to_timestamp(ns) -> Column:
     """Epoch nanoseconds (long) -> TIMESTAMP (micro precision; ns are floored)."""
-    return F.timestamp_micros(F.floor(_c(ns) / F.lit(1000)).cast("long"))
+    return F.timestamp_micros(F.floor(_c(ns).cast("decimal(20,0)") / F.lit(1000)).cast("long"))
 
 
 # F2 -------------------------------------------------------------------------

@@ -102,7 +102,7 @@ def window_features(df: DataFrame, metrics: Sequence[str], *, node: Sequence[str
                     stats: Sequence[str] | None = None, label: str | None = None,
                     label_mode: str = "mode", corr: bool | Sequence[tuple[str, str]] = False,
                     extra: Sequence[Column] = (), chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
-                    keep: Sequence[str] = ()) -> DataFrame:
+                    keep: Sequence[str] = (), engine: str = "native") -> DataFrame:
     """Feature vectors of full windows of ``w`` rows, every ``step`` rows.
 
     Output: node keys, ``pos`` (end row), ``window_id``, ``<stat>_<metric>`` in
@@ -112,6 +112,13 @@ def window_features(df: DataFrame, metrics: Sequence[str], *, node: Sequence[str
     """
     part = [node] if isinstance(node, str) else list(node)
     stats = list(stats) if stats is not None else stat_names(numfeatures)
+    if engine == "pandas":
+        if extra or keep:
+            raise ValueError("extra/keep columns need engine='native'")
+        return _window_features_pandas(df, metrics, part, pos, w, step, stats, label, label_mode, corr,
+                                       chunk_rows or DEFAULT_CHUNK_ROWS)
+    if engine != "native":
+        raise ValueError("engine must be 'native' or 'pandas'")
     src = df
     wpart = list(part)
     if chunk_rows:
@@ -141,6 +148,32 @@ def window_features(df: DataFrame, metrics: Sequence[str], *, node: Sequence[str
     return out.select(*part, pos, wid, *[c for c in out.columns if c not in set(part) | {pos}])
 
 
+def _window_features_pandas(df, metrics, part, pos, w, step, stats, label, label_mode, corr,
+                            chunk_rows) -> DataFrame:
+    """Same output as the native plan; statistics from the numpy kernel, one
+    ``applyInPandas`` call per ``(node, chunk)`` group (bounded size)."""
+    from functools import partial
+
+    from pyspark.sql import types as T
+
+    from faultlens.operators.window_kernel import window_stats_frame
+
+    pairs = correlation_pairs(metrics) if corr is True else list(corr or [])
+    need = list(dict.fromkeys([*metrics, *[x for pr in pairs for x in pr]]))
+    src = chunked(df.select(*part, pos, *need, *([label] if label else [])), pos, w, chunk_rows)
+    fields = [df.schema[k] for k in part] + [T.StructField(pos, T.LongType()),
+                                              T.StructField("window_id", T.LongType())]
+    for m in metrics:
+        fields += [T.StructField(f"{s}_{m}", T.DoubleType()) for s in stats]
+    fields += [T.StructField(f"corr_{a}_{b}", T.DoubleType()) for a, b in pairs]
+    if label:
+        fields.append(T.StructField("label", T.IntegerType()))
+    fn = partial(window_stats_frame, keys=part, pos=pos, metrics=list(metrics), stats=stats, pairs=pairs,
+                 label=label, label_mode=label_mode, w=w, step=step, halo_col=HALO_COL)
+    return src.groupBy(*part, CHUNK_COL).applyInPandas(
+        lambda pdf: fn(pdf).reindex(columns=[f.name for f in fields]), schema=T.StructType(fields))
+
+
 def window_features_exploded(df: DataFrame, metrics: Sequence[str], *, node="node", pos: str = "pos",
                              w: int = 60, step: int = 60, stats: Sequence[str] = ("mean", "min", "max"),
                              label: str | None = None) -> DataFrame:

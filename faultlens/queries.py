@@ -219,6 +219,27 @@ register("w11_feature_vectors_big", _windows_sql(
     corr_pairs=features.correlation_pairs(tv.LINEITEM_METRICS), digits=4))(w11_feature_vectors_big)
 
 
+def w11_feature_vectors_big_pandas(spark, sf_dir):
+    """Same R1 configuration through the Arrow/numpy window kernel."""
+    out = features.window_features(_big(spark, sf_dir), tv.LINEITEM_METRICS, w=BIG_W, step=1, numfeatures=11,
+                                   label="label", label_mode="mode", corr=True, engine="pandas")
+    return round_doubles(out, 4)
+
+
+register("w11_feature_vectors_big_pandas", ORACLES["w11_feature_vectors_big"])(w11_feature_vectors_big_pandas)
+
+
+def w09_window_label_last_pandas(spark, sf_dir):
+    out = features.window_features(_small(spark, sf_dir), tv.EVENT_METRICS, w=SMALL_W, step=3, numfeatures=11,
+                                   label="fault", label_mode="last", engine="pandas")
+    return round_doubles(out, 6)
+
+
+register("w09_window_label_last_pandas", _windows_sql(["node_table"], "node_table", tv.EVENT_METRICS, SMALL_W, 3,
+                                                      STATS11, label="fault", label_mode="last"))(
+    w09_window_label_last_pandas)
+
+
 def w11_large_step_exploded(spark, sf_dir):
     """Large-step plan (step = w): rows copied into their windows, then groupBy."""
     out = features.window_features_exploded(_big(spark, sf_dir), tv.LINEITEM_METRICS, w=BIG_W, step=BIG_W,
@@ -358,3 +379,7 @@ def p01_sensors_in_node_list(spark, sf_dir):
 
 
 register("p01_sensors_in_node_list", ORACLES["j03_substring_semi_join"])(p01_sensors_in_node_list)
+
+
+# second batch (profiling, sampling, metrics, comparison) registers into the same dicts
+from faultlens import queries_ops  # noqa: E402,F401
