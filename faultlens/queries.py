@@ -383,3 +383,4 @@ register("p01_sensors_in_node_list", ORACLES["j03_substring_semi_join"])(p01_sen
 
 # second batch (profiling, sampling, metrics, comparison) registers into the same dicts
 from faultlens import queries_ops  # noqa: E402,F401
+from faultlens import queries_ml  # noqa: E402,F401
