@@ -9,11 +9,10 @@ Two plans:
 * ``method="window"``: ``row_number()`` over ``partitionBy(node)``. One shuffle,
   but a node is one task: a node holding a third of the data is a third of the
   job in one task.
-* ``method="range"``: range-partition on ``(node, order)`` so a hot node is cut
-  into many partitions, number rows inside each partition with
-  ``monotonically_increasing_id`` after a local sort, and add per-partition
-  offsets from a tiny ``(partition, node) -> count`` table (prefix sum).
-  No task ever holds more than one range partition.
+* ``method="range"``: nodes above ``max_group_rows`` rows are cut into buckets
+  at approximate quantiles of the first order column; rows are numbered inside
+  ``(node, bucket)`` and shifted by a prefix sum over the tiny bucket-count
+  table. No task holds more than about ``max_group_rows`` rows of one node.
 
 ``chunked`` then cuts every node into chunks of ``chunk_rows`` positions and
 copies the last ``w - 1`` rows of each chunk into the next one (a halo), so a
@@ -37,7 +36,7 @@ def _cols(xs) -> list:
 
 
 def add_positions(df: DataFrame, part_cols, order_cols, pos_col: str = "pos",
-                  method: str = "window", num_partitions: int | None = None) -> DataFrame:
+                  method: str = "window", max_group_rows: int = 1_000_000) -> DataFrame:
     """Add ``pos`` (long, 1-based) per ``part_cols`` ordered by ``order_cols``.
 
     ``order_cols`` must make rows unique inside a partition key; with ties the
@@ -49,28 +48,48 @@ def add_positions(df: DataFrame, part_cols, order_cols, pos_col: str = "pos",
         return df.withColumn(pos_col, F.row_number().over(w).cast("long"))
     if method != "range":
         raise ValueError(f"unknown method {method!r}")
+    if not all(isinstance(c, str) for c in part_cols + order_cols[:1]):
+        raise ValueError("range positions need named partition and first order columns")
+    return _range_positions(df, part_cols, order_cols, pos_col, max_group_rows)
 
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = part_cols + order_cols
-    s = (df.repartitionByRange(n, *keys)
-         .sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_rid", F.monotonically_increasing_id()))
-    # (partition, node) -> rows, first id; at most partitions + nodes rows.
-    names = [c if isinstance(c, str) else None for c in part_cols]
-    if any(x is None for x in names):
-        raise ValueError("range positions need named partition columns")
-    counts = s.groupBy("_pid", *names).agg(F.count(F.lit(1)).alias("_n"),
-                                           F.min("_rid").alias("_first"))
-    before = Window.partitionBy(*names).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # AQE turns this into a broadcast join when the runtime size of ``counts``
-    # is under the broadcast threshold; otherwise it stays a shuffled join.
-    out = s.join(counts.drop("_n"), on=["_pid", *names], how="inner")
-    out = out.withColumn(pos_col, (F.col("_off") + F.col("_rid") - F.col("_first") + 1).cast("long"))
-    return out.drop("_pid", "_rid", "_first", "_off")
+
+def _as_double(df: DataFrame, c: str) -> Column:
+    t = df.schema[c].dataType.typeName()
+    if t in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    return F.col(c).cast("double")
+
+
+def _range_positions(df: DataFrame, part: list, order: list, pos_col: str, max_group_rows: int) -> DataFrame:
+    """Split-safe numbering: a node with more than ``max_group_rows`` rows is cut
+    into buckets by approximate quantiles of its first order column; rows are
+    numbered inside ``(node, bucket)`` and shifted by the sizes of the earlier
+    buckets. Rows with equal first-key values share a bucket, so the global
+    order is kept. The cut table (one row per hot node) is checkpointed, so
+    every branch and every retried task sees the same cuts.
+    """
+    key = _as_double(df, order[0])
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > max_group_rows)
+    top = hot.agg(F.max("_n")).first()[0]  # scalar
+    x = df.withColumn("_k", key)
+    if top:
+        m = -(-int(top) // max_group_rows)  # buckets for the largest node
+        fr = [i / m for i in range(1, m)]
+        cuts = x.join(hot.select(*part), on=part, how="left_semi").groupBy(*part) \
+            .agg(F.percentile_approx("_k", fr, 10000).alias("_cuts")).checkpoint()
+        x = x.join(cuts, on=part, how="left")
+        bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_k"))), F.lit(0))
+        x = x.withColumn("_b", bucket.cast("int")).drop("_cuts")
+    else:
+        x = x.withColumn("_b", F.lit(0))
+    bc = x.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bc = bc.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
+    w = Window.partitionBy(*part, "_b").orderBy(*order)
+    out = x.join(bc, on=[*part, "_b"], how="inner") \
+        .withColumn(pos_col, (F.col("_off") + F.row_number().over(w)).cast("long"))
+    return out.drop("_k", "_b", "_off")
 
 
 def chunked(df: DataFrame, pos_col: str, w: int, chunk_rows: int) -> DataFrame:

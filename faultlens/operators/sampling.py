@@ -110,7 +110,7 @@ def keep_first_by_hash(df: DataFrame, tgt: DataFrame, label: str, group: Sequenc
     if exact_window:
         w = Window.partitionBy(*g, label).orderBy(HASH_COL, *key)
         r = h.join(F.broadcast(t), on=[*g, label]).withColumn("_rn", F.row_number().over(w))
-        return r.where(F.col("_rn") <= F.col("target")).drop("_rn", "n", "target", HASH_COL)
+        return r.where(F.col("_rn") <= F.col("target")).select(*df.columns)
     # bucketed plan: 16-bit hash prefix buckets
     h = h.withColumn("_b", F.conv(F.substring(HASH_COL, 1, 4), 16, 10).cast("int"))
     bc = h.groupBy(*g, label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
