@@ -876,3 +876,56 @@ def l19_method_comparison(spark, sf_dir):
 
 register("l19_method_comparison", _SCORES_LONG_SQL + ",\n" + box_sql("sl", "method, cls", "score"))(
     l19_method_comparison)
+
+
+# Statistics computed by separate operators, bound by position -------------
+def j02_positional_column_bind(spark, sf_dir):
+    from faultlens.operators import features as ft
+    t = tv.node_table(spark, sf_dir)
+    a = ft.window_features(t, ["click"], w=10, stats=["mean"])
+    b = ft.window_features(t, ["click"], w=10, stats=["std"], label="fault")
+    return round_doubles(a.join(b, on=["node", "pos", "window_id"], how="inner"))
+
+
+register("j02_positional_column_bind", with_views("node_table") + f"""SELECT * FROM (
+  SELECT node, pos, (pos - 10) // 1 AS window_id,
+    {qz('avg(click) OVER (PARTITION BY node ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)')} AS mean_click,
+    {qz('stddev_samp(click) OVER (PARTITION BY node ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)')} AS std_click
+  FROM node_table) f JOIN (
+  SELECT node, pos, lab AS label FROM (
+    SELECT a.node, a.pos, b.fault AS lab, count(*) AS c,
+      row_number() OVER (PARTITION BY a.node, a.pos ORDER BY count(*) DESC, b.fault) AS rk
+    FROM node_table a JOIN node_table b ON a.node = b.node AND b.pos BETWEEN a.pos - 9 AND a.pos
+    WHERE a.pos >= 10 GROUP BY a.node, a.pos, b.fault) WHERE rk = 1) l USING (node, pos)
+WHERE f.pos >= 10""")(j02_positional_column_bind)
+
+
+# Column pruning at the scan ------------------------------------------------
+def s04_pruned_scan(spark, sf_dir):
+    from faultlens.sources.tables import table
+    return table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate"]) \
+        .select("l_orderkey", "l_linenumber", fx.epoch_seconds("l_shipdate").alias("ship_sec"))
+
+
+register("s04_pruned_scan", "SELECT l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT AS ship_sec FROM lineitem")(
+    s04_pruned_scan)
+
+
+# W13 + W14 + W17: counters turned into deltas, first delta filled backward -----
+def w14_delta_encode_counters(spark, sf_dir):
+    from faultlens.operators import align
+    r = tv.readings(spark, sf_dir).select("node", "metric", "ts", "event_id", "value")
+    out = align.delta_encode_counters(r, "value", part=("node", "metric"), order=("ts", "event_id"),
+                                      labels=["applicationLabel", "faultLabel"])
+    return round_doubles(out.select("node", "metric", "event_id", "value"))
+
+
+register("w14_delta_encode_counters", with_views("readings", extra=[
+    ("d", "  SELECT node, metric, event_id, ts, value, value - lag(value) OVER (PARTITION BY node, metric "
+          "ORDER BY ts, event_id) AS dl FROM readings"),
+    ("m", "  SELECT node, metric, coalesce(min(dl) >= 0, true) OR coalesce(max(dl) <= 0, true) AS mono FROM d "
+          "GROUP BY node, metric"),
+    ("f", "  SELECT d.*, coalesce(dl, first_value(dl IGNORE NULLS) OVER (PARTITION BY node, metric ORDER BY ts, "
+          "event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS dd FROM d"),
+]) + f"SELECT node, metric, event_id, {qz('CASE WHEN mono THEN dd ELSE value END')} AS value "
+     "FROM f JOIN m USING (node, metric)")(w14_delta_encode_counters)
