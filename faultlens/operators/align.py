@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.constants import LABEL_COLUMNS
 from faultlens.functions.scalar import floor_second, strip_slashes
 
 
@@ -109,7 +110,7 @@ def monotonic_series(df: DataFrame, value: str = "value", part=("node", "metric"
 
 
 def delta_encode_counters(df: DataFrame, value: str = "value", part=("node", "metric"),
-                          order=("ts",), labels: Sequence[str] = ()) -> DataFrame:
+                          order=("ts",), labels: Sequence[str] = tuple(LABEL_COLUMNS)) -> DataFrame:
     """Counters (monotonic series, label metrics excluded) -> first differences,
     the leading hole filled backward (W13 + W14 + W17 on the first delta)."""
     mono = monotonic_series(df, value, part, order)
