@@ -44,15 +44,18 @@ def label_last(df: DataFrame, label_from: str = "faultLabel", label: str = "labe
 
 # P7 / P8 / P9 -----------------------------------------------------------------
 def select_runs(df: DataFrame, *, faults=None, apps=None, fault_col: str = "fault", app_col: str = "app",
-                node_range: tuple[int, int] | None = None, node: str = "node") -> DataFrame:
-    """Rows of the chosen fault/app classes and node-number range (pushed to the scan)."""
+                node_range: tuple[int, int] | None = None, node: str = "node",
+                node_no: str | None = "node_no") -> DataFrame:
+    """Rows of the chosen fault/app classes and node-number range. With a numeric
+    ``node_no`` column the range reaches the parquet scan as a pushed filter."""
     out = df
     if faults is not None:
         out = out.where(F.col(fault_col).isin(list(faults)))
     if apps is not None:
         out = out.where(F.col(app_col).isin(list(apps)))
     if node_range is not None:
-        out = out.where(node_number(node).between(*node_range))
+        key = F.col(node_no) if node_no and node_no in df.columns else node_number(node)
+        out = out.where(key.between(*node_range))
     return out
 
 
