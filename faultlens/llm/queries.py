@@ -22,7 +22,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), shingle=3, similarity=(85, 100))
 
 
-_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), lambda x: x <> '')"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Shingle sets of DuckDB lists, links by counting shared shingles, and the
@@ -31,7 +31,7 @@ NEAR_DUPLICATES_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, {words} AS w FROM {docs}
 ), sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), i -> array_to_string(w[i:i + {k} - 1], ' '))
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))
                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
 ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 links AS (
@@ -53,3 +53,53 @@ def near_duplicates_sql(docs: str, k: int, num: int, den: int) -> str:
 
 
 ORACLES["op1_minhash_near_dedup"] = near_duplicates_sql("documents", 3, 85, 100)
+
+
+#: Fixed values of the query: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@_query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.url_filter import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages", ["page_id", "url"]), rules)
+
+
+ORACLES["op5_url_filter"] = """
+WITH rules(h, p, v) AS (VALUES {rules}),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+hosts AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS raw FROM rest),
+split AS (SELECT page_id, {lower} AS host, regexp_extract(substr(r, length(raw) + 1), '^[^?#]*') AS path FROM hosts)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict
+FROM (SELECT s.*, (SELECT arg_max({{'rule': h || p, 'v': v}}, length(h || p)) FROM rules
+        WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM split s)
+""".format(rules=", ".join(str(r) for r in URL_RULES), lower=_ASCII_LOWER.format("raw"))
+
+
+@_query
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.chat import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
+ORACLES["op6_chat_perspectives"] = """
+WITH said AS (
+  SELECT DISTINCT conv_id, turn, turn // 64 AS segment, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+), speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+pieces AS (
+  SELECT s.*, p.perspective, coalesce(role = perspective, false) AS own,
+    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+    text || '<|end|>' || chr(10) AS body
+  FROM said s LEFT JOIN speakers p ON s.conv_id = p.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text) AS upto FROM pieces
+)
+SELECT conv_id, perspective, segment, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+  coalesce(string_agg((upto - length(body))::BIGINT || ':' || upto::BIGINT, ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask,
+  count(*)::BIGINT AS n_messages, coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_target_chars
+FROM placed GROUP BY conv_id, perspective, segment
+"""
