@@ -103,3 +103,54 @@ SELECT conv_id, perspective, segment, string_agg(head || body, '' ORDER BY turn,
   count(*)::BIGINT AS n_messages, coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_target_chars
 FROM placed GROUP BY conv_id, perspective, segment
 """
+
+
+@_query
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+
+
+#: The same bisections as recursive steps, and the same order of every source.
+MIXING_SQL = """
+WITH RECURSIVE counted AS (
+  SELECT doc_id, source, len({words})::BIGINT AS n_tokens,
+    ('0x' || substr(md5('0:' || source || ':' || doc_id), 1, 8))::BIGINT AS draw FROM {docs}
+), totals AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM counted GROUP BY source),
+live AS (SELECT *, tokens / (SELECT sum(tokens) FROM totals) AS p, (SELECT sum(tokens) FROM totals)::BIGINT AS budget,
+  ln((SELECT count(*) FROM totals WHERE tokens > 0)) AS most FROM totals WHERE tokens > 0),
+by_entropy AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN fits THEN mid ELSE lo END, CASE WHEN fits THEN hi ELSE mid END FROM (
+    SELECT k, lo, hi, (lo + hi) / 2 AS mid, (SELECT -sum(w / z * ln(w / z)) >= 0.95 * any_value(most) FROM (
+      SELECT pow(p, (lo + hi) / 2) AS w, sum(pow(p, (lo + hi) / 2)) OVER () AS z, most FROM live)) AS fits FROM by_entropy WHERE k < 40)
+), by_repeats AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END FROM (
+    SELECT k, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(w / z * budget / tokens) > 4.0 FROM (
+      SELECT pow(p, (lo + hi) / 2) AS w, sum(pow(p, (lo + hi) / 2)) OVER () AS z, budget, tokens FROM live)) AS over FROM by_repeats WHERE k < 40)
+), exponent AS (
+  SELECT greatest(
+    CASE WHEN (SELECT -sum(p * ln(p)) >= 0.95 * any_value(most) FROM live) THEN 1.0 ELSE (SELECT lo FROM by_entropy WHERE k = 40) END,
+    CASE WHEN (SELECT max(budget / (SELECT count(*) FROM live) / tokens) <= 4.0 FROM live) THEN 0.0 ELSE (SELECT hi FROM by_repeats WHERE k = 40) END) AS a
+), weights AS (
+  SELECT source, tokens, budget, round(pow(p, a) / sum(pow(p, a)) OVER () * 1000000)::BIGINT AS ppm FROM live, exponent
+), quotas AS (
+  SELECT t.source, t.tokens, coalesce(floor(ppm / 1000000 * budget), 0)::BIGINT AS quota,
+    greatest(1, ceil(coalesce(budget, 0) / 1048576))::BIGINT AS blocks FROM totals t LEFT JOIN weights w ON t.source = w.source
+), placed AS (
+  SELECT c.*, tokens, quota, blocks, coalesce(sum(n_tokens) OVER (PARTITION BY c.source ORDER BY draw % 4096, draw, doc_id, n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot
+  FROM counted c JOIN quotas q ON c.source = q.source
+), reads AS (
+  SELECT *, unnest(range(0, CASE WHEN tokens = 0 THEN 1 ELSE ceil((quota - spot) / tokens) END::BIGINT)) AS copy FROM placed
+)
+SELECT doc_id, source, n_tokens, copy::BIGINT AS copy,
+  CASE WHEN quota > 0 THEN least(floor((spot + copy * tokens) / quota * blocks), blocks - 1) ELSE 0 END::BIGINT AS block,
+  ('0x' || substr(md5('1:' || source || ':' || doc_id || ':' || copy), 1, 8))::BIGINT AS place
+FROM reads
+"""
+ORACLES["op8_temperature_mixing"] = MIXING_SQL.format(words=_WORDS.format("coalesce(text, '')"), docs="documents")
