@@ -154,3 +154,10 @@ SELECT doc_id, source, n_tokens, copy::BIGINT AS copy,
 FROM reads
 """
 ORACLES["op8_temperature_mixing"] = MIXING_SQL.format(words=_WORDS.format("coalesce(text, '')"), docs="documents")
+
+
+@_query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.secrets import scan_secrets, span_digest
+
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents", ["doc_id", "text"])))
