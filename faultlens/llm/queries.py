@@ -161,3 +161,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultlens.llm.secrets import scan_secrets, span_digest
 
     return span_digest(scan_secrets(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def _byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), _byte_bpe())

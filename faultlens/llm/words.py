@@ -76,6 +76,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """Fingerprints of the byte spans ``[start, end)``, none of them empty."""
+    up, down = powers.upto(len(data))
+    code = data.astype(np.uint64) + np.uint64(1)
+    code *= up[:len(data)]
+    total = np.cumsum(code)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    return mix64((total[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers,
                 lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all words of a slice, and the number of words before each row.
@@ -93,12 +103,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers,
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end)
-    up, down = powers.upto(n)
-    code = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    code *= up[:n]
-    total = np.cumsum(code)
-    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    hashes = mix64((total[ends] - before) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(_LOWER[data] if lower else data, starts, ends + 1, powers)
     return hashes, np.searchsorted(starts, offsets)
 
 
