@@ -174,3 +174,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultlens.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), _byte_bpe())
+
+
+@_query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm import fm
+
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
+    return fm.score(docs, fm.train(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
