@@ -182,3 +182,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
     return fm.score(docs, fm.train(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
+
+
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm import rules
+
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    learnt = rules.learn_rules(rules.text_statistics(docs), table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    judged = rules.apply_rules(rules.text_statistics(docs), learnt)
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
