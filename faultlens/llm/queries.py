@@ -192,3 +192,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     learnt = rules.learn_rules(rules.text_statistics(docs), table(spark, sf_dir, "labels", ["doc_id", "quality"]))
     judged = rules.apply_rules(rules.text_statistics(docs), learnt)
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
+
+
+@_query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+
+
+#: All pairs of a label by their cosine, and the smallest id reachable.
+ORACLES["op7_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), walk AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT walk.a, pairs.b FROM walk JOIN pairs ON walk.b = pairs.a
+), roots AS (SELECT a, min(b) AS component_id FROM walk GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN roots ON vec_id = roots.a LEFT JOIN links ON vec_id = links.a
+"""
