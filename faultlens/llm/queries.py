@@ -216,3 +216,11 @@ links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN roots ON vec_id = roots.a LEFT JOIN links ON vec_id = links.a
 """
+
+
+@_query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm import html_extract
+
+    pages = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return html_extract.extract_text(pages, html_extract.train(pages))
