@@ -218,3 +218,19 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                         (F.col(chars_col) if chars_col in docs.columns else F.lit(None)).cast("double").alias("n_chars"))
     return texts.mapInArrow(scored, "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns, in one pass."""
+    model, schema = docs.sparkSession.sparkContext.broadcast(machine), docs.schema
+    text, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            n_chars = pa.nulls(batch.num_rows) if chars is None else batch.column(chars)
+            y = [model.value.margin(*f) for f in features(batch.column(text), n_chars, powers)]
+            if y:
+                yield batch.filter(pa.array(np.concatenate(y) >= 0))
+
+    return docs.mapInArrow(kept, schema)

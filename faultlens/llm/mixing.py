@@ -41,15 +41,16 @@ def _hash(*cols) -> Column:
 
 
 def source_weights(totals: DataFrame, budget: Column, target_entropy: float | None = None,
-                   max_repeats: float | None = None) -> DataFrame:
-    """``source, tokens, ppm``: the weights in millionths from ``source, tokens``.
+                   max_repeats: float | None = None, whole: bool = False) -> DataFrame:
+    """``source, tokens, ppm, budget``: the weights in millionths from ``source, tokens``.
 
     The totals of all sources (one row each, which is bounded by the number of
     sources) meet in one row, where an ``aggregate`` bisects the exponent: the
     largest one whose entropy is at least ``target_entropy`` times that of equal
     weights, and the smallest whose largest ``quota / tokens`` is at most
     ``max_repeats``. If both are given, the repetition limit wins. Sources
-    without tokens get weight 0.
+    without tokens are not returned. With ``whole`` the budget is not the given
+    one, but the least at which every source is read once or more.
     """
     live = F.col("tokens") > 0
     row = totals.agg(F.collect_list(F.when(live, F.struct("source", "tokens"))).alias("s"), F.sum("tokens").alias("all"),
@@ -63,6 +64,12 @@ def source_weights(totals: DataFrame, budget: Column, target_entropy: float | No
     def total(xs):
         return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
+    def budget_at(a):
+        if not whole:
+            return F.col("budget")
+        z = total(powered(a))
+        return F.ceil(F.array_max(F.transform(F.arrays_zip(powered(a).alias("w"), F.col("s").alias("t")), lambda x: x["t"]["tokens"] * z / x["w"])))
+
     def entropy(a):
         z = total(powered(a))
         return total(F.transform(powered(a), lambda x: -(x / z) * F.ln(x / z)))
@@ -70,7 +77,7 @@ def source_weights(totals: DataFrame, budget: Column, target_entropy: float | No
     def worst_repeats(a):
         z = total(powered(a))
         return F.array_max(F.transform(F.arrays_zip(powered(a).alias("w"), F.col("s").alias("t")),
-                                       lambda x: x["w"] / z * F.col("budget") / x["t"]["tokens"]))
+                                       lambda x: x["w"] / z * budget_at(a) / x["t"]["tokens"]))
 
     def bisect(fits_low):
         """The exponent next to where ``fits_low`` turns, from the half it keeps."""
@@ -87,7 +94,7 @@ def source_weights(totals: DataFrame, budget: Column, target_entropy: float | No
         least = bisect(lambda m: worst_repeats(m) > max_repeats)["hi"]
         least = F.when(worst_repeats(F.lit(0.0)) <= max_repeats, F.lit(0.0)).otherwise(least)
         a = F.greatest(a, least)
-    row = row.withColumn("a", a)
+    row = row.withColumn("a", a).withColumn("budget", budget_at(F.col("a")))
     return row.select("budget", "a", F.explode(F.arrays_zip(F.col("s").alias("t"), powered(F.col("a")).alias("w"),
                                                             F.array_repeat(total(powered(F.col("a"))), F.size("s")).alias("z"))).alias("x")).select(
         "x.t.source", "x.t.tokens", F.round(F.col("x.w") / F.col("x.z") * SCALE).cast("long").alias("ppm"), "budget")
@@ -95,10 +102,11 @@ def source_weights(totals: DataFrame, budget: Column, target_entropy: float | No
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 budget_share: float = 1.0, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0,
-                block_tokens: int = 1 << 20, seed: int = 0) -> DataFrame:
+                block_tokens: int = 1 << 20, seed: int = 0, whole: bool = False) -> DataFrame:
     """The reads of the mixture: ``doc_id, source, n_tokens, copy, block, place``.
 
-    The budget is ``budget_share`` of all tokens (words). A source with quota q
+    The budget is ``budget_share`` of all tokens (words), or with ``whole`` the
+    least that reads every document once or more at these weights. A source with quota q
     and t tokens is read q / t times over: ``copy`` 0, 1, ... and of the last
     copy the documents whose tokens begin before the quota. ``block`` numbers
     the blocks of about ``block_tokens``, in each of which every source has its
@@ -119,9 +127,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = counted.withColumn("bucket", (F.col("draw") % BUCKETS).cast("int"))
     per_bucket = counted.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     totals = per_bucket.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    weights = source_weights(totals, F.floor(F.sum("tokens") * F.lit(float(budget_share))), target_entropy, max_repeats)
+    weights = source_weights(totals, F.floor(F.sum("tokens") * F.lit(float(budget_share))), target_entropy, max_repeats, whole)
+    quota = F.coalesce(F.floor(F.col("ppm") / SCALE * F.col("budget")), F.lit(0))
     quotas = totals.join(weights.drop("tokens"), "source", "left").select(
-        "source", "tokens", F.coalesce(F.floor(F.col("ppm") / SCALE * F.col("budget")), F.lit(0)).alias("quota"),
+        "source", "tokens", (F.greatest(quota, "tokens") if whole else quota).alias("quota"),
         F.greatest(F.lit(1), F.ceil(F.coalesce("budget", F.lit(0)) / block_tokens)).alias("blocks"))
     # At most BUCKETS rows to a source here, whatever its documents.
     starts = per_bucket.withColumn("before", F.sum("tokens").over(
@@ -140,3 +149,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         F.col("copy").cast("long").alias("copy"), block.cast("long").alias("block"),
                         _hash(F.lit(seed + 1), "source", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                               F.col("copy").cast("string")).alias("place"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixture itself: the rows of ``docs``, each as often as ``mix_sources``
+    (which takes ``options``) reads it, sorted by block and place.
+
+    Columns are those of ``docs``. Rows of equal id and source are read equally
+    often.
+    """
+    reads = mix_sources(docs, id_col, text_col, source_col, **options)
+    reads = reads.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copy").agg(
+        F.min("block").alias("_block"), F.min("place").alias("_place"))
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    held = docs.toDF(*names)
+    of = dict(zip(docs.columns, names))
+    mixed = held.join(reads, held[of[id_col]].eqNullSafe(reads["_id"]) & held[of[source_col]].cast("string").eqNullSafe(reads["_source"]))
+    order = ["_block", "_place", "_source", "_id", "copy"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*names).toDF(*docs.columns)

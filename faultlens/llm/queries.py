@@ -163,7 +163,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(scan_secrets(table(spark, sf_dir, "documents", ["doc_id", "text"])))
 
 
-def _byte_bpe() -> str:
+def byte_bpe() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -173,7 +173,7 @@ def _byte_bpe() -> str:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultlens.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), _byte_bpe())
+    return pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), byte_bpe())
 
 
 @_query
