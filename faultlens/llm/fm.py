@@ -123,6 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     rng = np.random.default_rng(SEED)
     machine = Machine(mean, scale, 0.0, np.zeros(width), rng.normal(0, 0.02, (width, FACTORS)))
     if not len(rows):
+        machine.factors[:] = 0
         return machine
     machine.bias = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     state = [np.zeros((2, width)), np.zeros((2, width, FACTORS)), np.zeros(2)]

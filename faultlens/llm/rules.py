@@ -32,7 +32,7 @@ SYMBOLS = "#*$%&|<>"
 NEAR = 16
 #: Most labelled rows to learn from, thresholds tried for a statistic, conditions
 #: of a rule, rules of a list, and what a rule must reach on the pruning part.
-SAMPLE, CUTS, CONDITIONS, RULES, PRECISION, COVER = 20_000, 64, 4, 24, 0.95, 5
+SAMPLE, CUTS, CONDITIONS, RULES, PRECISION, COVER = 20_000, 64, 4, 24, 0.9, 3
 
 
 def _flags(chars) -> np.ndarray:
