@@ -58,10 +58,11 @@ def node_number(node) -> Column:
 
 # P10 ------------------------------------------------------------------------
 def truncate_decimals(x, d: int = 2) -> Column:
-    """Truncate (not round) toward zero to ``d`` decimals."""
-    p = 10 ** d
-    x = _c(x)
-    return F.when(x >= 0, F.floor(x * p) / p).otherwise(F.ceil(x * p) / p)
+    """Cut (not round) the printed decimal number after ``d`` decimals, so 0.29
+    stays 0.29 although its binary value lies below."""
+    printed = _c(x).cast("string").cast(f"decimal(38,{18})")
+    whole = F.floor(F.abs(printed) * 10 ** d).cast("double") / float(10 ** d)
+    return F.when(printed < 0, -whole).otherwise(whole)
 
 
 # F6 -------------------------------------------------------------------------
@@ -80,20 +81,6 @@ def safe_ratio(num, den, default: float | None = 0.0) -> Column:
     return r if default is None else F.coalesce(r, F.lit(float(default)))
 
 
-# F7 -------------------------------------------------------------------------
-def minmax_scaled(x, lo, hi) -> Column:
-    """(x - lo) / (hi - lo); a constant column gives 0."""
-    x = _c(x)
-    return F.coalesce(F.try_divide(x - _c(lo), _c(hi) - _c(lo)), F.lit(0.0))
-
-
-# F8 / F9 --------------------------------------------------------------------
-def zscored(x, mean, std_pop) -> Column:
-    """(x - mean) / population std; a constant column gives 0."""
-    x = _c(x)
-    return F.coalesce(F.try_divide(x - _c(mean), _c(std_pop)), F.lit(0.0))
-
-
 # F10 ------------------------------------------------------------------------
 def mahalanobis(diffs: Sequence[Column], inv_cov: Sequence[Sequence[Column | float]]) -> Column:
     """sqrt(d' C^-1 d) for a small, fixed dimension; C^-1 entries are Columns or numbers."""
@@ -114,7 +101,3 @@ def outlier_label(cluster, distance, threshold: float = 2.0) -> Column:
     """Cluster label, or ``outlier`` where distance > threshold (strict)."""
     return F.when(_c(distance) > F.lit(float(threshold)), F.lit("outlier")).otherwise(
         _c(cluster).cast("string"))
-
-
-def rounded(x, digits: int = 6) -> Column:
-    return F.round(_c(x), digits)

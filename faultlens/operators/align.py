@@ -2,8 +2,8 @@
 gap fills and regular grids (SURVEY 2.3 J1-J3, 2.4 A1, 2.5 W13-W17, W22).
 
 Canonical form is long ``(node, metric, ts, value)``; the wide node table is a
-``pivot`` at the edge. Every window here is partitioned by ``node`` or
-``(node, metric)``; no window runs over the whole table.
+grouped aggregation at the edge. Windows run over chunks of a node or a series,
+with what lies beyond a chunk carried over; none runs over a whole node.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from faultlens.constants import LABEL_COLUMNS
 from faultlens.functions.scalar import floor_second, strip_slashes
+from faultlens.operators.positions import CHUNK_COL, HALO_COL, add_positions, chunked
+
+#: Positions of a node, or of a series, that one task sorts.
+CHUNK_ROWS = 1_000_000
 
 
 # A1 -------------------------------------------------------------------------
@@ -31,14 +35,12 @@ def pivot_metrics(long_df: DataFrame, metrics: Sequence[str], keys=("node", "ts"
                   extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """Full-outer alignment of many series on ``keys``: ONE groupBy + pivot.
 
-    The metric list is passed explicitly so Spark skips the distinct-values job.
-    ``extra_aggs`` (e.g. label columns) are computed in the same aggregation.
+    The metric list is passed explicitly, so there is no distinct-values job;
+    the means and ``extra_aggs`` (e.g. label columns) come from the same scan
+    and the same aggregation. NULL keys form one row like any other key.
     """
-    p = long_df.groupBy(*keys).pivot(metric, list(metrics)).agg(F.avg(value))
-    if extra_aggs:
-        lab = long_df.groupBy(*keys).agg(*extra_aggs)
-        p = p.join(lab, on=list(keys), how="full_outer")
-    return p
+    means = [F.avg(F.when(F.col(metric) == m, F.col(value))).alias(m) for m in metrics]
+    return long_df.groupBy(*keys).agg(*means, *extra_aggs)
 
 
 def outer_align(left: DataFrame, right: DataFrame, keys=("node", "ts")) -> DataFrame:
@@ -76,33 +78,27 @@ def sensors_of_nodes(sensors: DataFrame, nodes: DataFrame, path: str = "path",
     return sensors.join(hits, on=path, how="left_semi")
 
 
-def sensors_of_nodes_nested(sensors: DataFrame, nodes: DataFrame, path: str = "path",
-                            node: str = "node") -> DataFrame:
-    """Same result as ``sensors_of_nodes`` through a broadcast nested-loop semi join.
-
-    Only for a node list of checked, small size.
-    """
-    n = nodes.count()
-    if n > 100_000:
-        raise ValueError(f"node list too large to broadcast ({n} rows); use sensors_of_nodes")
-    cond = F.instr(strip_slashes(F.col("s." + path)), F.col("n." + node)) > 0
-    return sensors.alias("s").join(F.broadcast(nodes.alias("n")), cond, "left_semi")
-
-
 # W13 ------------------------------------------------------------------------
 def first_difference(df: DataFrame, value: str, part=("node", "metric"), order=("ts",),
-                     out: str | None = None) -> DataFrame:
-    """value - previous value per series (NULL on the first row)."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn(out or value, F.col(value) - F.lag(value).over(w))
+                     out: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """value - previous value per series (NULL on the first row).
+
+    Series are cut into chunks of ``chunk_rows`` positions that carry the row
+    before them, so a long series is many tasks.
+    """
+    x = chunked(add_positions(df, list(part), list(order), "_pos"), "_pos", 2, chunk_rows)
+    w = Window.partitionBy(*part, CHUNK_COL).orderBy("_pos")
+    x = x.withColumn("_difference", F.col(value) - F.lag(value).over(w)).where(~F.col(HALO_COL))
+    name = out or value
+    kept = [c for c in df.columns if c != name]
+    return x.select(*kept, F.col("_difference").alias(name)).select(*(df.columns if name in df.columns else [*df.columns, name]))
 
 
 # W14 ------------------------------------------------------------------------
 def monotonic_series(df: DataFrame, value: str = "value", part=("node", "metric"),
                      order=("ts",)) -> DataFrame:
     """Per series: is it non-strictly monotonic (either direction; constants count)?"""
-    w = Window.partitionBy(*part).orderBy(*order)
-    d = df.withColumn("_d", F.col(value) - F.lag(value).over(w))
+    d = first_difference(df.select(*part, *order, value), value, part, order, out="_d")
     return (d.groupBy(*part)
             .agg(F.min("_d").alias("_mn"), F.max("_d").alias("_mx"))
             .select(*part, (F.coalesce(F.col("_mn") >= 0, F.lit(True))
@@ -112,72 +108,97 @@ def monotonic_series(df: DataFrame, value: str = "value", part=("node", "metric"
 def delta_encode_counters(df: DataFrame, value: str = "value", part=("node", "metric"),
                           order=("ts",), labels: Sequence[str] = tuple(LABEL_COLUMNS)) -> DataFrame:
     """Counters (monotonic series, label metrics excluded) -> first differences,
-    the leading hole filled backward (W13 + W14 + W17 on the first delta)."""
+    every hole filled backward with the next difference (W13 + W14 + W17)."""
     mono = monotonic_series(df, value, part, order)
     if labels:
         mono = mono.withColumn("monotonic", F.col("monotonic") & ~F.col(part[-1]).isin(list(labels)))
-    w = Window.partitionBy(*part).orderBy(*order)
-    wf = w.rowsBetween(0, 2)  # the second delta is the first non-null one
-    j = df.join(mono, on=list(part), how="left")
-    delta = F.col(value) - F.lag(value).over(w)
-    j = j.withColumn("_delta", delta)
-    j = j.withColumn("_delta", F.coalesce(F.col("_delta"), F.first("_delta", ignorenulls=True).over(wf)))
-    return j.withColumn(value, F.when(F.col("monotonic"), F.col("_delta")).otherwise(F.col(value))) \
-            .drop("_delta", "monotonic")
-
-
-# W15 ------------------------------------------------------------------------
-def fill_forward_backward(df: DataFrame, cols: Sequence[str], part=("node",), order=("pos",)) -> DataFrame:
-    """Forward fill, then backward fill of the leading hole, per partition.
-
-    Both directions are running frames (the backward one over the reversed
-    order), so each costs one pass; no UNBOUNDED FOLLOWING frame.
+    d = add_positions(first_difference(df, value, part, order, out="_delta"), list(part), list(order), "_pos")
+    d = fill_backward(d, ["_delta"], part, "_pos").join(mono, on=list(part), how="left")
+    return d.withColumn(value, F.when(F.col("monotonic"), F.col("_delta")).otherwise(F.col(value))) \
+            .drop("_delta", "_pos", "monotonic")
+
+
+# W15-W17 --------------------------------------------------------------------
+def _neighbours(df: DataFrame, cols: Sequence[str], part, pos: str, chunk_rows: int) -> tuple[DataFrame, dict, dict]:
+    """Per column the nearest known value at or before a row, and at or after it,
+    as ``(pos, value)`` structs: two windows for all columns together.
+
+    The windows run inside chunks of ``chunk_rows`` positions; what lies beyond
+    a chunk's ends comes from a table of one row per chunk (its first and last
+    known value of every column), so a long node is many tasks.
+    """
+    part = list(part)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))) for c in cols}
+    x = df.withColumn("_chunk_no", F.floor((F.col(pos) - 1) / F.lit(chunk_rows)).cast("long"))
+    ends = x.groupBy(*part, "_chunk_no").agg(*[F.max(known[c]).alias(f"_l_{i}") for i, c in enumerate(cols)],
+                                             *[F.min(known[c]).alias(f"_f_{i}") for i, c in enumerate(cols)])
+    fwd = Window.partitionBy(*part).orderBy("_chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    bwd = Window.partitionBy(*part).orderBy(F.col("_chunk_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(c).alias(f"_of_{c}") for c in part], F.col("_chunk_no").alias("_of_chunk"),
+                       *[F.max(f"_l_{i}").over(fwd).alias(f"_cl_{i}") for i in range(len(cols))],
+                       *[F.min(f"_f_{i}").over(bwd).alias(f"_cf_{i}") for i in range(len(cols))])
+    up = Window.partitionBy(*part, "_chunk_no").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*part, "_chunk_no").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.select("*", *[F.last(known[c], ignorenulls=True).over(up).alias(f"_u_{i}") for i, c in enumerate(cols)])
+    x = x.select("*", *[F.last(known[c], ignorenulls=True).over(down).alias(f"_d_{i}") for i, c in enumerate(cols)])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part] + [F.col("_chunk_no") == F.col("_of_chunk")]
+    x = x.join(ends, same)
+    before = {c: F.coalesce(F.col(f"_u_{i}"), F.col(f"_cl_{i}")) for i, c in enumerate(cols)}
+    after = {c: F.coalesce(F.col(f"_d_{i}"), F.col(f"_cf_{i}")) for i, c in enumerate(cols)}
+    return x, before, after
+
+
+def fill_table(df: DataFrame, steps: Sequence[str] = (), lines: Sequence[str] = (), holds: Sequence[str] = (),
+               part=("node",), pos: str = "pos", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """All fills of a table in one plan of two windows.
+
+    ``steps``: forward, then backward fill (W15). ``lines``: linear
+    interpolation by position, trailing holes repeat the last value, leading
+    holes take the first (W16 + W17). ``holds``: backward fill alone (W17).
+    A column without any value stays NULL.
     """
-    fwd = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy(*part).orderBy(*[F.col(o).desc() for o in order]) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(fwd),
-                                           F.last(c, ignorenulls=True).over(bwd)))
-    return out
-
-
-# W16 + W17 ------------------------------------------------------------------
-def fill_linear(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos") -> DataFrame:
-    """Linear interpolation by row position, trailing holes repeat the last
-    value, leading holes take the first value (interpolate + bfill)."""
-    fwd = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy(*part).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    p = F.col(pos)
-    for c in cols:
-        pv = F.last(c, ignorenulls=True).over(fwd)
-        pp = F.last(F.when(F.col(c).isNotNull(), p), ignorenulls=True).over(fwd)
-        nv = F.last(c, ignorenulls=True).over(bwd)
-        np_ = F.last(F.when(F.col(c).isNotNull(), p), ignorenulls=True).over(bwd)
-        interp = pv + (nv - pv) * (p - pp) / (np_ - pp)
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c))
-                             .when(pv.isNotNull() & nv.isNotNull(), interp)
-                             .otherwise(F.coalesce(pv, nv)))
-    return out
-
-
-def fill_backward(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos") -> DataFrame:
+    x, before, after = _neighbours(df, [*steps, *lines, *holds], part, pos, chunk_rows)
+    p, filled = F.col(pos), {}
+    for c in steps:
+        filled[c] = F.coalesce(before[c]["v"], after[c]["v"])
+    for c in holds:
+        filled[c] = after[c]["v"]
+    for c in lines:
+        a, b = before[c], after[c]
+        line = a["v"] + (b["v"] - a["v"]) * (p - a["p"]) / (b["p"] - a["p"])
+        filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(a.isNotNull() & b.isNotNull(), line).otherwise(
+            F.coalesce(a["v"], b["v"]))
+    return x.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
+
+
+def fill_forward_backward(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos", **options) -> DataFrame:
+    """Forward fill, then backward fill of the leading hole."""
+    return fill_table(df, steps=cols, part=part, pos=pos, **options)
+
+
+def fill_linear(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos", **options) -> DataFrame:
+    """Linear interpolation by row position, then the ends (W16 + W17)."""
+    return fill_table(df, lines=cols, part=part, pos=pos, **options)
+
+
+def fill_backward(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos", **options) -> DataFrame:
     """Backward fill only."""
-    bwd = Window.partitionBy(*part).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(bwd)))
-    return out
+    return fill_table(df, holds=cols, part=part, pos=pos, **options)
 
 
 # W22 ------------------------------------------------------------------------
-def regular_grid(df: DataFrame, freq_seconds: int, part=("node",), ts: str = "ts") -> DataFrame:
+def regular_grid(df: DataFrame, freq_seconds: int, part=("node",), ts: str = "ts", block: int = 4096) -> DataFrame:
     """Rows at exact multiples of ``freq`` from each node's first timestamp
-    (``asfreq``): the grid is generated per node and left-joined; rows off the
-    grid are dropped, missing grid points get NULL metrics."""
-    bounds = df.groupBy(*part).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    step = F.expr(f"INTERVAL {int(freq_seconds)} SECONDS")
-    grid = bounds.select(*part, F.explode(F.sequence("_t0", "_t1", step)).alias(ts))
+    (``asfreq``): rows off the grid are dropped, missing grid points get NULL
+    metrics. The grid is generated in blocks of ``block`` points, each a row of
+    its own, so no node's whole grid is ever one array."""
+    step = int(freq_seconds) * 1_000_000
+    t0 = F.unix_micros(F.min(ts).cast("timestamp"))
+    points = F.floor((F.unix_micros(F.max(ts).cast("timestamp")) - t0) / F.lit(step)).cast("long")
+    bounds = df.groupBy(*part).agg(F.min(ts).alias("_t0"), points.alias("_last"))
+    blocks = bounds.select(*part, "_t0", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / block))).alias("_b"))
+    grid = blocks.select(*part, "_t0", F.explode(F.sequence(
+        F.col("_b") * block, F.least(F.col("_b") * block + (block - 1), F.col("_last")))).alias("_i"))
+    at = F.timestamp_micros(F.unix_micros(F.col("_t0").cast("timestamp")) + F.col("_i") * step)
+    grid = grid.select(*part, at.cast(df.schema[ts].dataType).alias(ts))
     return grid.join(df, on=[*part, ts], how="left")

@@ -24,6 +24,8 @@ from faultlens.constants import PERCENTILES, STATS_6, STATS_11
 from faultlens.operators.positions import CHUNK_COL, HALO_COL, chunked
 
 DEFAULT_CHUNK_ROWS = 1_000_000
+#: Rows of a chunk of the numpy engine: its windows are copied, w values to a row.
+KERNEL_CHUNK_ROWS = 16_384
 
 
 def stat_names(numfeatures: int) -> list[str]:
@@ -73,15 +75,19 @@ def window_stat_columns(metric: str, W, stats: Sequence[str]) -> list[Column]:
     return cols
 
 
-def window_corr(a: str, b: str, W) -> Column:
-    """Rolling Pearson correlation; undefined (constant window) -> 0.
+def window_corr(a: str, b: str, W, w: int) -> Column:
+    """Rolling Pearson correlation over full windows; a window with a hole in
+    either column, or with a constant column, gives 0 (undefined -> 0).
 
-    ``corr`` itself raises DIVIDE_BY_ZERO on a constant window under ANSI
-    mode, so the ratio is taken with ``try_divide``.
+    All three aggregates see the same rows: those with both values.
+    ``try_divide`` stands in for ``corr``, which fails on a constant window
+    under ANSI mode.
     """
-    r = F.try_divide(F.covar_pop(a, b).over(W),
-                     F.stddev_pop(a).over(W) * F.stddev_pop(b).over(W))
-    return F.coalesce(r, F.lit(0.0)).alias(f"corr_{a}_{b}")
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    r = F.try_divide(F.covar_pop(x, y).over(W), F.stddev_pop(x).over(W) * F.stddev_pop(y).over(W))
+    full = F.count(x).over(W) == w
+    return F.coalesce(F.when(full, r), F.lit(0.0)).alias(f"corr_{a}_{b}")
 
 
 def window_label(label: str, W, mode: str = "mode") -> Column:
@@ -116,7 +122,7 @@ def window_features(df: DataFrame, metrics: Sequence[str], *, node: Sequence[str
         if extra or keep:
             raise ValueError("extra/keep columns need engine='native'")
         return _window_features_pandas(df, metrics, part, pos, w, step, stats, label, label_mode, corr,
-                                       chunk_rows or DEFAULT_CHUNK_ROWS)
+                                       min(chunk_rows or KERNEL_CHUNK_ROWS, max(KERNEL_CHUNK_ROWS, w)))
     if engine != "native":
         raise ValueError("engine must be 'native' or 'pandas'")
     src = df
@@ -130,7 +136,7 @@ def window_features(df: DataFrame, metrics: Sequence[str], *, node: Sequence[str
         cols.extend(window_stat_columns(m, W, stats))
     pairs = correlation_pairs(metrics) if corr is True else list(corr or [])
     for a, b in pairs:
-        cols.append(window_corr(a, b, W))
+        cols.append(window_corr(a, b, W, w))
     for e in extra:
         cols.append(e.over(W))
     if label:
@@ -275,19 +281,19 @@ def scale_stats(df: DataFrame, cols: Sequence[str], part=("node",)) -> DataFrame
 def _scaled(df: DataFrame, cols: Sequence[str], part, fn) -> DataFrame:
     st = scale_stats(df, cols, part)
     j = df.join(st, on=list(part), how="left")
-    for c in cols:
-        j = j.withColumn(c, fn(c))
-    return j.drop(*[c for c in st.columns if c not in set(part)])
+    return j.select(*[fn(c).alias(c) if c in set(cols) else F.col(f"`{c}`") for c in df.columns])
 
 
 def minmax_scale(df: DataFrame, cols: Sequence[str], part=("node",)) -> DataFrame:
-    """Per-node min-max scaling; a constant column gives 0. Labels untouched."""
-    return _scaled(df, cols, part, lambda c: F.coalesce(
+    """Per-node min-max scaling; a constant column gives 0, a missing value stays
+    missing. Labels untouched (F7)."""
+    return _scaled(df, cols, part, lambda c: F.when(F.col(c).isNotNull(), F.coalesce(
         F.try_divide(F.col(c) - F.col(f"{c}__min"), F.col(f"{c}__max") - F.col(f"{c}__min")),
-        F.lit(0.0)))
+        F.lit(0.0))))
 
 
 def zscore_scale(df: DataFrame, cols: Sequence[str], part=("node",)) -> DataFrame:
-    """Standardisation with the population std per partition; constant -> 0."""
-    return _scaled(df, cols, part, lambda c: F.coalesce(
-        F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__std")), F.lit(0.0)))
+    """Standardisation with the population std per partition; a constant column
+    gives 0, a missing value stays missing (F8, F9)."""
+    return _scaled(df, cols, part, lambda c: F.when(F.col(c).isNotNull(), F.coalesce(
+        F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__std")), F.lit(0.0))))

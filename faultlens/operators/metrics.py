@@ -73,7 +73,10 @@ def class_scores(conf: DataFrame, group: Sequence[str], metrics: Sequence[str] =
         # the fixed label list, generated next to every group key
         full = conf.select(*g).distinct().select(*g, F.explode(F.array(*[F.lit(int(x)) for x in labels]))
                                                  .alias("cls"))
-        c = full.join(conf, on=[*g, "cls"], how="left").fillna(0, subset=["tp", "fp", "fn", "tn"])
+        # a class that never occurs has no positives: all rows of the group are true negatives
+        rows_of = conf.groupBy(*g).agg(F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("_rows"))
+        c = full.join(conf, on=[*g, "cls"], how="left").join(rows_of, on=g).withColumn(
+            "tn", F.coalesce("tn", "_rows")).drop("_rows").fillna(0, subset=["tp", "fp", "fn"])
     rows = []
     for m in metrics:
         e = METRIC_EXPRS[m]()
@@ -106,16 +109,20 @@ def class_accuracy(df: DataFrame, group: Sequence[str] = ("node",), y: str = "y"
 
 
 def fold_means(fold_scores: DataFrame, group: Sequence[str], fold: str = "fold") -> DataFrame:
-    """Mean over folds per (group, metric, cls); ``fold_scores`` carries a
-    fold column. The extra ``all`` row of the studied tables is this result."""
+    """Mean over folds per (group, metric, cls); ``fold_scores`` carries a fold column."""
     return fold_scores.groupBy(*group, "metric", "cls").agg(F.avg("score").alias("score"),
                                                             F.count(fold).alias("n_folds"))
 
 
+def fold_table(fold_scores: DataFrame, group: Sequence[str], fold: str = "fold") -> DataFrame:
+    """A20 as the studied tables have it: a row per fold and the extra ``all`` row of means."""
+    cols = [*group, "metric", "cls", "fold", "score"]
+    each = fold_scores.select(*group, "metric", "cls", F.col(fold).cast("string").alias("fold"), "score")
+    return each.unionByName(fold_means(fold_scores, group, fold).withColumn("fold", F.lit("all")).select(*cols))
+
+
 def wide_scores(long_scores: DataFrame, group: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """Pivot a long score table to ``overall, <class>...`` columns (one row per group and metric)."""
     return long_scores.groupBy(*group, "metric").pivot("cls", ["overall", *classes]).agg(F.first("score"))
 
 
-def rank_within(df: DataFrame, part: Sequence[str], order) -> DataFrame:  # helper for K2
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(order)))

@@ -4,15 +4,16 @@ Row order is meaningful everywhere in the studied pipeline: windows, splits,
 steps and halves all count rows. ``add_positions`` gives ``pos`` = 1..n per
 node, ordered by a unique key.
 
-Two plans:
+Two plans with the same numbers:
 
 * ``method="window"``: ``row_number()`` over ``partitionBy(node)``. One shuffle,
-  but a node is one task: a node holding a third of the data is a third of the
-  job in one task.
-* ``method="range"``: nodes above ``max_group_rows`` rows are cut into buckets
-  at approximate quantiles of the first order column; rows are numbered inside
-  ``(node, bucket)`` and shifted by a prefix sum over the tiny bucket-count
-  table. No task holds more than about ``max_group_rows`` rows of one node.
+  but a node is one task.
+* ``method="range"`` (default): nodes up to ``max_group_rows`` rows are numbered
+  that way; the rows of larger nodes are range-sorted together by node and full
+  order key, written once to the checkpoint folder with their place in the sort
+  partition, and shifted by a prefix sum over the (node, partition) counts. No
+  task holds more of a node than its share of the sort, ties on the first order
+  column included.
 
 ``chunked`` then cuts every node into chunks of ``chunk_rows`` positions and
 copies the last ``w - 1`` rows of each chunk into the next one (a halo), so a
@@ -36,60 +37,43 @@ def _cols(xs) -> list:
 
 
 def add_positions(df: DataFrame, part_cols, order_cols, pos_col: str = "pos",
-                  method: str = "window", max_group_rows: int = 1_000_000) -> DataFrame:
+                  method: str = "range", max_group_rows: int = 1_000_000) -> DataFrame:
     """Add ``pos`` (long, 1-based) per ``part_cols`` ordered by ``order_cols``.
 
     ``order_cols`` must make rows unique inside a partition key; with ties the
-    numbering is arbitrary among tied rows.
+    numbering is arbitrary among tied rows. A NULL key is a group of its own.
     """
-    part_cols, order_cols = _cols(part_cols), _cols(order_cols)
+    part, order = _cols(part_cols), _cols(order_cols)
+    w = Window.partitionBy(*part).orderBy(*order)
+    numbered = F.row_number().over(w).cast("long")
     if method == "window":
-        w = Window.partitionBy(*part_cols).orderBy(*order_cols)
-        return df.withColumn(pos_col, F.row_number().over(w).cast("long"))
+        return df.withColumn(pos_col, numbered)
     if method != "range":
         raise ValueError(f"unknown method {method!r}")
-    if not all(isinstance(c, str) for c in part_cols + order_cols[:1]):
-        raise ValueError("range positions need named partition and first order columns")
-    return _range_positions(df, part_cols, order_cols, pos_col, max_group_rows)
-
-
-def _as_double(df: DataFrame, c: str) -> Column:
-    t = df.schema[c].dataType.typeName()
-    if t in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    return F.col(c).cast("double")
-
-
-def _range_positions(df: DataFrame, part: list, order: list, pos_col: str, max_group_rows: int) -> DataFrame:
-    """Split-safe numbering: a node with more than ``max_group_rows`` rows is cut
-    into buckets by approximate quantiles of its first order column; rows are
-    numbered inside ``(node, bucket)`` and shifted by the sizes of the earlier
-    buckets. Rows with equal first-key values share a bucket, so the global
-    order is kept. The cut table (one row per hot node) is checkpointed, so
-    every branch and every retried task sees the same cuts.
-    """
-    key = _as_double(df, order[0])
+    if not all(isinstance(c, str) for c in part + order):
+        raise ValueError("range positions need named columns")
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > max_group_rows)
-    top = hot.agg(F.max("_n")).first()[0]  # scalar
-    x = df.withColumn("_k", key)
-    if top:
-        m = -(-int(top) // max_group_rows)  # buckets for the largest node
-        fr = [i / m for i in range(1, m)]
-        cuts = x.join(hot.select(*part), on=part, how="left_semi").groupBy(*part) \
-            .agg(F.percentile_approx("_k", fr, 10000).alias("_cuts")).checkpoint()
-        x = x.join(cuts, on=part, how="left")
-        bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_k"))), F.lit(0))
-        x = x.withColumn("_b", bucket.cast("int")).drop("_cuts")
-    else:
-        x = x.withColumn("_b", F.lit(0))
-    bc = x.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    w = Window.partitionBy(*part, "_b").orderBy(*order)
-    out = x.join(bc, on=[*part, "_b"], how="inner") \
-        .withColumn(pos_col, (F.col("_off") + F.row_number().over(w)).cast("long"))
-    return out.drop("_k", "_b", "_off")
+    hot = sizes.where(F.col("_n") > max_group_rows).select(*[F.col(c).alias(f"_hot_{c}") for c in part])
+    if hot.isEmpty():
+        return df.withColumn(pos_col, numbered)
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in part]
+    small = df.join(hot, same, "left_anti").withColumn(pos_col, numbered)
+    return small.unionByName(_sorted_positions(df.join(hot, same, "left_semi"), part, order, pos_col))
+
+
+def _sorted_positions(df: DataFrame, part: list[str], order: list[str], pos_col: str) -> DataFrame:
+    """Positions of large groups: place in a range-sorted partition plus the
+    group's rows in earlier partitions. The sorted rows are checkpointed, so
+    both uses and every retried task see the same partitions."""
+    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*part, *order).sortWithinPartitions(*part, *order).select(
+        "*", F.spark_partition_id().alias("_p"), in_partition.alias("_i")).checkpoint()
+    before = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*part, "_p").agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_c")).withColumn(
+        "_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"_of_{c}") for c in part], F.col("_p").alias("_of_p"), "_lo", "_off")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part] + [F.col("_p") == F.col("_of_p")]
+    return rows.join(parts, same).select(*df.columns, (F.col("_off") + F.col("_i") - F.col("_lo") + 1).alias(pos_col))
 
 
 def chunked(df: DataFrame, pos_col: str, w: int, chunk_rows: int) -> DataFrame:
@@ -103,13 +87,3 @@ def chunked(df: DataFrame, pos_col: str, w: int, chunk_rows: int) -> DataFrame:
     chunks = F.when(F.lit(w > 1) & (r >= F.lit(halo_from)), F.array(c, c + 1)).otherwise(F.array(c))
     out = df.withColumn("_own", c).withColumn(CHUNK_COL, F.explode(chunks))
     return out.withColumn(HALO_COL, F.col(CHUNK_COL) != F.col("_own")).drop("_own")
-
-
-def row_blocks(pos, size: int) -> Column:
-    """Block number (0-based) of a 1-based position in blocks of ``size`` rows."""
-    return F.floor((F.col(pos) - 1) / F.lit(size)).cast("long") if isinstance(pos, str) else \
-        F.floor((pos - 1) / F.lit(size)).cast("long")
-
-
-def keys_of(part_cols: Sequence) -> list:
-    return _cols(part_cols)

@@ -102,8 +102,11 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 # A10 ------------------------------------------------------------------------
 def pearson(a: str, b: str) -> Column:
-    """Pearson correlation as an aggregate; NULL when a column is constant (ANSI safe)."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    """Pearson correlation as an aggregate over the rows that have both values;
+    NULL when a column is constant there (ANSI safe)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

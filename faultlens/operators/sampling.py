@@ -89,7 +89,7 @@ def targets(counts: DataFrame, label: str, group: Sequence[str], strategy) -> Da
 def subsample_class_targets(counts: DataFrame, label: str, group: Sequence[str], cls: int) -> DataFrame:
     """M5: class ``cls`` -> int(mean of the counts that differ from its own count)."""
     if not 0 <= int(cls) <= 7:
-        raise ValueError("Wrong label given as input")
+        raise ValueError(f"class {cls!r} is not one of 0..7")
     g = list(group)
     wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
     own = F.max(F.when(F.col(label) == cls, F.col("n"))).over(wg)
@@ -109,7 +109,7 @@ def keep_first_by_hash(df: DataFrame, tgt: DataFrame, label: str, group: Sequenc
     t = tgt.select(*g, label, "n", "target")
     if exact_window:
         w = Window.partitionBy(*g, label).orderBy(HASH_COL, *key)
-        r = h.join(F.broadcast(t), on=[*g, label]).withColumn("_rn", F.row_number().over(w))
+        r = h.join(t, on=[*g, label]).withColumn("_rn", F.row_number().over(w))
         return r.where(F.col("_rn") <= F.col("target")).select(*df.columns)
     # bucketed plan: 16-bit hash prefix buckets
     h = h.withColumn("_b", F.conv(F.substring(HASH_COL, 1, 4), 16, 10).cast("int"))
@@ -251,3 +251,9 @@ def complementary_halves(train: DataFrame, node: str = "node", half: str = "half
     one = train.groupBy(node).agg(F.count(F.lit(1)).alias("_c"), F.max(half).alias("_h"))
     return one.where(F.col("_c") == 1).select(node, (3 - F.col("_h")).alias(half))
 
+
+def test_halves(all_nodes: DataFrame, train: DataFrame, node: str = "node", half: str = "half") -> DataFrame:
+    """The whole test set: nodes that no half was trained on (``half`` 0 =
+    all their rows), and the other half of nodes with exactly one training half."""
+    untouched = test_nodes(all_nodes.select(node).distinct(), train, [node]).withColumn(half, F.lit(0))
+    return untouched.unionByName(complementary_halves(train, node, half))

@@ -23,32 +23,19 @@ ship_by_value(__name__)
 
 
 def _mode_counts(lab: np.ndarray, w: int) -> np.ndarray:
-    """Most frequent value per window (smallest on ties); NaN entries skipped."""
-    ok = ~np.isnan(lab)
-    vals = np.unique(lab[ok])
-    m = len(lab) - w + 1
-    if len(vals) == 0:
-        return np.full(m, np.nan)
-    if len(vals) <= 256:
-        idx = np.searchsorted(vals, np.where(ok, lab, vals[0]))
-        onehot = np.zeros((len(lab) + 1, len(vals)), dtype=np.int32)
-        onehot[np.arange(1, len(lab) + 1)[ok], idx[ok]] = 1
-        cs = np.cumsum(onehot, axis=0)
-        counts = cs[w:] - cs[:-w]
-        best = np.argmax(counts, axis=1)  # first max = smallest value on ties
-        res = vals[best].astype(float)
-        res[counts.max(axis=1) == 0] = np.nan
-        return res
-    out = np.empty(m)
-    for i in range(m):  # many distinct labels: per-window counting
-        win = lab[i:i + w]
-        win = win[~np.isnan(win)]
-        if len(win) == 0:
-            out[i] = np.nan
-            continue
-        u, c = np.unique(win, return_counts=True)
-        out[i] = u[np.argmax(c)]
-    return out
+    """Most frequent value per window (smallest on ties); NaN entries skipped.
+
+    Each window is sorted, and the length of the run up to every place is its
+    distance from the run's start, so the method is the same for any number of
+    distinct labels.
+    """
+    S = np.sort(sliding_window_view(lab, w), axis=1)  # NaN goes last
+    place = np.arange(w)
+    begins = np.ones(S.shape, dtype=bool)
+    begins[:, 1:] = S[:, 1:] != S[:, :-1]
+    run = place - np.maximum.accumulate(np.where(begins, place, 0), axis=1) + 1
+    run[np.isnan(S)] = 0
+    return S[np.arange(len(S)), np.argmax(run, axis=1)]
 
 
 def _last_nonzero(lab: np.ndarray, w: int) -> np.ndarray:
@@ -80,11 +67,9 @@ def window_stats_frame(pdf: pd.DataFrame, *, keys: Sequence[str], pos: str, metr
         out[k] = pdf[k].to_numpy()[w - 1:][keep]
     out[pos] = end_pos[keep]
     out["window_id"] = (end_pos[keep] - w) // step
-    views = {}
-    for c in metrics:
+    for c in metrics:  # one metric's windows at a time
         x = pdf[c].to_numpy(dtype=float)
         V = sliding_window_view(x, w)[keep]
-        views[c] = V
         has_nan = np.isnan(V).any()
         pct_names = [s for s in stats if s in PERCENTILES]
         pct = None
@@ -114,11 +99,8 @@ def window_stats_frame(pdf: pd.DataFrame, *, keys: Sequence[str], pos: str, metr
                 raise ValueError(s)
             out[name] = v.astype(float)
     for a, b in pairs:
-        A, B = views.get(a), views.get(b)
-        if A is None:
-            A = sliding_window_view(pdf[a].to_numpy(dtype=float), w)[keep]
-        if B is None:
-            B = sliding_window_view(pdf[b].to_numpy(dtype=float), w)[keep]
+        A = sliding_window_view(pdf[a].to_numpy(dtype=float), w)[keep]
+        B = sliding_window_view(pdf[b].to_numpy(dtype=float), w)[keep]
         Ac = A - A.mean(axis=1, keepdims=True)
         Bc = B - B.mean(axis=1, keepdims=True)
         cov = (Ac * Bc).mean(axis=1)

@@ -7,7 +7,7 @@ semantics with plain ANSI window functions, self-joins and aggregates.
 
 from __future__ import annotations
 
-from faultlens.sources.telemetry import APP_CODES, EVENT_METRICS, LINEITEM_METRICS
+from faultlens.sources.telemetry import APP_CODES, EVENT_METRICS, LINEITEM_METRICS, VECTOR_DIMS
 
 _APP_LIST = ", ".join(str(a) for a in APP_CODES)
 
@@ -16,9 +16,9 @@ VIEWS: dict[str, str] = {}
 VIEWS["readings"] = f"""
   SELECT 'N' || CAST(user_id AS VARCHAR) AS node, user_id AS node_no, event_type AS metric,
          ts, value, event_id,
-         CAST(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS INTEGER) AS k,
-         CAST(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS INTEGER) % 8 AS fault,
-         [{_APP_LIST}][CAST(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS INTEGER) % 6 + 1] AS app
+         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 AS fault,
+         [{_APP_LIST}][TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 6 + 1] AS app
   FROM events"""
 
 VIEWS["node_seconds"] = "\n  SELECT node, date_trunc('second', ts) AS ts,\n" + ",\n".join(
@@ -76,7 +76,7 @@ VIEWS["cpu_wide"] = """
   FROM lineitem"""
 
 VIEWS["ml_vectors"] = "\n  SELECT vec_id, 'N' || CAST(vec_id % 8 AS VARCHAR) AS node, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8)) + ", label\n  FROM embeddings"
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(VECTOR_DIMS)) + ", label\n  FROM embeddings"
 
 # dependencies between views, in definition order
 _DEPS = {"readings": [], "node_seconds": ["readings"], "ns_pos": ["node_seconds"],

@@ -25,12 +25,17 @@ from faultlens.operators.sampling import hash_key
 
 ship_by_value(__name__)
 
+#: Series that one task aligns at a time.
+PAIRS = 64
+
 
 def node_series(df: DataFrame, metrics: Sequence[str], *, node: str = "node", pos: str = "pos",
-                start: int = 1, length: int = 7200, scale: bool = True) -> DataFrame:
-    """S5 + F9: rows ``start .. start+length-1`` of each node, z-scaled per node and
+                start: int = 1, length: int | None = None, scale: bool = True) -> DataFrame:
+    """S5 + F9: the rows of each node from ``start`` (``length`` of them, or all), z-scaled per node and
     metric, as ``(node, series array<array<double>>)`` in position order."""
-    r = df.where(F.col(pos).between(start, start + length - 1)).select(node, pos, *metrics)
+    r = df.where(F.col(pos) >= start).select(node, pos, *metrics)
+    if length is not None:
+        r = r.where(F.col(pos) < start + length)
     if scale:
         r = zscore_scale(r, list(metrics), part=(node,))
     pts = r.groupBy(node).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
@@ -38,35 +43,56 @@ def node_series(df: DataFrame, metrics: Sequence[str], *, node: str = "node", po
     return pts.select(node, F.transform("_s", lambda x: x["v"]).alias("series"))
 
 
+def _diagonals(n: int, m: int):
+    """Anti-diagonals of an n x m table: ``(k, rows i)`` with column ``k - i``."""
+    for k in range(n + m - 1):
+        yield k, np.arange(max(0, k - m + 1), min(n, k + 1))
+
+
 def _dtw_batch(A: np.ndarray, la: np.ndarray, B: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """DTW cost (sqrt of summed squared distances) for pairs (A[p], B[p]).
-    A: (P, Ta, d) padded, B: (P, Tb, d) padded; returns (P,)."""
-    P, Ta, _ = A.shape
-    Tb = B.shape[1]
-    C = ((A[:, :, None, :] - B[:, None, :, :]) ** 2).sum(-1)  # (P, Ta, Tb)
-    D = np.full((P, Ta + 1, Tb + 1), np.inf)
-    D[:, 0, 0] = 0.0
-    for i in range(1, Ta + 1):
-        for j in range(1, Tb + 1):
-            D[:, i, j] = C[:, i - 1, j - 1] + np.minimum(np.minimum(D[:, i - 1, j - 1], D[:, i - 1, j]),
-                                                         D[:, i, j - 1])
-    return np.sqrt(D[np.arange(P), la, lb])
+    A: (P, Ta, d) padded, B: (P, Tb, d) padded; returns (P,).
+
+    The table is walked along its anti-diagonals, whose cells don't depend on
+    one another, and only the last two are kept: memory is P x Ta.
+    """
+    P, n, _ = A.shape
+    m = B.shape[1]
+    cost = np.full(P, np.inf)
+    before, last = np.full((P, n + 1), np.inf), np.full((P, n + 1), np.inf)  # column i + 1 is row i
+    for k, i in _diagonals(n, m):
+        step = ((A[:, i] - B[:, k - i]) ** 2).sum(-1)
+        best = np.minimum(np.minimum(last[:, i + 1], last[:, i]), before[:, i]) if k else np.zeros((P, 1))
+        now = np.full((P, n + 1), np.inf)
+        now[:, i + 1] = step + best
+        done = np.flatnonzero(la + lb - 2 == k)
+        cost[done] = now[done, la[done]]
+        before, last = last, now
+    return np.sqrt(cost)
 
 
 def dtw_path(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Optimal alignment path between two series (for DBA and tests)."""
+    """Optimal alignment path between two series (for DBA and tests). Of the
+    table only the direction of every cell is kept, one byte each."""
     n, m = len(a), len(b)
-    C = ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
-    D = np.full((n + 1, m + 1), np.inf)
-    D[0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            D[i, j] = C[i - 1, j - 1] + min(D[i - 1, j - 1], D[i - 1, j], D[i, j - 1])
-    i, j, path = n, m, [(n - 1, m - 1)]
-    while (i, j) != (1, 1):
-        cand = [(D[i - 1, j - 1], i - 1, j - 1), (D[i - 1, j], i - 1, j), (D[i, j - 1], i, j - 1)]
-        _, i, j = min((c for c in cand if c[1] >= 1 and c[2] >= 1), key=lambda x: x[0])
-        path.append((i - 1, j - 1))
+    came = np.zeros((n, m), np.int8)
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    for k, i in _diagonals(n, m):
+        step = ((a[i] - b[k - i]) ** 2).sum(-1)
+        now = np.full(n + 1, np.inf)
+        if k:
+            options = np.stack([before[i], last[i], last[i + 1]])  # from (i-1, j-1), (i-1, j), (i, j-1)
+            way = options.argmin(0)
+            came[i, k - i] = way
+            now[i + 1] = step + options[way, np.arange(len(i))]
+        else:
+            now[i + 1] = step
+        before, last = last, now
+    i, j, path = n - 1, m - 1, [(n - 1, m - 1)]
+    while i or j:
+        way = came[i, j]
+        i, j = i - (way != 2), j - (way != 1)
+        path.append((int(i), int(j)))
     return path[::-1]
 
 
@@ -95,14 +121,14 @@ def _distances_fn(centroids: list[np.ndarray], node: str):
         for pdf in it:
             if pdf.empty:
                 continue
-            ser = [_to_arr(s) for s in pdf["series"]]
-            A, la = _pad(ser)
-            rows = []
-            for ci, c in enumerate(cents):
-                B = np.repeat(c[None], len(ser), axis=0)
-                dist = _dtw_batch(A, la, B, np.full(len(ser), len(c)))
-                rows.append(pd.DataFrame({node: pdf[node].to_numpy(), "centroid": ci, "dtw": dist}))
-            yield pd.concat(rows, ignore_index=True)
+            for s in range(0, len(pdf), PAIRS):  # a bounded number of tables at a time
+                part = pdf.iloc[s:s + PAIRS]
+                ser = [_to_arr(x) for x in part["series"]]
+                A, la = _pad(ser)
+                for ci, c in enumerate(cents):
+                    B = np.broadcast_to(c, (len(ser), *c.shape))
+                    dist = _dtw_batch(A, la, B, np.full(len(ser), len(c)))
+                    yield pd.DataFrame({node: part[node].to_numpy(), "centroid": ci, "dtw": dist})
     return fn
 
 
@@ -110,16 +136,20 @@ def _align_fn(centroids: list[np.ndarray], node: str):
     cents = [np.asarray(c, float) for c in centroids]
 
     def fn(it):
+        # sums per task, so a task sends k x T x d numbers whatever its series
+        sums = [np.zeros_like(c) for c in cents]
+        counts = [np.zeros(len(c), np.int64) for c in cents]
         for pdf in it:
-            out = []
             for s, cl in zip(pdf["series"], pdf["cluster"]):
                 a = _to_arr(s)
-                c = cents[int(cl)]
-                for ti, si in dtw_path(c, a):
-                    for dd, v in enumerate(a[si]):
-                        out.append((int(cl), ti, dd, float(v)))
-            if out:
-                yield pd.DataFrame(out, columns=["cluster", "t", "dim", "v"])
+                ti, si = np.array(dtw_path(cents[int(cl)], a)).T
+                np.add.at(sums[int(cl)], ti, a[si])
+                np.add.at(counts[int(cl)], ti, 1)
+        for cl, (x, n) in enumerate(zip(sums, counts)):
+            t, dd = np.nonzero(np.broadcast_to(n[:, None] > 0, x.shape))
+            if len(t):
+                yield pd.DataFrame({"cluster": np.int32(cl), "t": t.astype(np.int32), "dim": dd.astype(np.int32),
+                                    "total": x[t, dd], "n": n[t]})
     return fn
 
 
@@ -140,7 +170,7 @@ def dtw_kmeans(series: DataFrame, k: int, *, node: str = "node", seed: int = 42,
     cents = [_to_arr(r["series"]) for r in init]
     dist_schema = T.StructType([series.schema[node], T.StructField("centroid", T.IntegerType()),
                                 T.StructField("dtw", T.DoubleType())])
-    align_schema = "cluster int, t int, dim int, v double"
+    align_schema = "cluster int, t int, dim int, total double, n long"
     prev = None
     for _ in range(max_iter):
         d = series.mapInPandas(_distances_fn(cents, node), dist_schema)
@@ -152,16 +182,19 @@ def dtw_kmeans(series: DataFrame, k: int, *, node: str = "node", seed: int = 42,
                 .where(F.col("cluster") != F.col("_old")).count()  # scalar
             if changed == 0:
                 break
+            prev.unpersist()
         prev = assign
         members = series.join(assign.select(node, "cluster"), on=node)
         for _b in range(max_iter_barycenter):
             al = members.mapInPandas(_align_fn(cents, node), align_schema)
-            sums = al.groupBy("cluster", "t", "dim").agg(F.avg("v").alias("v"))
+            sums = al.groupBy("cluster", "t", "dim").agg((F.sum("total") / F.sum("n")).alias("v"))
             cents = _collect_centroids(sums, k, cents)
     d = series.mapInPandas(_distances_fn(cents, node), dist_schema)
     w = Window.partitionBy(node).orderBy("dtw", "centroid")
     assign = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1) \
         .select(node, F.col("centroid").alias("cluster"), "dtw")
+    if prev is not None:
+        prev.unpersist()
     return assign, cents
 
 

@@ -88,8 +88,9 @@ def _sql_windows(view: str, metrics, w, step, stats, label=None, label_mode="mod
                 e = f"({q})[{pct_stats.index(s) + 1}]"
             cols.append(_r(e, f"{s}_{m}", digits))
     for a, b in corr_pairs:
-        e = (f"coalesce(covar_pop({a}, {b}) OVER {win} / nullif(stddev_pop({a}) OVER {win} * "
-             f"stddev_pop({b}) OVER {win}, 0), 0)")
+        x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+        e = (f"CASE WHEN count({x}) OVER {win} < {w} THEN 0 ELSE coalesce(covar_pop({x}, {y}) OVER {win} / "
+             f"nullif(stddev_pop({x}) OVER {win} * stddev_pop({y}) OVER {win}, 0), 0) END")
         cols.append(_r(e, f"corr_{a}_{b}", digits))
     extra = []
     join = ""
@@ -135,17 +136,23 @@ def _big(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# Flagship: 11 windowed statistics + mode label per node, then windows per label.
+# Flagship: 11 windowed statistics + mode label per node, then their means per label.
 # ---------------------------------------------------------------------------
+_FLAG_STATS = [f"{s}_{m}" for m in tv.EVENT_METRICS for s in STATS11]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features.window_features(_small(spark, sf_dir), tv.EVENT_METRICS, w=SMALL_W, step=1,
-                                     numfeatures=11, label="fault", label_mode="mode")
-    return feats.groupBy("label").agg(F.count(F.lit(1)).alias("n_windows")).orderBy("label")
+                                     numfeatures=11, label="fault", label_mode="mode", engine="pandas")
+    means = feats.groupBy("label").agg(F.count(F.lit(1)).alias("n_windows"),
+                                       *[F.avg(c).alias(c) for c in _FLAG_STATS])
+    return round_doubles(means, 4)
 
 
-_flag_extra, _ = _sql_windows("node_table", tv.EVENT_METRICS, SMALL_W, 1, ["mean"], label="fault")
-register("flagship_window_label_counts", with_views("node_table", extra=_flag_extra) +
-         "SELECT lab_mode.lab AS label, count(*) AS n_windows FROM lab_mode GROUP BY 1 ORDER BY 1")(flagship)
+_flag_extra, _flag_body = _sql_windows("node_table", tv.EVENT_METRICS, SMALL_W, 1, STATS11, label="fault", digits=9)
+register("flagship_window_label_means", with_views("node_table", extra=[*_flag_extra, ("feats", _flag_body)]) +
+         "SELECT label, count(*) AS n_windows, " + ", ".join(_r(f'avg("{c}")', c, 4) for c in _FLAG_STATS) +
+         " FROM feats GROUP BY label")(flagship)
 
 
 # Each statistic family on its own (small view, w=10, step 1) ---------
@@ -255,7 +262,8 @@ register("w11_large_step_exploded", _windows_sql(
 
 # The align stage ------------------------------------------
 def w12_row_position(spark, sf_dir):
-    return tv.windows_big(spark, sf_dir, pos_method="range").select("node", "pos", *tv.LINEITEM_METRICS)
+    """Small ``max_group_rows``, so that the nodes take the split plan."""
+    return tv.windows_big(spark, sf_dir, max_group_rows=100).select("node", "pos", *tv.LINEITEM_METRICS)
 
 
 register("w12_row_position", with_views("windows_big") +
@@ -302,7 +310,7 @@ def w15_fill_labels(spark, sf_dir):
         "fault", F.when(F.col("click").isNull(), F.col("fault")))  # labels only on click seconds
     from faultlens.operators.positions import add_positions
     ns = add_positions(ns, "node", "ts")
-    out = align.fill_forward_backward(ns, ["fault"], part=("node",), order=("pos",))
+    out = align.fill_forward_backward(ns, ["fault"], chunk_rows=7)
     return out.select("node", "pos", "fault")
 
 
@@ -317,7 +325,7 @@ FROM (SELECT *, CASE WHEN click IS NULL THEN fault END AS f FROM ns_pos)""")(w15
 def w17_fill_backward(spark, sf_dir):
     from faultlens.operators.positions import add_positions
     ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts")
-    out = align.fill_backward(ns, tv.EVENT_METRICS, part=("node",), pos="pos")
+    out = align.fill_backward(ns, tv.EVENT_METRICS, chunk_rows=7)
     return round_doubles(out.select("node", "pos", *tv.EVENT_METRICS))
 
 
@@ -365,16 +373,15 @@ def j03_substring_semi_join(spark, sf_dir):
     return align.sensors_of_nodes(tv.sensor_paths(spark, sf_dir), tv.node_list(spark, sf_dir)).select("path")
 
 
-_PATHS_SQL = """paths AS (SELECT DISTINCT '/site/rack/chassis/n' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '/'
-  || event_type AS path FROM events),
-nodes AS (SELECT DISTINCT 'n' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS node FROM events WHERE user_id % 2 = 0)
+_PATHS_SQL = """paths AS (SELECT DISTINCT printf('/site/rack/chassis/n%05d/%s', user_id, event_type) AS path FROM events),
+nodes AS (SELECT DISTINCT printf('n%05d', user_id) AS node FROM events WHERE user_id % 2 = 0)
 """
 register("j03_substring_semi_join", "WITH " + _PATHS_SQL + """SELECT path FROM paths p
 WHERE EXISTS (SELECT 1 FROM nodes n WHERE contains(replace(p.path, '/', ''), n.node))""")(j03_substring_semi_join)
 
 
 def p01_sensors_in_node_list(spark, sf_dir):
-    return align.sensors_of_nodes_nested(tv.sensor_paths(spark, sf_dir), tv.node_list(spark, sf_dir)) \
+    return align.sensors_of_nodes(tv.sensor_paths(spark, sf_dir), tv.node_list(spark, sf_dir)) \
         .select("path")
 
 

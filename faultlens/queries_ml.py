@@ -36,8 +36,7 @@ _T1_NS = (1704067200 + 14 * 86400) * 10**9  # two weeks later
 def s01_sensor_exports_scan(spark, sf_dir):
     r = tv.readings(spark, sf_dir)
     export = r.select(
-        F.concat(F.lit("/site/rack/chassis/n"), F.lpad(F.col("node_no").cast("string"), 5, "0"),
-                 F.lit("/"), F.col("metric")).alias("Sensor"),
+        F.format_string("/site/rack/chassis/n%05d/%s", "node_no", "metric").alias("Sensor"),
         (fx.epoch_micros("ts") * 1000).alias("Time"), F.col("value").alias("Value"))
     path = _scratch(spark, "exports")
     export.write.option("header", True).mode("overwrite").csv(path)
@@ -46,8 +45,7 @@ def s01_sensor_exports_scan(spark, sf_dir):
     return round_doubles(out.select("sensor", "metric", fx.epoch_micros("ts").alias("micros"), "value"))
 
 
-register("s01_sensor_exports_scan", f"""SELECT '/site/rack/chassis/n' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '/'
-  || event_type AS sensor, event_type AS metric, epoch_us(ts) AS micros, {qz('value')} AS value
+register("s01_sensor_exports_scan", f"""SELECT printf('/site/rack/chassis/n%05d/%s', user_id, event_type) AS sensor, event_type AS metric, epoch_us(ts) AS micros, {qz('value')} AS value
 FROM events WHERE user_id % 2 = 0 AND epoch_us(ts) * 1000 BETWEEN {_T0_NS} AND {_T1_NS}""")(s01_sensor_exports_scan)
 
 
@@ -108,7 +106,7 @@ def s17_training_nodes(spark, sf_dir):
     d.where(F.col("role") == "train").select(F.col("node").alias("nodename")) \
         .write.option("header", True).mode("overwrite").csv(path)
     tr = readers.read_training_nodes(spark, path)
-    return tv.readings(spark, sf_dir).join(F.broadcast(tr), "node", "left_semi") \
+    return tv.readings(spark, sf_dir).join(tr, "node", "left_semi") \
         .groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -125,11 +123,11 @@ def _vectors(spark, sf_dir):
     return add_positions(v, "node", "vec_id")
 
 
-_VCOLS = [f"f{i}" for i in range(8)]
+_VCOLS = [f"f{i}" for i in range(tv.VECTOR_DIMS)]
 
 
 def s09_feature_list_roundtrip(spark, sf_dir):
-    imp = selection.tree_importance(_vectors(spark, sf_dir), _VCOLS, max_depth=5)
+    imp = selection.tree_importance(_vectors(spark, sf_dir), _VCOLS)
     path = _scratch(spark, "featlist")
     featurelist.write_feature_list(imp, path, "Most important features", fmt="ranked")
     plain = featurelist.feature_table(spark, path, "plain")
@@ -191,7 +189,7 @@ register("l06_train_save_score")(l06_train_save_score)
 
 def l07_cross_validation(spark, sf_dir):
     return round_doubles(forest.cross_validate(_vectors(spark, sf_dir), _VCOLS, k=5, folds="stratified",
-                                               labels=list(range(10)), num_trees=10, max_depth=10))
+                                               labels=list(range(10))))
 
 
 register("l07_cross_validation")(l07_cross_validation)
@@ -212,14 +210,14 @@ register("l08_tree_importance")(l08_tree_importance)
 
 
 def l09_rfe(spark, sf_dir):
-    return selection.rfe(_vectors(spark, sf_dir), _VCOLS, 4, num_trees=10, max_depth=8)
+    return selection.rfe(_vectors(spark, sf_dir), _VCOLS, 4, step=12)
 
 
 register("l09_rfe")(l09_rfe)
 
 
 def l10_rfecv(spark, sf_dir):
-    curve, sel = selection.rfecv(_vectors(spark, sf_dir), _VCOLS[:4], k=3, num_trees=10, max_depth=8)
+    curve, sel = selection.rfecv(_vectors(spark, sf_dir), _VCOLS, k=5, step=21)
     n_sel = sel.where(F.col("selected")).count()  # scalar
     return curve.withColumn("n_selected", F.lit(n_sel))
 
@@ -228,7 +226,7 @@ register("l10_rfecv")(l10_rfecv)
 
 
 def l11_lasso_selection(spark, sf_dir):
-    return round_doubles(selection.lasso_selection(_vectors(spark, sf_dir), _VCOLS, folds=3))
+    return round_doubles(selection.lasso_selection(_vectors(spark, sf_dir), _VCOLS))
 
 
 register("l11_lasso_selection")(l11_lasso_selection)
@@ -281,8 +279,7 @@ register("l16_clustering_job")(l16_clustering_job)
 
 
 def _series(spark, sf_dir):
-    # S5 range 1..100 rows: every node's whole series at the given scales
-    return dtw.node_series(_node_points(spark, sf_dir), ["click", "error", "view"], start=1, length=100)
+    return dtw.node_series(_node_points(spark, sf_dir), ["click", "error", "view"])
 
 
 def l17_dtw_kmeans(spark, sf_dir):
@@ -307,14 +304,3 @@ def f10_mahalanobis(spark, sf_dir):
 
 
 register("f10_mahalanobis")(f10_mahalanobis)
-
-
-def s16_run_config(spark, sf_dir):
-    cfg = clustering.run_config(spark, faults=[0, 1], apps=[20, 21, 22], columns=["click", "error", "view"],
-                                halves=True, threshold=2.0, sf_dir=sf_dir)
-    path = _scratch(spark, "config")
-    sinks.write_run_config(cfg, path)
-    return spark.read.json(path)
-
-
-register("s16_run_config")(s16_run_config)

@@ -98,11 +98,29 @@ register("a14_f1_zero_division", with_views("predictions", extra=conf_ctes("pred
     ("fullc", "  SELECT k.node, l.cls FROM (SELECT DISTINCT node FROM conf) k, "
              "(SELECT unnest(range(8)) AS cls) l"),
     ("conf8", "  SELECT fullc.node, fullc.cls, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, "
-              "coalesce(tn, 0) AS tn FROM fullc LEFT JOIN conf USING (node, cls)"),
+              "coalesce(tn, total) AS tn FROM fullc LEFT JOIN conf USING (node, cls) JOIN tot USING (node)"),
 ] + scores_ctes("node", ["f1"], 1.0, conf="conf8")) + f"SELECT node, metric, cls, {qz('score')} AS score FROM scores")(
     a14_f1_zero_division)
 
 
+def a17_rates_with_absent_classes(spark, sf_dir):
+    return round_doubles(_scores_spark(spark, sf_dir, ["specificity", "fp_rate"], labels=list(range(8))))
+
+
+register("a17_rates_with_absent_classes", with_views("predictions", extra=conf_ctes("predictions", "node") + [
+    ("fullc", "  SELECT k.node, l.cls FROM (SELECT DISTINCT node FROM conf) k, "
+             "(SELECT unnest(range(8)) AS cls) l"),
+    ("negatives", "  SELECT f.node, f.cls, count(*) AS rest, count(*) FILTER (WHERE p.pred <> f.cls) AS right "
+                  "FROM fullc f JOIN predictions p ON p.node = f.node AND p.y <> f.cls GROUP BY f.node, f.cls"),
+] + scores_ctes("node", ["specificity", "fp_rate"])) + f"""
+SELECT node, 'specificity' AS metric, CAST(cls AS VARCHAR) AS cls, {qz('"right" / rest')} AS score
+FROM fullc LEFT JOIN negatives USING (node, cls)
+UNION ALL SELECT node, 'fp_rate' AS metric, CAST(cls AS VARCHAR) AS cls, {qz('(rest - "right") / rest')} AS score
+FROM fullc LEFT JOIN negatives USING (node, cls)
+UNION ALL SELECT node, metric, cls, {qz('score')} AS score FROM scores WHERE cls = 'overall'""")(
+    a17_rates_with_absent_classes)
+
+
 def a15_class_accuracy(spark, sf_dir):
     return round_doubles(metrics.class_accuracy(tv.predictions(spark, sf_dir), ["node"]))
 
@@ -129,6 +147,19 @@ SELECT node, metric, cls, {qz('avg(score)')} AS score, count(fold) AS n_folds FR
     a20_fold_means)
 
 
+def a20_fold_table(spark, sf_dir):
+    p = sampling.kfold(_pred_pos(spark, sf_dir), 5, node="node", pos="pos")
+    return round_doubles(metrics.fold_table(metrics.scores(p, ["node", "fold"], metrics=["f1"]), ["node"]))
+
+
+register("a20_fold_table", with_views("predictions", extra=[
+    ("pp", "  SELECT *, ntile(5) OVER (PARTITION BY node ORDER BY event_id) - 1 AS fold FROM predictions"),
+] + conf_ctes("pp", "node, fold") + scores_ctes("node, fold", ["f1"])) + f"""
+SELECT node, metric, cls, CAST(fold AS VARCHAR) AS fold, {qz('score')} AS score FROM scores
+UNION ALL SELECT node, metric, cls, 'all' AS fold, {qz('avg(score)')} AS score FROM scores GROUP BY node, metric, cls""")(
+    a20_fold_table)
+
+
 # A2-A11, P11, A21-A22 -------------------------------------------------------
 def a02_value_counts(spark, sf_dir):
     return profile.value_counts(tv.readings(spark, sf_dir), "fault", names=True)
@@ -244,7 +275,8 @@ def a10_correlation_matrix(spark, sf_dir):
 
 
 def _pearson_sql(a, b):
-    return f"covar_pop({a}, {b}) / NULLIF(stddev_pop({a}) * stddev_pop({b}), 0)"
+    keep = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"covar_pop({a}, {b}) {keep} / NULLIF(stddev_pop({a}) {keep} * stddev_pop({b}) {keep}, 0)"
 
 
 _pairs = [(a, b) for i, a in enumerate(tv.LINEITEM_METRICS) for b in tv.LINEITEM_METRICS[i + 1:]]
@@ -356,7 +388,7 @@ def p05_metric_from_path(spark, sf_dir):
 
 
 register("p05_metric_from_path", "SELECT path, regexp_replace(path, '(/[^/]+/)([^/]+/){3}', '') AS metric FROM ("
-         "SELECT DISTINCT '/site/rack/chassis/n' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '/' || event_type "
+         "SELECT DISTINCT printf('/site/rack/chassis/n%05d/%s', user_id, event_type) "
          "AS path FROM events)")(p05_metric_from_path)
 
 
@@ -402,7 +434,7 @@ def p10_truncate_scores(spark, sf_dir):
 
 register("p10_truncate_scores", with_views("predictions", extra=conf_ctes("predictions", "node") +
                                            scores_ctes("node", ["f1"])) +
-         "SELECT node, metric, cls, CASE WHEN score >= 0 THEN floor(score * 100) / 100 ELSE ceil(score * 100) / 100 END "
+         "SELECT node, metric, cls, CAST(regexp_extract(CAST(score AS VARCHAR), '^[0-9]+([.][0-9]{1,2})?') AS DOUBLE) "
          "AS score FROM scores")(p10_truncate_scores)
 
 
@@ -434,7 +466,7 @@ def f03_regex_functions(spark, sf_dir):
 
 register("f03_regex_functions", """SELECT path, regexp_matches(path, '/n0000[0-9]/') AS low_node,
   contains(path, 'click') AS is_click, trim(replace(path, '/', ' ')) AS spaced, string_split(path, '/')[5] AS node_part
-FROM (SELECT DISTINCT '/site/rack/chassis/n' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '/' || event_type AS path
+FROM (SELECT DISTINCT printf('/site/rack/chassis/n%05d/%s', user_id, event_type) AS path
       FROM events)""")(f03_regex_functions)
 
 
@@ -471,25 +503,26 @@ register("f06_nan_inf_replace", with_views("windows_big") +
 
 def f07_minmax_scaling(spark, sf_dir):
     from faultlens.operators.features import minmax_scale
-    t = minmax_scale(tv.node_table(spark, sf_dir), tv.EVENT_METRICS, part=("node",))
+    ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts")  # with its holes
+    t = minmax_scale(ns, tv.EVENT_METRICS, part=("node",))
     return round_doubles(t.select("node", "pos", *tv.EVENT_METRICS, "fault"))
 
 
-register("f07_minmax_scaling", with_views("node_table") + "SELECT node, pos, " + ", ".join(
-    f"{qz(f'coalesce(({m} - min({m}) OVER (PARTITION BY node)) / NULLIF(max({m}) OVER (PARTITION BY node) - min({m}) OVER (PARTITION BY node), 0), 0)')} AS {m}"
-    for m in tv.EVENT_METRICS) + ", fault FROM node_table")(f07_minmax_scaling)
+register("f07_minmax_scaling", with_views("ns_pos") + "SELECT node, pos, " + ", ".join(
+    f"{qz(f'CASE WHEN {m} IS NOT NULL THEN coalesce(({m} - min({m}) OVER (PARTITION BY node)) / NULLIF(max({m}) OVER (PARTITION BY node) - min({m}) OVER (PARTITION BY node), 0), 0) END')} AS {m}"
+    for m in tv.EVENT_METRICS) + ", fault FROM ns_pos")(f07_minmax_scaling)
 
 
 def f08_zscore_per_node(spark, sf_dir):
     from faultlens.operators.features import zscore_scale
     v = tv.ml_vectors(spark, sf_dir)
-    cols = [f"f{i}" for i in range(8)]
+    cols = [f"f{i}" for i in range(tv.VECTOR_DIMS)]
     return round_doubles(zscore_scale(v, cols, part=("node",)).select("vec_id", "node", *cols))
 
 
 register("f08_zscore_per_node", with_views("ml_vectors") + "SELECT vec_id, node, " + ", ".join(
-    f"{qz(f'coalesce((f{i} - avg(f{i}) OVER (PARTITION BY node)) / NULLIF(stddev_pop(f{i}) OVER (PARTITION BY node), 0), 0)')} AS f{i}"
-    for i in range(8)) + " FROM ml_vectors")(f08_zscore_per_node)
+    f"{qz(f'CASE WHEN f{i} IS NOT NULL THEN coalesce((f{i} - avg(f{i}) OVER (PARTITION BY node)) / NULLIF(stddev_pop(f{i}) OVER (PARTITION BY node), 0), 0) END')} AS f{i}"
+    for i in range(tv.VECTOR_DIMS)) + " FROM ml_vectors")(f08_zscore_per_node)
 
 
 def f09_zscore_per_series(spark, sf_dir):
@@ -499,13 +532,13 @@ def f09_zscore_per_series(spark, sf_dir):
 
 
 register("f09_zscore_per_series", with_views("readings") + "SELECT event_id, " + qz(
-    "coalesce((value - avg(value) OVER (PARTITION BY node, metric)) / NULLIF(stddev_pop(value) OVER "
-    "(PARTITION BY node, metric), 0), 0)") + " AS value FROM readings")(f09_zscore_per_series)
+    "CASE WHEN value IS NOT NULL THEN coalesce((value - avg(value) OVER (PARTITION BY node, metric)) / NULLIF(stddev_pop(value) OVER "
+    "(PARTITION BY node, metric), 0), 0) END") + " AS value FROM readings")(f09_zscore_per_series)
 
 
-# node-level clusters for W18/W21/K4/F11: per-node mean of click, cluster by node number
+# node-level clusters for W18/W21/K4/F11: per-node mean of all readings, cluster by node number
 def _node_clusters(spark, sf_dir):
-    r = tv.readings(spark, sf_dir).where(F.col("metric") == "click")
+    r = tv.readings(spark, sf_dir)
     m = r.groupBy("node", "node_no").agg(F.avg("value").alias("c1"))
     m = m.withColumn("cluster", (F.col("node_no") % 4).cast("string"))
     avg = m.groupBy("cluster").agg(F.avg("c1").alias("_ca"), F.stddev_pop("c1").alias("_cs"))
@@ -515,7 +548,7 @@ def _node_clusters(spark, sf_dir):
 
 _NODE_CLUSTERS_SQL = with_views("readings", extra=[
     ("m", "  SELECT node, node_no, avg(value) AS c1, CAST(node_no % 4 AS VARCHAR) AS cluster FROM readings "
-          "WHERE metric = 'click' GROUP BY node, node_no"),
+          "GROUP BY node, node_no"),
     ("nc", "  SELECT m.*, abs(c1 - avg(c1) OVER (PARTITION BY cluster)) / stddev_pop(c1) OVER (PARTITION BY cluster) "
            "AS distance FROM m"),
 ])
@@ -684,11 +717,11 @@ def _nodes(spark, sf_dir):
 
 
 def m12_random_designs(spark, sf_dir):
-    return sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=3, tmin=10, tmax=100)
+    return sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=3)
 
 
 _DESIGN_SQL = with_views("readings", extra=[
-    ("pool", "  SELECT DISTINCT node, node_no FROM readings WHERE node_no >= 10 AND node_no <= 100"),
+    ("pool", "  SELECT DISTINCT node, node_no FROM readings"),
     ("grid", "  SELECT i AS iter, k FROM range(1, 4) t(i), range(1, 17) s(k)"),
     ("d", "  SELECT node, node_no, CAST(iter AS INTEGER) AS iter, CAST(k AS INTEGER) AS k, row_number() OVER "
           "(PARTITION BY iter, k ORDER BY md5('42:' || CAST(iter AS VARCHAR) || ':' || CAST(k AS VARCHAR) || ':' || node), "
@@ -699,7 +732,7 @@ register("m12_random_designs", _DESIGN_SQL + "SELECT node, node_no, iter, k, CAS
 
 
 def j04_test_nodes(spark, sf_dir):
-    d = sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=1, sizes=[4], tmin=10, tmax=100)
+    d = sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=1, sizes=[4])
     train = d.where(F.col("role") == "train")
     return sampling.test_nodes(_nodes(spark, sf_dir), train)
 
@@ -713,13 +746,14 @@ def j05_complementary_halves(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     train = n.where(F.col("node_no") % 3 == 0).select("node", F.lit(1).alias("half")).unionByName(
         n.where(F.col("node_no") % 5 == 0).select("node", F.lit(2).alias("half")))
-    return sampling.complementary_halves(train)
+    return sampling.test_halves(n.select("node"), train)
 
 
 register("j05_complementary_halves", with_views("readings", extra=[
     ("n", "  SELECT DISTINCT node, node_no FROM readings"),
     ("tr", "  SELECT node, 1 AS half FROM n WHERE node_no % 3 = 0 UNION ALL SELECT node, 2 FROM n WHERE node_no % 5 = 0"),
-]) + "SELECT node, 3 - max(half) AS half FROM tr GROUP BY node HAVING count(*) = 1")(j05_complementary_halves)
+]) + """SELECT node, 3 - max(half) AS half FROM tr GROUP BY node HAVING count(*) = 1
+UNION ALL SELECT node, 0 AS half FROM n WHERE node NOT IN (SELECT node FROM tr)""")(j05_complementary_halves)
 
 
 def j06_scores_vs_baseline(spark, sf_dir):
@@ -763,22 +797,27 @@ register("u01_union_node_tables", "SELECT 'N' || CAST(user_id AS VARCHAR) AS nod
 
 
 def u02_melt_tag_union(spark, sf_dir):
-    s = scores_long(spark, sf_dir)
-    wide = metrics.wide_scores(s.drop("method"), ["node", "node_no"], [str(i) for i in range(5)])
-    long = compare.melt(wide.drop("metric"), ["node", "node_no"], ["overall", *[str(i) for i in range(5)]],
-                        "fault", "value")
-    tagged = long.withColumn("method", F.when(F.col("node_no") % 2 == 0, "clustering").otherwise("random"))
-    return round_doubles(tagged)
+    """Two score sources, melted, tagged by method and concatenated."""
+    classes = [str(i) for i in range(5)]
+    sources = {}
+    for method, metric in (("clustering", "f1"), ("random", "sensitivity")):
+        wide = metrics.wide_scores(_scores_spark(spark, sf_dir, [metric]), ["node"], classes)
+        sources[method] = compare.melt(wide.drop("metric"), ["node"], ["overall", *classes], "fault", "value")
+    return round_doubles(compare.tag_and_union(sources))
 
 
-register("u02_melt_tag_union", _SCORES_LONG_SQL + f"""SELECT node, node_no, cls AS fault, {qz('score')} AS value,
-  CASE WHEN node_no % 2 = 0 THEN 'clustering' ELSE 'random' END AS method FROM sl""")(u02_melt_tag_union)
+register("u02_melt_tag_union", with_views("predictions", extra=conf_ctes("predictions", "node") +
+                                          scores_ctes("node", ["f1", "sensitivity"])) + f"""
+SELECT n.node, c.cls AS fault, {qz('score')} AS value, CASE m.metric WHEN 'f1' THEN 'clustering' ELSE 'random' END AS method
+FROM (SELECT DISTINCT node FROM predictions) n
+CROSS JOIN (VALUES ('overall'), ('0'), ('1'), ('2'), ('3'), ('4')) c(cls) CROSS JOIN (VALUES ('f1'), ('sensitivity')) m(metric)
+LEFT JOIN scores s ON s.node = n.node AND s.cls = c.cls AND s.metric = m.metric""")(u02_melt_tag_union)
 
 
 def u03_training_from_blocks(spark, sf_dir):
-    d = sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=3, sizes=[8], tmin=10, tmax=100)
+    d = sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=3, sizes=[8])
     testing = d.where(F.col("role") == "test").select(F.col("iter").alias("block"), "node")
-    return compare.training_from_blocks(_nodes(spark, sf_dir).where(F.col("node_no").between(10, 100)), testing)
+    return compare.training_from_blocks(_nodes(spark, sf_dir), testing)
 
 
 register("u03_training_from_blocks", _DESIGN_SQL.replace("range(1, 17) s(k)", "range(8, 9) s(k)") + """
@@ -817,7 +856,7 @@ FROM sl WHERE cls = 'overall'""")(w19_run_blocks)
 
 
 def w20_flag_repeats(spark, sf_dir):
-    d = sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=1, sizes=[10, 20], tmin=10, tmax=100)
+    d = sampling.random_designs(_nodes(spark, sf_dir), seed=42, iterations=1, sizes=[10, 20])
     t = d.where(F.col("role") == "train").select("node", F.when(F.col("k") == 10, "clustering")
                                                   .otherwise("random").alias("method"), "k")
     return compare.flag_repeats(t, "node", ["k"]).drop("k")
@@ -926,6 +965,6 @@ register("w14_delta_encode_counters", with_views("readings", extra=[
     ("m", "  SELECT node, metric, coalesce(min(dl) >= 0, true) OR coalesce(max(dl) <= 0, true) AS mono FROM d "
           "GROUP BY node, metric"),
     ("f", "  SELECT d.*, coalesce(dl, first_value(dl IGNORE NULLS) OVER (PARTITION BY node, metric ORDER BY ts, "
-          "event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS dd FROM d"),
+          "event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS dd FROM d"),
 ]) + f"SELECT node, metric, event_id, {qz('CASE WHEN mono THEN dd ELSE value END')} AS value "
      "FROM f JOIN m USING (node, metric)")(w14_delta_encode_counters)

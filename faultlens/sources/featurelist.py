@@ -1,7 +1,7 @@
 """Ordered feature lists.
 
 File format: one header line, then ``---- name`` (plain) or
-``---- name: importance`` (ranked). A list has a handful to a few hundred
+``---- name: importance`` (ranked); the dashes may be missing. A list has a handful to a few hundred
 names, so reading it returns Python names; the writer takes a rank table.
 """
 
@@ -29,15 +29,15 @@ def feature_table(spark: SparkSession, path: str, fmt: str = "plain") -> DataFra
     if not _exists(spark, path):
         raise OSError(MSG_MISSING.format(path=path))
     lines = spark.read.text(path).withColumn("_i", F.monotonically_increasing_id())
-    body = lines.where(F.col("value").startswith("---- "))
-    name = F.trim(F.regexp_replace("value", "^---- ", ""))
+    # a feature list is a few hundred lines: one ordered window over it is fine
+    lines = lines.withColumn("_line", F.row_number().over(Window.orderBy("_i")))
+    body = lines.where(F.col("_line") > 1)
+    name = F.trim(F.regexp_replace("value", "---- ", ""))
     imp = F.lit(None).cast("double")
     if fmt == "ranked":
         imp = F.trim(F.regexp_extract(name, ":(.*)$", 1)).try_cast("double")
         name = F.trim(F.regexp_replace(name, ":.*$", ""))
-    out = body.select("_i", name.alias("feature"), imp.alias("importance"))
-    # a feature list is a few hundred lines: one ordered window over it is fine
-    return out.select(F.row_number().over(Window.orderBy("_i")).alias("rank"), "feature", "importance")
+    return body.select((F.col("_line") - 1).alias("rank"), name.alias("feature"), imp.alias("importance"))
 
 
 class FeatureReader:

@@ -11,7 +11,7 @@ the scale factor:
 * ``windows_big``   ``lineitem`` as 4-metric series per supplier
 * ``cpu_wide``      ``lineitem`` with ``cpuN/m`` columns for horizontal stats
 * ``predictions``   (node, y, pred) pairs for the scoring operators
-* ``ml_vectors``    8-dimensional labelled vectors from ``embeddings``
+* ``ml_vectors``    labelled vectors of all 64 dimensions from ``embeddings``
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ APP_CODES = [0, 20, 21, 22, 23, 24]
 LINEITEM_METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
                   "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+# Fixed value: components of an embedding.
+VECTOR_DIMS = 64
 CPU_COLUMNS = {"cpu0/m": "l_quantity", "cpu1/m": "l_extendedprice",
                "cpu2/m": "l_discount", "cpu3/m": "l_tax"}
 
@@ -39,7 +41,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``node, node_no, metric, ts, value, event_id, k, fault, app`` from ``events``."""
     e = table(spark, sf_dir, "events",
               ["event_id", "ts", "user_id", "event_type", "value", "props"])
-    k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return e.select(
         F.concat(F.lit("N"), F.col("user_id").cast("string")).alias("node"),
         F.col("user_id").alias("node_no"),
@@ -55,15 +57,14 @@ def sensor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One slash path per distinct (node, metric): ``/site/rack/chassis/nXXXXX/<metric>``."""
     e = table(spark, sf_dir, "events", ["user_id", "event_type"]).distinct()
     return e.select(
-        F.concat(F.lit("/site/rack/chassis/n"), F.lpad(F.col("user_id").cast("string"), 5, "0"),
-                 F.lit("/"), F.col("event_type")).alias("path"),
+        F.format_string("/site/rack/chassis/n%05d/%s", "user_id", "event_type").alias("path"),
         F.col("user_id"), F.col("event_type"))
 
 
 def node_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node ids ``nXXXXX`` of the even users."""
     u = table(spark, sf_dir, "events", ["user_id"]).distinct().where(F.col("user_id") % 2 == 0)
-    return u.select(F.concat(F.lit("n"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("node"))
+    return u.select(F.format_string("n%05d", "user_id").alias("node"))
 
 
 def node_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +77,21 @@ def node_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            F.max("app").alias("app")])
 
 
-def node_table(spark: SparkSession, sf_dir: str, pos_method: str = "window") -> DataFrame:
+def node_table(spark: SparkSession, sf_dir: str, pos_method: str = "range") -> DataFrame:
     """``node_seconds`` with ``pos``, labels forward/backward filled (W15) and
     metrics interpolated by position then backward filled (W16, W17)."""
     ns = add_positions(node_seconds(spark, sf_dir), "node", "ts", method=pos_method)
-    ns = align.fill_forward_backward(ns, ["fault", "app"], part=("node",), order=("pos",))
-    return align.fill_linear(ns, EVENT_METRICS, part=("node",), pos="pos")
+    return align.fill_table(ns, steps=["fault", "app"], lines=EVENT_METRICS)
 
 
-def windows_big(spark: SparkSession, sf_dir: str, pos_method: str = "window") -> DataFrame:
+def windows_big(spark: SparkSession, sf_dir: str, pos_method: str = "range",
+                max_group_rows: int = 1_000_000) -> DataFrame:
     """``lineitem`` as series per supplier: ``node, pos, 4 metrics, label``."""
     li = table(spark, sf_dir, "lineitem",
                ["l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", *LINEITEM_METRICS])
     li = li.select(F.col("l_suppkey").alias("node"), *LINEITEM_ORDER,
                    (F.col("l_linenumber") - 1).alias("label"))
-    li = add_positions(li, "node", LINEITEM_ORDER, method=pos_method)
+    li = add_positions(li, "node", LINEITEM_ORDER, method=pos_method, max_group_rows=max_group_rows)
     return li.select("node", "pos", *LINEITEM_METRICS, "label")
 
 
@@ -119,7 +120,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 7 == 0, (y + 1) % 5).otherwise(y).alias("pred"))
 
 
-def ml_vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
+def ml_vectors(spark: SparkSession, sf_dir: str, dims: int = VECTOR_DIMS) -> DataFrame:
     """``vec_id, node, f0..f{dims-1}, label`` from ``embeddings``."""
     e = table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     return e.select("vec_id", F.concat(F.lit("N"), (F.col("vec_id") % 8).cast("string")).alias("node"),
