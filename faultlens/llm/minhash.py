@@ -14,9 +14,11 @@ How the work is laid out:
   bucket of m copies proposes m - 1 pairs, and merges the confirmed ones.
 * Round 2 looks at buckets that still hold several components. Members outside
   the bucket's largest component are compared with all members, block by
-  block; only pairs of different components whose signatures agree well enough
-  leave a block and are confirmed. So no link between components is lost, and
-  nothing like all pairs of a group is ever emitted.
+  block, in two passes: the first compares signatures and lets only the members
+  with a possible link to another component through, the second has their full
+  sets and confirms. So no link between components is lost, and pairs never
+  leave a block unless they are links. A pair that meets in several buckets is
+  looked at in the first of them.
 * A bucket of any size is dealt over blocks of bounded size; nothing is capped.
 """
 
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 from faultlens.llm.graph import components, cut
 from faultlens.llm.words import Powers, in_batches, mix64, shingle_sets
 
-#: Coordinates to a band, bits of the agreement sketch to a coordinate, rows to
-#: a side of a block, and the chance of missing a pair right at the threshold.
-BAND_ROWS, BLOCK_ROWS, MISS = 4, 2048, 1e-6
+#: Coordinates to a band, coordinates of the agreement sketch (8 bits each),
+#: rows to a side of a block, the chance of missing a pair right at the
+#: threshold, and standard deviations below it that the sketch still lets pass.
+BAND_ROWS, SKETCH, BLOCK_ROWS, MISS, MARGIN = 4, 192, 2048, 1e-6, 5
 
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
                    ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -83,8 +86,9 @@ def _signed(batches: Iterator[pa.RecordBatch], shingle: int, n_bands: int) -> It
             if not len(members):
                 yield doc_id, 0, None, None, None
                 continue
-            least = signature(members, n_bands * BAND_ROWS)
-            keys = mix64((least.reshape(n_bands, BAND_ROWS).astype(np.uint64) * weights).sum(1, np.uint64) ^ number)
+            least = signature(members, max(SKETCH, n_bands * BAND_ROWS))
+            banded = least[:n_bands * BAND_ROWS].reshape(n_bands, BAND_ROWS).astype(np.uint64)
+            keys = mix64((banded * weights).sum(1, np.uint64) ^ number)
             yield (doc_id, len(members), hashlib.blake2b(members.tobytes(), digest_size=16).digest(),
                    keys.view(np.int64), (least & np.uint32(255)).astype(np.uint8).tobytes())
 
@@ -100,62 +104,84 @@ def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    def rows(batch):
-        for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if den * both >= num * (len(x) + len(y) - both):
-                yield a, b
+    for batch in batches:
+        columns = (batch.column(i).to_pylist() for i in range(4))
+        yield from in_batches(((a, b) for a, b, x, y in zip(*columns)
+                               if _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)), _PAIR)
+
+
+_OPEN = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("odd", pa.int32()), ("band", pa.int32()),
+                   ("doc_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("sketch", pa.binary())])
+
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of rows with equal ``key, i, j`` in sorted batches."""
+    held, last = [], None
     for batch in batches:
-        yield from in_batches(rows(batch), _PAIR)
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, least_equal: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block (a run of rows with equal key, i, j): members outside the
-    largest component against members, when sizes and signatures allow a link."""
-
-    def compare(rows: np.ndarray, sketch: np.ndarray):
-        odd, doc, n, root = rows
-        left, right = np.flatnonzero(odd == 1), np.flatnonzero(odd == 0)
-        for s in range(0, len(left), 64):
-            x = left[s:s + 64]
-            fit = root[x][:, None] != root[right][None, :]
-            lo, hi = np.minimum(n[x][:, None], n[right]), np.maximum(n[x][:, None], n[right])
-            fit &= den * lo >= num * hi
-            for i, j in zip(*np.nonzero(fit)) if fit.sum() < 64 else _agreeing(x, right, fit, sketch, least_equal):
-                p, q = x[i], right[j]
-                if (sketch[p] == sketch[q]).sum() >= least_equal:
-                    yield max(doc[p], doc[q]), min(doc[p], doc[q])
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = tuple(keys[:, a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(block: pa.Table, num: int, den: int, least_equal: int, n_bands: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per member outside the largest component, the rows of the block it may be
+    linked to: another component, fitting sizes, agreeing signatures, and no
+    earlier bucket that holds both."""
+    odd, band, doc, n, root = (block.column(c).to_numpy() for c in ("odd", "band", "doc_id", "n", "root"))
+    sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(len(odd), -1)
+    right = np.flatnonzero(odd == 0)
+    banded, band = sketch[:, :n_bands * BAND_ROWS].reshape(len(odd), n_bands, BAND_ROWS), int(band[0])
+    for x in np.flatnonzero(odd == 1).tolist():
+        low, high = np.minimum(n[x], n[right]), np.maximum(n[x], n[right])
+        at = right[(root[right] != root[x]) & (den * low >= num * high)]
+        at = at[(sketch[at] == sketch[x]).sum(1) >= least_equal]
+        if len(at):
+            yield x, at[(banded[at] == banded[x]).all(2).argmax(1) == band]
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, least_equal: int, n_bands: int) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(batches):
+        keep = np.zeros(len(block), bool)
+        for x, at in _possible(block, num, den, least_equal, n_bands):
+            keep[at] = True
+            keep[x] |= len(at) > 0
+        if keep.any():
+            yield from block.filter(pa.array(keep)).cast(_OPEN).to_batches()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], num: int, den: int, least_equal: int, n_bands: int) -> Iterator[pa.RecordBatch]:
+    """One link to each other component that a member has in its block."""
 
     def rows():
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            data = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3, 7)])
-            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                key = tuple(keys[:, a])
-                if held and key != last:
-                    yield from compare(np.concatenate([x for x, _ in held], 1), np.concatenate([x for _, x in held]))
-                    held = []
-                held.append((data[:, a:b], sketch[a:b]))
-                last = key
-        if held:
-            yield from compare(np.concatenate([x for x, _ in held], 1), np.concatenate([x for _, x in held]))
-
-    yield from in_batches(((int(a), int(b)) for a, b in rows()), _PAIR)
-
-
-def _agreeing(x, right, fit, sketch, least_equal):
-    for i in range(len(x)):
-        cols = np.flatnonzero(fit[i])
-        good = (sketch[right[cols]] == sketch[x[i]]).sum(1) >= least_equal
-        for j in cols[good]:
-            yield i, j
+        for block in _blocks(batches):
+            sets = [np.frombuffer(m, np.uint64) for m in block.column("members").to_pylist()]
+            doc, root = block.column("doc_id").to_numpy(), block.column("root").to_numpy()
+            for x, at in _possible(block, num, den, least_equal, n_bands):
+                linked = set()
+                for y in at.tolist():
+                    if root[y] not in linked and _linked(sets[x], sets[y], num, den):
+                        linked.add(root[y])
+                        yield int(doc[x]), int(doc[y])
+
+    yield from in_batches(rows(), _PAIR)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -175,36 +201,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = similarity
     n_bands = bands_for(num / den)
-    least_equal = int(np.floor(n_bands * BAND_ROWS * max(0.0, num / den - 5 * np.sqrt(num / den * (1 - num / den) / (n_bands * BAND_ROWS)))))
+    t = num / den
+    least_equal = int(np.floor(SKETCH * max(0.0, t - MARGIN * np.sqrt(t * (1 - t) / SKETCH))))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(texts.mapInArrow(lambda it: _signed(it, shingle, n_bands),
                                   "doc_id long, n long, digest binary, bands array<long>, sketch binary"))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = (signed.where("n > 0").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
             .dropDuplicates(["digest", "doc_id"]))
-    banded = cut(reps.select("doc_id", "n", F.explode("bands").alias("key")))
+    banded = cut(reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key")))
     shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("pivot")).where("m > 1")
 
-    def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        x = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
-            lambda it: _confirmed(it, num, den), "a long, b long")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return cut(texts.join(ids, "doc_id", "left_semi").mapInArrow(
-            lambda it: _set_rows(it, shingle), "doc_id long, members binary"))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return texts.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(
+            lambda it: _set_rows(it, shingle), "doc_id long, members binary")
 
     members = banded.join(shared, "key")
     star = cut(members.where((F.col("doc_id") != F.col("pivot.doc_id"))
                              & (den * F.least("n", "pivot.n") >= num * F.greatest("n", "pivot.n")))
                .select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).distinct())
-    links = cut(confirm(star, sets_of(star)))
+    sets = cut(sets_of(star.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+    x = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    links = cut(star.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
+        lambda it: _confirmed(it, num, den), "a long, b long"))
     roots = components(links)
 
-    rooted = cut(members.select("key", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                 .select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")))
+    rooted = cut(members.select("key", "band", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                 .select("key", "band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")))
     tally = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top")).select(
         "key", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.c")).alias("u")).where("u > 0")
@@ -214,13 +238,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slot = F.xxhash64("doc_id", F.lit(11))
     left = open_.where("root <> top").select(
         "key", F.pmod(slot, "cu").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cm") - 1)).alias("j"),
-        F.lit(1).alias("odd"), "doc_id", "n", "root", "sketch")
+        F.lit(1).alias("odd"), "band", "doc_id", "n", "root", "sketch")
     right = open_.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("cu") - 1)).alias("i"), F.pmod(slot, "cm").cast("int").alias("j"),
-        F.lit(0).alias("odd"), "doc_id", "n", "root", "sketch")
-    blocks = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = cut(blocks.mapInArrow(lambda it: _block_pairs(it, num, den, least_equal), "a long, b long").distinct())
-    links = links.unionByName(confirm(rest, sets_of(rest)))
+        F.lit(0).alias("odd"), "band", "doc_id", "n", "root", "sketch")
+    at = ["key", "i", "j"]
+    blocks = left.unionByName(right).repartition(*at).sortWithinPartitions(*at)
+    possible = cut(blocks.mapInArrow(lambda it: _open_rows(it, num, den, least_equal, n_bands),
+                                     "key long, i int, j int, odd int, band int, doc_id long, n long, root long, sketch binary"))
+    blocks = possible.join(sets_of(possible.select("doc_id")), "doc_id").select(
+        *possible.columns, "members").repartition(*at).sortWithinPartitions(*at)
+    more = cut(blocks.mapInArrow(lambda it: _block_links(it, num, den, least_equal, n_bands), "a long, b long"))
+    links = links.unionByName(more)
     # Classes of several ids hang on their representative by a link each.
     copies = signed.join(classes, "digest").where("doc_id <> rep").select(
         F.col("doc_id").alias("node"), F.col("rep"))
