@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.constants import FAULT_NAMES
+from faultlens.session import ensure_checkpoint_dir
 
 
 def _in(col: str, values) -> Column:
@@ -81,23 +82,49 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Box-plot numbers per group: quartiles (linear), whiskers = most extreme
     values within 1.5 IQR of the box, count of points beyond, mean.
 
-    Two aggregations: quartiles per group, then (joined back on the group key)
-    whiskers and outliers. The quartile table has one row per group.
+    One scan counts each (group, value); everything else comes from these
+    counts. They are range-sorted over all tasks and written once with their
+    partition, ranks are running sums inside a partition plus the sums of the
+    group's earlier partitions, so no task holds a group's values.
     """
-    q = df.groupBy(*group).agg(
-        F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"),
-        F.avg(value).alias("mean"), F.count(value).alias("n"))
-    q = q.select(*group, F.get("_q", 0).alias("q1"), F.get("_q", 1).alias("median"),
-                 F.get("_q", 2).alias("q3"), "mean", "n")
-    j = df.join(q, on=list(group), how="inner")
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col(value)
-    w = j.groupBy(*group).agg(
-        F.min(F.when(v >= lo, v)).alias("whisker_low"),
-        F.max(F.when(v <= hi, v)).alias("whisker_high"),
-        F.count(F.when((v < lo) | (v > hi), v)).alias("n_outliers"))
-    return q.join(w, on=list(group), how="inner")
+    group = list(group)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.repartitionByRange(*group, "_v").select("*", F.spark_partition_id().alias("_p")).checkpoint()
+
+    def joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:  # NULL keys meet each other
+        named = right.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+        return left.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
+
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(*group, "_p").agg(F.sum("_c").alias("_pc")).select(
+        *group, "_p", F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_off"))
+    totals = counts.groupBy(*group).agg(F.sum("_c").alias("n"), F.sum(F.col("_v") * F.col("_c")).alias("_sum"))
+    inside = Window.partitionBy(*group, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = joined(counts.withColumn("_upto", F.sum("_c").over(inside)), parts, *group, "_p").withColumn(
+        "_upto", F.col("_upto") + F.col("_off"))
+    ranked = joined(ranked, totals, *group)
+
+    def at(p: float, up: int) -> Column:  # value of the row at floor((n - 1) p) + up, 0-based
+        i = F.least(F.floor((F.col("n") - 1) * p) + up, F.col("n") - 1)
+        return F.max(F.when((F.col("_upto") - F.col("_c") <= i) & (i < F.col("_upto")), F.col("_v")))
+
+    ps = (0.25, 0.5, 0.75)
+    q = ranked.groupBy(*group).agg(*[at(p, up).alias(f"_{k}{up}") for k, p in enumerate(ps) for up in (0, 1)],
+                                   F.max("n").alias("n"), (F.max("_sum") / F.max("n")).alias("mean"))
+
+    def line(k: int) -> Column:
+        h = (F.col("n") - 1) * ps[k]
+        return F.col(f"_{k}0") + (F.col(f"_{k}1") - F.col(f"_{k}0")) * (h - F.floor(h))
+
+    q = q.select(*group, line(0).alias("q1"), line(1).alias("median"), line(2).alias("q3"), "mean", "n")
+    spread = 1.5 * (F.col("q3") - F.col("q1"))
+    box = joined(counts, q.select(*group, (F.col("q1") - spread).alias("_lo"), (F.col("q3") + spread).alias("_hi")), *group)
+    v = F.col("_v")
+    w = box.groupBy(*group).agg(
+        F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"), F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
+        F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), F.col("_c")).otherwise(0)).alias("n_outliers"))
+    return joined(q, w, *group)
 
 
 # A10 ------------------------------------------------------------------------

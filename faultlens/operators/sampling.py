@@ -6,11 +6,9 @@ in SQL, reproducible on re-execution (a lost executor recomputes the same rows),
 and independent of partitioning. Contract: same class counts as the studied
 samplers, without replacement.
 
-Keeping "the first ``target`` rows of a class in hash order" is done without
-sorting a class in one task: the hash's leading 16 bits split every class into
-65 536 buckets; a grouped count per (group, class, bucket) locates the bucket
-where the running count crosses the target, rows in earlier buckets are kept,
-and only that boundary bucket (about n / 65 536 rows) is ranked exactly.
+"The first ``target`` rows of a class in hash order" are found by rank inside
+the class; a class too large for one task is dealt over buckets of leading hash
+bits, as many as its size asks for, and ranks are shifted by the bucket sizes.
 """
 
 from __future__ import annotations
@@ -20,6 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.operators.positions import add_positions
+
 HASH_COL = "_h"
 
 
@@ -61,16 +61,13 @@ def targets(counts: DataFrame, label: str, group: Sequence[str], strategy) -> Da
         m = F.create_map(*[x for k, v in strategy.items() for x in (F.lit(k), F.lit(int(v)))])
         t = F.coalesce(m[F.col(label)], n)
     elif callable(strategy):
-        rows = counts.collect()  # tiny: groups x classes
-        by_group: dict = {}
-        for r in rows:
-            by_group.setdefault(tuple(r[k] for k in g), {})[r[label]] = r["n"]
-        out = []
-        for key, cnt in by_group.items():
-            tgt = strategy(dict(cnt))
-            out += [(*key, lab, int(tgt.get(lab, v))) for lab, v in cnt.items()]
-        tdf = counts.sparkSession.createDataFrame(out, [*g, label, "target"])
-        return counts.join(tdf, on=[*g, label])
+        # one call per group, on the workers: the counts of a group are one row per class
+        def fit(pdf):
+            wanted = strategy(dict(zip(pdf[label].tolist(), pdf["n"].tolist())))
+            pdf["target"] = [int(wanted.get(lab, n)) for lab, n in zip(pdf[label].tolist(), pdf["n"].tolist())]
+            return pdf
+
+        return counts.groupBy(*g).applyInPandas(fit, counts.withColumn("target", F.col("n").cast("long")).schema)
     elif strategy == "majority":
         t = F.when(F.col("_big"), F.col("_min")).otherwise(n)
     elif strategy == "not minority":
@@ -102,41 +99,40 @@ def subsample_class_targets(counts: DataFrame, label: str, group: Sequence[str],
 
 # Selection --------------------------------------------------------------------
 def keep_first_by_hash(df: DataFrame, tgt: DataFrame, label: str, group: Sequence[str],
-                       key: Sequence[str], seed: int = 42, exact_window: bool = False) -> DataFrame:
-    """Keep, per (group, class), the ``target`` rows with the smallest hash key."""
-    g = list(group)
-    h = df.withColumn(HASH_COL, hash_key(seed, *key))
-    t = tgt.select(*g, label, "n", "target")
-    if exact_window:
-        w = Window.partitionBy(*g, label).orderBy(HASH_COL, *key)
-        r = h.join(t, on=[*g, label]).withColumn("_rn", F.row_number().over(w))
-        return r.where(F.col("_rn") <= F.col("target")).select(*df.columns)
-    # bucketed plan: 16-bit hash prefix buckets
-    h = h.withColumn("_b", F.conv(F.substring(HASH_COL, 1, 4), 16, 10).cast("int"))
-    bc = h.groupBy(*g, label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = Window.partitionBy(*g, label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    bc = bc.join(t, on=[*g, label]).withColumn("_cum", F.sum("_bn").over(wb))
-    bc = bc.withColumn("_before", F.col("_cum") - F.col("_bn"))
-    # buckets wholly kept, the one boundary bucket (partially), others dropped
-    bc = bc.withColumn("_state", F.when(F.col("_cum") <= F.col("target"), F.lit(2))
-                       .when(F.col("_before") < F.col("target"), F.lit(1)).otherwise(F.lit(0)))
-    bc = bc.where(F.col("_state") > 0).select(*g, label, "_b", "_state", "_before", "target")
-    j = h.join(bc, on=[*g, label, "_b"], how="inner")
-    whole = j.where(F.col("_state") == 2)
-    edge = j.where(F.col("_state") == 1)
-    we = Window.partitionBy(*g, label, "_b").orderBy(HASH_COL, *key)
-    edge = edge.withColumn("_rn", F.row_number().over(we)) \
-        .where(F.col("_before") + F.col("_rn") <= F.col("target")).drop("_rn")
-    cols = df.columns
-    return whole.select(*cols).unionByName(edge.select(*cols))
+                       key: Sequence[str], seed: int = 42, max_class_rows: int = 1_000_000) -> DataFrame:
+    """Keep, per (group, class), the ``target`` rows with the smallest hash key.
+
+    Rows are ranked inside their class. A class above ``max_class_rows`` that
+    is cut is dealt over buckets of its leading hash bits, as many as its size
+    asks for: rows are ranked inside a bucket and shifted by the sizes of the
+    earlier buckets, a table of one row per bucket. The same rows either way.
+    A NULL class is a class of its own.
+    """
+    by = [*group, label]
+    t = tgt.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("n").alias("_n"), F.col("target").alias("_target"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    x = df.join(t, same).select(*df.columns, "_n", "_target", hash_key(seed, *key).alias(HASH_COL))
+    cut = F.col("_target") < F.col("_n")
+    if tgt.where((F.col("n") > max_class_rows) & (F.col("target") < F.col("n"))).isEmpty():
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(HASH_COL, *key))
+        return x.withColumn("_rn", rank).where(~cut | (F.col("_rn") <= F.col("_target"))).select(*df.columns)
+    bits = F.conv(F.substring(HASH_COL, 1, 8), 16, 10).cast("long")
+    x = x.withColumn("_b", F.floor(bits * F.ceil(F.col("_n") / max_class_rows) / (1 << 32)).cast("int"))
+    sizes = x.where(cut).groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_b").alias("_of_b"),
+                         F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(HASH_COL, *key))
+    x = x.withColumn("_rn", rank).join(sizes, [*same, F.col("_b") == F.col("_of_b")], "left")
+    return x.where(~cut | (F.col("_before") + F.col("_rn") <= F.col("_target"))).select(*df.columns)
 
 
 def undersample(df: DataFrame, label: str = "label", *, strategy="majority", group: Sequence[str] = (),
-                key: Sequence[str] = ("node", "pos"), seed: int = 42, exact_window: bool = False) -> DataFrame:
+                key: Sequence[str] = ("node", "pos"), seed: int = 42, max_class_rows: int = 1_000_000) -> DataFrame:
     """Random undersampling (M1-M4, M6). ``group=['node']`` balances each node
     before concatenation; ``group=[]`` balances once after."""
     c = class_counts(df, label, group)
-    return keep_first_by_hash(df, targets(c, label, group, strategy), label, group, key, seed, exact_window)
+    return keep_first_by_hash(df, targets(c, label, group, strategy), label, group, key, seed, max_class_rows)
 
 
 def subsample_class(df: DataFrame, cls: int, label: str = "label", *, group: Sequence[str] = (),
@@ -177,8 +173,7 @@ def kfold(df: DataFrame, k: int = 5, *, node="node", pos="pos", shuffle: bool =
     g = [node] if isinstance(node, str) else list(node)
     j = df.join(node_sizes(df, g), on=g)
     if shuffle:
-        w = Window.partitionBy(*g).orderBy(hash_key(seed, *g, pos), pos)
-        j = j.withColumn("_rank", F.row_number().over(w))
+        j = add_positions(j.withColumn("_h", hash_key(seed, *g, pos)), g, ["_h", pos], "_rank").drop("_h")
         rank = F.col("_rank")
     else:
         rank = F.col(pos)
@@ -198,8 +193,7 @@ def stratified_kfold(df: DataFrame, k: int = 5, *, label: str = "label", node="n
     cnt = df.groupBy(*g, label).agg(F.count(F.lit(1)).alias("_nc"))
     wc = Window.partitionBy(*g).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("_C", F.coalesce(F.sum("_nc").over(wc), F.lit(0)))
-    wr = Window.partitionBy(*g, label).orderBy(pos)
-    j = df.join(cnt, on=[*g, label]).withColumn("_j", F.row_number().over(wr) - 1)
+    j = add_positions(df, [*g, label], [pos], "_j").join(cnt, on=[*g, label]).withColumn("_j", F.col("_j") - 1)
     C, nc, jj = F.col("_C"), F.col("_nc"), F.col("_j")
 
     def alloc(f: int) -> Column:  # count of i in [C, C+nc) with i % k == f
@@ -237,8 +231,10 @@ def random_designs(nodes: DataFrame, *, node: str = "node", node_no: str = "node
                      for i in range(1, iterations + 1) for k in sizes])
     d = pool.select(node, node_no, F.explode(grid).alias("_d")).select(node, node_no, "_d.iter", "_d.k")
     w = Window.partitionBy("iter", "k").orderBy(hash_key(seed, "iter", "k", node), node)
-    d = d.withColumn("_rn", F.row_number().over(w))
-    return d.withColumn("role", F.when(F.col("_rn") <= F.col("k"), "train").otherwise("test")).drop("_rn")
+    # the constant bound lets every task drop all but its own first max(sizes) nodes before the shuffle
+    first = d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(sizes)).where(F.col("_rn") <= F.col("k"))
+    train = first.select(node, "iter", "k", F.lit("train").alias("role"))
+    return d.join(train, [node, "iter", "k"], "left").fillna("test", ["role"]).select(node, node_no, "iter", "k", "role")
 
 
 def test_nodes(all_nodes: DataFrame, train: DataFrame, on: Sequence[str] = ("node",)) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.operators import metrics, sampling
+from faultlens.session import ensure_checkpoint_dir
 
 FEATURES = "features"
 
@@ -25,6 +26,20 @@ N_TREES = 30
 MAX_DEPTH = 20
 
 
+def settled(scores: DataFrame) -> DataFrame:
+    """A score table (a few rows to a node) written now: later runs don't refit
+    or rescore, and what they were computed from can be released."""
+    ensure_checkpoint_dir(scores.sparkSession)
+    return scores.checkpoint()
+
+
+def union_all(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFrame:
     return df.withColumn(out, array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols])))
 
@@ -68,61 +83,85 @@ def same_node_split(features: DataFrame, cols: Sequence[str], nodes: Sequence, *
                     pos: str = "pos", label: str = "label", seed: int = 42, threads: int = 4, **kw) -> DataFrame:
     """L2: per node, train on the first 60 % of rows and test on the rest.
     Fits run concurrently from a small driver thread pool; each fit is a Spark job."""
-    split = sampling.positional_split(features, node=node, pos=pos).cache()
+    split = sampling.positional_split(features, node=node, pos=pos).persist()
 
     def one(n):
         part = split.where(F.col(node) == F.lit(n))
         m = fit(part.where(F.col("split") == "train"), cols, label, seed, **kw)
-        return metrics.scores(predict(m, part.where(F.col("split") == "test"), cols, [node], label), [node])
+        return settled(metrics.scores(predict(m, part.where(F.col("split") == "test"), cols, [node], label), [node]))
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
         outs = list(ex.map(one, nodes))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    split.unpersist()
+    return union_all(outs)
 
 
 def random_design_runs(features: DataFrame, cols: Sequence[str], designs: DataFrame, *, node: str = "node",
                        label: str = "label", seed: int = 42, **kw) -> DataFrame:
     """L4: for every (iter, k) design (M12), L3 with that design's training nodes.
     One fit per design is inherent; the loop only submits jobs."""
+    features = features.persist()
     keys = designs.select("iter", "k").distinct().orderBy("iter", "k").collect()  # design ids only
     outs = []
     for r in keys:
         tr = designs.where((F.col("iter") == r["iter"]) & (F.col("k") == r["k"]) & (F.col("role") == "train"))
         s = train_test_nodes(features, cols, tr.select(node), node=node, label=label, seed=seed, **kw)
-        outs.append(s.withColumn("iter", F.lit(r["iter"])).withColumn("num_train", F.lit(r["k"])))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        outs.append(settled(s.withColumn("iter", F.lit(r["iter"])).withColumn("num_train", F.lit(r["k"]))))
+    features.unpersist()
+    return union_all(outs)
+
+
+def _fold_scores(f: DataFrame, i: int, cols, node: str, pos: str, label: str, seed: int, balance: bool, zero_division: float,
+                 labels, train_on: DataFrame | None = None, **kw) -> DataFrame:
+    """F1 by node of fold ``i`` after a fit on the other folds (of ``train_on``'s nodes)."""
+    tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
+    if train_on is not None:
+        tr = tr.join(train_on.select(node).distinct(), node, "left_semi")
+    if balance:
+        tr = sampling.undersample(tr, label, group=[node], key=(node, pos), seed=seed)
+        te = sampling.undersample(te, label, group=[node], key=(node, pos), seed=seed)
+    m = fit(tr, cols, label, seed, **kw)
+    s = metrics.scores(predict(m, te, cols, [node], label), [node], metrics=["f1"], zero_division=zero_division, labels=labels)
+    return settled(s.withColumn("fold", F.lit(i)))
+
+
+def folded(features: DataFrame, k: int, folds: str, label: str, node: str, pos: str, seed: int) -> DataFrame:
+    """``fold`` per node: contiguous (M8), shuffled (M9) or stratified."""
+    if folds == "stratified":
+        return sampling.stratified_kfold(features, k, label=label, node=node, pos=pos)
+    return sampling.kfold(features, k, node=node, pos=pos, shuffle=(folds == "shuffled"), seed=seed)
 
 
 def cross_validate(features: DataFrame, cols: Sequence[str], *, k: int = 5, node: str = "node", pos: str = "pos",
                    label: str = "label", seed: int = 42, folds: str = "contiguous", balance: bool = True,
-                   zero_division: float = 1.0, labels: Sequence[int] | None = None, **kw) -> DataFrame:
-    """K-fold CV (contiguous M8, shuffled M9 or stratified M10 folds per node),
-    per-fold F1 (A13/A14) and the mean over folds (A20)."""
-    if folds == "stratified":
-        f = sampling.stratified_kfold(features, k, label=label, node=node, pos=pos)
-    else:
-        f = sampling.kfold(features, k, node=node, pos=pos, shuffle=(folds == "shuffled"), seed=seed)
-    f = f.cache()
-    outs = []
-    for i in range(k):
-        tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
-        if balance:
-            tr = sampling.undersample(tr, label, group=[node], key=(node, pos), seed=seed)
-            te = sampling.undersample(te, label, group=[node], key=(node, pos), seed=seed)
-        m = fit(tr, cols, label, seed, **kw)
-        s = metrics.scores(predict(m, te, cols, [node], label), [node], metrics=["f1"],
-                           zero_division=zero_division, labels=labels)
-        outs.append(s.withColumn("fold", F.lit(i)))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return metrics.fold_means(out, [node])
+                   zero_division: float = 1.0, labels: Sequence[int] | None = None,
+                   train_nodes: DataFrame | None = None, **kw) -> DataFrame:
+    """L7, pooled: per fold one forest on the other folds of all nodes (or of
+    ``train_nodes``, for k random nodes), scored by node: a row per fold (A13/A14)
+    and the ``all`` row of means (A20)."""
+    f = folded(features, k, folds, label, node, pos, seed).persist()
+    outs = [_fold_scores(f, i, cols, node, pos, label, seed, balance, zero_division, labels, train_nodes, **kw) for i in range(k)]
+    f.unpersist()
+    return metrics.fold_table(union_all(outs), [node])
+
+
+def cross_validate_nodes(features: DataFrame, cols: Sequence[str], nodes: Sequence, *, k: int = 5, node: str = "node",
+                         pos: str = "pos", label: str = "label", seed: int = 42, folds: str = "contiguous",
+                         balance: bool = True, zero_division: float = 1.0, labels: Sequence[int] | None = None,
+                         threads: int = 4, **kw) -> DataFrame:
+    """L7, per node: for every node of ``nodes`` a k-fold cross-validation of its
+    own. k fits to a node are the method; they are Spark jobs that a few driver
+    threads submit, and each leaves its small score table behind."""
+    f = folded(features, k, folds, label, node, pos, seed).persist()
+
+    def one(task):
+        n, i = task
+        return _fold_scores(f.where(F.col(node) == F.lit(n)), i, cols, node, pos, label, seed, balance, zero_division, labels, **kw)
+
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        outs = list(ex.map(one, [(n, i) for n in nodes for i in range(k)]))
+    f.unpersist()
+    return metrics.fold_table(union_all(outs), [node])
 
 
 def save(model, path: str) -> None:

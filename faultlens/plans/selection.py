@@ -64,6 +64,7 @@ def rfe(features: DataFrame, cols: Sequence[str], n: int, *, label: str = "label
         **kw) -> DataFrame:
     """Recursive feature elimination down to ``n`` features; ranking like the
     common library (kept features rank 1, then by elimination round)."""
+    features = features.persist()
     remaining = list(cols)
     ranks: dict[str, int] = {}
     rounds = []
@@ -79,6 +80,7 @@ def rfe(features: DataFrame, cols: Sequence[str], n: int, *, label: str = "label
     for r, drop in enumerate(reversed(rounds)):
         for c in drop:
             ranks[c] = r + 2
+    features.unpersist()
     rows = [(c, ranks[c], c in remaining) for c in cols]
     return features.sparkSession.createDataFrame(rows, "feature string, rank int, selected boolean")
 
@@ -87,7 +89,7 @@ def rfecv(features: DataFrame, cols: Sequence[str], *, k: int = 5, label: str =
           pos: str = "pos", step=1, min_features: int = 1, seed: int = 42, **kw) -> tuple[DataFrame, DataFrame]:
     """RFE inside stratified k-fold CV, weighted F1 per feature count; the
     smallest count with the best mean score wins. Returns (curve, selected)."""
-    folds = sampling.stratified_kfold(features, k, label=label, node=node, pos=pos).cache()
+    folds = sampling.stratified_kfold(features, k, label=label, node=node, pos=pos).persist()
     spark = features.sparkSession
     curve: dict[int, list[float]] = {}
     for i in range(k):
@@ -104,6 +106,7 @@ def rfecv(features: DataFrame, cols: Sequence[str], *, k: int = 5, label: str =
             kk = min(_step_count(step, len(remaining)), len(remaining) - min_features)
             drop = {remaining[j] for j in np.argsort(imp, kind="stable")[:kk]}
             remaining = [c for c in remaining if c not in drop]
+    folds.unpersist()
     means = {n: float(np.mean(v)) for n, v in curve.items()}
     best = max(means.values())
     n_best = min(n for n, v in means.items() if v == best)

@@ -195,6 +195,34 @@ def l07_cross_validation(spark, sf_dir):
 register("l07_cross_validation")(l07_cross_validation)
 
 
+def l07_random_node_cv(spark, sf_dir):
+    """One pooled cross-validation trained on four random nodes (M12), scored on all."""
+    v = _vectors(spark, sf_dir)
+    nodes = v.select("node", fx.node_number("node").alias("node_no")).distinct()
+    tr = sampling.random_designs(nodes, seed=42, iterations=1, sizes=[4]).where("role = 'train'")
+    return round_doubles(forest.cross_validate(v, _VCOLS, folds="shuffled", train_nodes=tr))
+
+
+register("l07_random_node_cv")(l07_random_node_cv)
+
+
+def r1_windows_to_forest(spark, sf_dir):
+    """End to end (R2): readings -> aligned, filled node table -> window vectors of
+    11 statistics -> balanced forest on three nodes -> scores of all other nodes."""
+    from faultlens.operators import features as ft
+    w = ft.window_features(_node_points(spark, sf_dir), tv.EVENT_METRICS, w=10, step=1, numfeatures=11, label="fault",
+                           engine="pandas").persist()
+    cols = [c for c in w.columns if c not in ("node", "pos", "window_id", "label")]
+    nodes = w.select("node", fx.node_number("node").alias("node_no")).distinct()
+    tr = sampling.random_designs(nodes, seed=42, iterations=1, sizes=[3]).where("role = 'train'")
+    out = forest.settled(forest.train_test_nodes(w, cols, tr))
+    w.unpersist()
+    return round_doubles(out)
+
+
+register("r1_windows_to_forest")(r1_windows_to_forest)
+
+
 def l08_forest_importance(spark, sf_dir):
     return round_doubles(selection.forest_importance(_vectors(spark, sf_dir), _VCOLS))
 

@@ -638,12 +638,13 @@ _sampler_query("m04_undersample_not_minority", "not minority", "CASE WHEN small
 _sampler_query("m06_balance_after_concat", "majority", "CASE WHEN big = 1 THEN mn ELSE n END", group=())
 
 
-def m01_undersample_exact_window(spark, sf_dir):
+def m01_undersample_buckets(spark, sf_dir):
+    """Small ``max_class_rows``, so that the classes take the bucketed plan."""
     return sampling.undersample(_big_keyed(spark, sf_dir), "label", strategy="majority", group=["node"],
-                                exact_window=True)
+                                max_class_rows=20)
 
 
-register("m01_undersample_exact_window", ORACLES["m01_undersample_majority"])(m01_undersample_exact_window)
+register("m01_undersample_buckets", ORACLES["m01_undersample_majority"])(m01_undersample_buckets)
 
 
 def m05_subsample_class(spark, sf_dir):

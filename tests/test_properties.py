@@ -86,7 +86,7 @@ def test_sampler_counts_equal_targets(big):
         j = t.join(got, ["node", "label"], "left").fillna(0, ["got"])
         assert j.where(F.col("got") != F.col("target")).count() == 0, strategy
         # bucketed plan = exact window plan
-        ex = sampling.undersample(big, "label", strategy=strategy, group=["node"], exact_window=True)
+        ex = sampling.undersample(big, "label", strategy=strategy, group=["node"], max_class_rows=3)
         assert out.exceptAll(ex).count() == 0 and ex.exceptAll(out).count() == 0
 
 
