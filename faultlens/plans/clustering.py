@@ -14,15 +14,17 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultlens.functions.shipping import ship_by_value
 from faultlens.functions.scalar import mahalanobis, outlier_label
 from faultlens.operators import compare, profile
 from faultlens.operators.features import zscore_scale
 
+ship_by_value(__name__)
+
 
 def gmm(points: DataFrame, cols: Sequence[str], k: int, seed: int = 42, node: str = "nodename",
         max_iter: int = 100) -> tuple[DataFrame, list[np.ndarray], list[np.ndarray]]:
@@ -69,16 +71,44 @@ def clustering_job(table: DataFrame, cols: Sequence[str], *, k: int, node: str =
     return {"clustered": renum, "candidates": candidates}
 
 
+def _components(k: int, d: int):
+    """Leading eigenvectors of small covariance matrices, one row per node; the
+    largest loading of each is positive, so results compare across runs."""
+    def fn(it):
+        for pdf in it:
+            out = []
+            for flat in pdf["cov"]:
+                c = np.array([np.nan if v is None else v for v in flat], float).reshape(d, d)
+                _, vectors = np.linalg.eigh(np.nan_to_num(c))
+                top = vectors[:, ::-1][:, :k].T
+                sign = np.sign(top[np.arange(k), np.abs(top).argmax(1)])
+                out.append((top * np.where(sign == 0, 1, sign)[:, None]).tolist())
+            yield pdf.drop(columns="cov").assign(components=out)
+    return fn
+
+
 def pca_node_means(table: DataFrame, cols: Sequence[str], *, node: str = "node", faults=None, apps=None,
                    fault_col: str = "fault", app_col: str = "app", k: int = 3) -> DataFrame:
-    """Standardise per node (F8), project on the first ``k`` principal
-    components (one global PCA), filter fault/app rows, mean of each component per node."""
-    z = zscore_scale(table, list(cols), part=(node,))
-    z = z.withColumn("_v", array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(z)
-    p = model.transform(z).withColumn("_pa", vector_to_array("_pc"))
-    sel = compare.select_runs(p, faults=faults, apps=apps, fault_col=fault_col, app_col=app_col)
-    return sel.groupBy(node).agg(*[F.avg(F.get("_pa", i)).alias(f"pc{i + 1}") for i in range(k)])
+    """Standardise per node (F8), project on the node's own first ``k``
+    principal components, filter fault/app rows, mean of each component per node.
+
+    A node's covariance is one partial aggregation (d x d sums), only these
+    small matrices reach Python, and as projecting is linear, the means of the
+    components are the components of the means: no row is projected.
+    """
+    cols, d = list(cols), len(cols)
+    z = zscore_scale(table, cols, part=(node,))
+    cov = z.groupBy(node).agg(F.array(*[F.covar_pop(a, b) for a in cols for b in cols]).alias("cov"))
+    schema = f"{node} {table.schema[node].dataType.simpleString()}, components array<array<double>>"
+    comps = cov.mapInPandas(_components(k, d), schema)
+    sel = compare.select_runs(z, faults=faults, apps=apps, fault_col=fault_col, app_col=app_col)
+    means = sel.groupBy(node).agg(F.array(*[F.avg(c) for c in cols]).alias("_m"))
+
+    def dot(i: int):
+        both = F.zip_with(F.get("components", i), F.col("_m"), lambda a, b: a * b)
+        return F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x)
+
+    return means.join(comps, node).select(node, *[dot(i).alias(f"pc{i + 1}") for i in range(k)])
 
 
 def run_config(spark, **params) -> DataFrame:

@@ -131,17 +131,28 @@ def lasso_selection(features: DataFrame, cols: Sequence[str], label: str = "labe
 
 
 def l1_logistic_selection(features: DataFrame, cols: Sequence[str], label: str = "label", max_features: int = 100,
-                          reg_param: float = 0.01, threshold: float | None = None,
-                          family: str = "multinomial") -> DataFrame:
-    """L12 (multinomial) / L13 (one-vs-rest style threshold): L1 logistic
-    regression; features ranked by the sum of |coef| over classes; keep the top
-    ``max_features`` (L12) or those above ``threshold`` (L13)."""
+                          reg_param: float = 0.01, family: str = "multinomial") -> DataFrame:
+    """Multinomial L1 logistic regression; the ``max_features`` features with
+    the largest sum of |coef| over classes."""
     data = assemble(features, cols).select(FEATURES, F.col(label).cast("double").alias(label))
     m = LogisticRegression(featuresCol=FEATURES, labelCol=label, elasticNetParam=1.0, regParam=reg_param,
                            family=family, maxIter=200).fit(data)
     coef = m.coefficientMatrix.toArray()
     norm = np.abs(coef).sum(axis=0)
     tbl = _rank_table(features.sparkSession, cols, norm.tolist()).withColumnRenamed("importance", "coef_norm")
-    if threshold is not None:
-        return tbl.where(F.col("coef_norm") > threshold)
     return tbl.where(F.col("rank") <= max_features)
+
+
+def l1_one_vs_rest_selection(features: DataFrame, cols: Sequence[str], label: str = "label", reg_param: float = 0.01,
+                             threshold: float = 1e-5) -> DataFrame:
+    """One L1 fit per class against the rest; features whose summed |coef|
+    over the classes is above ``threshold``, ranked by it."""
+    data = assemble(features, cols).select(FEATURES, F.col(label).cast("double").alias(label)).persist()
+    norm = np.zeros(len(cols))
+    for (c,) in data.select(label).distinct().orderBy(label).collect():  # the classes
+        m = LogisticRegression(featuresCol=FEATURES, labelCol="_is", elasticNetParam=1.0, regParam=reg_param,
+                               family="binomial", maxIter=200).fit(data.withColumn("_is", (F.col(label) == c).cast("double")))
+        norm += np.abs(m.coefficients.toArray())
+    data.unpersist()
+    tbl = _rank_table(features.sparkSession, cols, norm.tolist()).withColumnRenamed("importance", "coef_norm")
+    return tbl.where(F.col("coef_norm") > threshold)

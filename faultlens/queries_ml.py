@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions import scalar as fx
 from faultlens.oracles import with_views
-from faultlens.operators import metrics, sampling
+from faultlens.operators import metrics, profile, sampling
 from faultlens.operators.positions import add_positions
 from faultlens.plans import clustering, dtw, forest, selection
 from faultlens.queries import ORACLES, qz, register, round_doubles
@@ -127,15 +127,35 @@ _VCOLS = [f"f{i}" for i in range(tv.VECTOR_DIMS)]
 
 
 def s09_feature_list_roundtrip(spark, sf_dir):
-    imp = selection.tree_importance(_vectors(spark, sf_dir), _VCOLS)
+    """The correlation ranking, written as a list and read in both formats."""
+    corr = round_doubles(profile.target_correlation(tv.windows_big(spark, sf_dir), tv.LINEITEM_METRICS, "label"))
+    ranks = corr.select("feature", F.col("abs_corr").alias("importance"),
+                        F.row_number().over(Window.orderBy(F.desc("abs_corr"), "feature")).alias("rank"))  # a row per metric
     path = _scratch(spark, "featlist")
-    featurelist.write_feature_list(imp, path, "Most important features", fmt="ranked")
-    plain = featurelist.feature_table(spark, path, "plain")
+    featurelist.write_feature_list(ranks, path, "Most important features", fmt="ranked")
     ranked = featurelist.feature_table(spark, path, "ranked")
-    return ranked.join(plain.select("rank", F.col("feature").alias("raw")), "rank")
+    plain = featurelist.feature_table(spark, path, "plain")
+    return ranked.join(plain.select("rank", F.length("feature").alias("raw_length")), "rank").select(
+        "rank", "feature", "importance", (F.col("raw_length") > F.length("feature")).alias("plain_keeps_number"))
+
+
+register("s09_feature_list_roundtrip", ORACLES["a11_target_correlation"].replace(
+    "SELECT 'l_quantity'", "SELECT row_number() OVER (ORDER BY abs_corr DESC, feature) AS rank, feature, "
+    "abs_corr AS importance, true AS plain_keeps_number FROM (SELECT 'l_quantity'", 1) + ")")(s09_feature_list_roundtrip)
 
 
-register("s09_feature_list_roundtrip")(s09_feature_list_roundtrip)
+def s03_node_files(spark, sf_dir):
+    """Node tables written as CSV files of their own and read back in one scan by node name."""
+    ns = tv.node_seconds(spark, sf_dir).select("node", F.unix_seconds(F.col("ts").cast("timestamp")).alias("Time"), "click", "fault")
+    path = _scratch(spark, "node-files")
+    sinks.write_table(ns.repartition("node"), path, fmt="csv", partition_by=["node"])
+    back = readers.read_node_tables(spark, path, schema="Time long, click double, fault int", columns=["Time", "click", "fault"],
+                                    node_pattern=r"node=([^/]+)/[^/]+$", ts_col="")
+    return round_doubles(back)
+
+
+register("s03_node_files", with_views("node_seconds") +
+         f"SELECT node, epoch(ts)::BIGINT AS \"Time\", {qz('click')} AS click, fault FROM node_seconds")(s03_node_files)
 
 
 # ML jobs (rows-only) ---------------------------------------------------------------
@@ -268,7 +288,7 @@ register("l12_l1_logistic_selection")(l12_l1_logistic_selection)
 
 
 def l13_l1_threshold_selection(spark, sf_dir):
-    return round_doubles(selection.l1_logistic_selection(_vectors(spark, sf_dir), _VCOLS, threshold=1e-5))
+    return round_doubles(selection.l1_one_vs_rest_selection(_vectors(spark, sf_dir), _VCOLS))
 
 
 register("l13_l1_threshold_selection")(l13_l1_threshold_selection)
@@ -279,7 +299,6 @@ def _node_points(spark, sf_dir):
 
 
 def l14_gmm_mahalanobis(spark, sf_dir):
-    from faultlens.operators import profile
     pts = profile.filtered_node_means(_node_points(spark, sf_dir), ["click", "error", "view"]) \
         .withColumn("nodename", F.col("node"))
     out, _, _ = clustering.gmm(pts, ["click", "error", "view"], k=3, seed=42)
@@ -328,7 +347,20 @@ register("l18_nearest_nodes")(l18_nearest_nodes)
 
 
 def f10_mahalanobis(spark, sf_dir):
-    return l14_gmm_mahalanobis(spark, sf_dir).select("nodename", "cluster", "distance")
-
-
-register("f10_mahalanobis")(f10_mahalanobis)
+    """Distance of every node to its cluster (node number by 4) over mean and
+    spread of its readings, the 2 x 2 covariance inverted in closed form."""
+    p = tv.readings(spark, sf_dir).groupBy("node", "node_no").agg(F.avg("value").alias("x"), F.stddev_pop("value").alias("y")) \
+        .withColumn("cluster", F.col("node_no") % 4)
+    c = p.groupBy("cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"),
+                                 F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cxy"))
+    det = F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy")
+    inverse = [[F.col("vy") / det, -F.col("cxy") / det], [-F.col("cxy") / det, F.col("vx") / det]]
+    d = fx.mahalanobis([F.col("x") - F.col("mx"), F.col("y") - F.col("my")], inverse)
+    return round_doubles(p.join(c, "cluster").select("node", "cluster", d.alias("distance")))
+
+
+register("f10_mahalanobis", with_views("readings", extra=[
+    ("p", "  SELECT node, node_no % 4 AS cluster, avg(value) AS x, stddev_pop(value) AS y FROM readings GROUP BY node, node_no"),
+    ("c", "  SELECT cluster, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS d, covar_samp(x, y) AS b FROM p GROUP BY cluster")]) +
+    f"""SELECT node, cluster, {qz('sqrt((d * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * d - b * b))')} AS distance
+FROM p JOIN c USING (cluster)""")(f10_mahalanobis)

@@ -38,7 +38,7 @@ def read_node_tables(spark: SparkSession, path: str | Sequence[str], schema: str
                      ts_col: str = "Time") -> DataFrame:
     """S3 + S4 + S7 + S8: all node files of a folder in one read; the node name is
     the file stem (``_metadata.file_name``); optional column pruning."""
-    r = spark.read.format(fmt)
+    r = spark.read.format(fmt).option("recursiveFileLookup", True)
     if fmt == "csv":
         r = r.option("header", True)
         r = r.schema(schema) if schema else r.option("inferSchema", True)

@@ -161,3 +161,37 @@ def test_dtw_of_long_series_stays_small():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(1, 7200, 2))
     assert np.isfinite(dtw._dtw_batch(a, np.array([7200]), a[:, :5000], np.array([5000]))).all()
+
+
+def test_user_aggregates_share_the_frame(holes):
+    """Any window aggregate, also a pandas one, goes through ``extra``."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    out = features.window_features(holes, ["a"], w=6, stats=["min", "max"], extra=[F.count("a"), spread("a")])
+    pdf = out.toPandas()
+    assert np.allclose(pdf.iloc[:, -1], pdf.max_a - pdf.min_a) and pdf.iloc[:, -2].between(0, 6).all()
+
+
+def test_node_pca_separates_planted_directions(spark):
+    from faultlens.plans.clustering import pca_node_means
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in ("A", "B"):
+        for _ in range(200):
+            t, e = rng.normal(), rng.normal(scale=0.05, size=3)
+            x = (t + e[0], t + e[1], e[2]) if n == "A" else (e[0], t + e[1], -t + e[2])
+            rows.append((n, *map(float, x), int(t > 0)))
+    df = spark.createDataFrame(rows, "node string, x double, y double, z double, fault int")
+    got = {r.node: r for r in pca_node_means(df, ["x", "y", "z"], faults=[1], k=2).collect()}
+    for n, cols in (("A", "xyz"), ("B", "xyz")):
+        own = np.array([r[1:4] for r in rows if r[0] == n])
+        z = (own - own.mean(0)) / own.std(0)
+        _, v = np.linalg.eigh(np.cov(z.T, bias=True))
+        top = v[:, ::-1][:, :2].T
+        top = top * np.sign(top[np.arange(2), np.abs(top).argmax(1)])[:, None]
+        want = top @ z[np.array([r[4] for r in rows if r[0] == n]) == 1].mean(0)
+        assert np.allclose([got[n].pc1, got[n].pc2], want)
