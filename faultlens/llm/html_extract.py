@@ -275,7 +275,7 @@ def altered(tree: Tree, y: np.ndarray, rng: np.random.Generator) -> tuple[Tree,
         tag, marks, text, links = tree.tag[i], tree.marks[i], tree.text[i], tree.links[i]
         if i == root:
             tag, marks = [("article", marks), ("main", marks), ("div", frozenset([sorted(CONTENT_WORDS)[rng.integers(len(CONTENT_WORDS))]])),
-                          ("div", frozenset())][rng.choice(4, p=[0.4, 0.2, 0.3, 0.1])]
+                          ("div", frozenset())][rng.choice(4, p=[0.3, 0.15, 0.25, 0.3])]
         elif i in tops and rng.random() < 0.7:
             tag, marks = (("div", frozenset([sorted(OTHER_WORDS)[rng.integers(len(OTHER_WORDS))]])) if rng.random() < 0.5
                           else (sorted(OTHER_TAGS)[rng.integers(len(OTHER_TAGS))], frozenset()))
