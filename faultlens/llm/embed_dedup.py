@@ -40,14 +40,16 @@ def passes_for(n_label: int, threshold: float) -> int:
     return int(min(256, max(4, np.ceil(np.log(MISS) / np.log1p(-min(hit, 0.95))))))
 
 
-def _unit_rows(column: pa.Array, size: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-    x = x / np.abs(x).max(1, keepdims=True)
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision; their largest component
+    first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _codes(batches: Iterator[pa.RecordBatch], n_passes: int) -> Iterator[pa.RecordBatch]:
-    """Rows (label, size, id, embedding) -> (pass, label, size, code, id, embedding)."""
+    """Rows (label, size, id, vector) -> (pass, label, size, code, id, vector's bytes)."""
     planes: dict[int, np.ndarray] = {}
     weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
     for batch in batches:
@@ -56,16 +58,17 @@ def _codes(batches: Iterator[pa.RecordBatch], n_passes: int) -> Iterator[pa.Reco
             part = batch.filter(pa.array(sizes == size))
             if size not in planes:
                 planes[size] = np.random.default_rng([SEED, size]).normal(size=(size, n_passes * BITS))
-            unit = _unit_rows(part.column(3), size)
-            code = ((unit @ planes[size]) > 0).reshape(len(unit), n_passes, BITS) @ weights
+            raw = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            code = ((_units(raw) @ planes[size]) > 0).reshape(len(raw), n_passes, BITS) @ weights
+            held = pa.array([v.tobytes() for v in raw], pa.binary())
             for k in range(n_passes):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(unit), k, np.int32)), part.column(0), part.column(1), pa.array(code[:, k]), part.column(2),
-                     pa.array([v.tobytes() for v in unit], pa.binary())], names=["pass", "label", "size", "code", "id", "unit"])
+                    [pa.array(np.full(len(raw), k, np.int32)), part.column(0), part.column(1), pa.array(code[:, k]), part.column(2), held],
+                    names=["pass", "label", "size", "code", "id", "vector"])
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (part, pass, label, size, code, id, unit) -> a row per chunk."""
+    """Sorted rows (part, pass, label, size, code, id, vector) -> a row per chunk."""
     held: list[pa.RecordBatch] = []
     n, key, local = 0, None, 0
 
@@ -77,7 +80,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([key[0]], pa.int32()), pa.array([key[3]], pa.int32()), pa.array([local], pa.int32()), pa.array([len(rows)], pa.int32()),
              pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()),
              pa.array([rows.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-             pa.array([b"".join(rows.column("unit").to_pylist())], pa.binary())],
+             pa.array([b"".join(rows.column("vector").to_pylist())], pa.binary())],
             names=["pass", "part", "local", "place", "label", "size", "ids", "vectors"])
 
     for batch in batches:
@@ -103,20 +106,40 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of chunks (x, size, ids, vectors, other ids, other vectors) -> a row
-    per pair of chunks: links as two lists, and the share of linked rows there."""
+_LINKS = "x long, y long, share double, a array<long>, b array<long>"
+
+
+def _links(x: int, y: int, size: int, left: tuple, right: tuple, threshold: float, dtype: str) -> pa.RecordBatch:
+    """The links between two chunks ``(ids, vectors)`` as one row, with the share
+    of the second's rows that have one."""
+    i, j = np.frombuffer(left[0], np.int64), np.frombuffer(right[0], np.int64)
+    u, v = (_units(np.frombuffer(b, dtype).reshape(-1, size)) for b in (left[1], right[1]))
+    near = u @ v.T >= threshold
+    if x == y:
+        near &= np.arange(len(i))[:, None] < np.arange(len(j))
+    a, b = np.nonzero(near)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x]), pa.array([y]), pa.array([float(near.any(0).mean())]), pa.array([np.minimum(i[a], j[b])], pa.list_(pa.int64())),
+         pa.array([np.maximum(i[a], j[b])], pa.list_(pa.int64()))], names=["x", "y", "share", "a", "b"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Chunks sorted by (key, at), each under its own number and its predecessor's:
+    every chunk with itself and with the next of the same pass, label and size."""
+    held = None
+    for batch in batches:
+        for key, at, *group, ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+            if at == key:
+                held = (at, group, (ids, vectors))
+                yield _links(at, at, group[2], held[2], held[2], threshold, dtype)
+            elif held and held[0] == key and held[1] == group:
+                yield _links(key, at, group[2], held[2], (ids, vectors), threshold, dtype)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for x, y, size, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            i, j = (np.frombuffer(b, np.int64) for b in blobs[::2])
-            u, v = (np.frombuffer(b, np.float64).reshape(-1, size) for b in blobs[1::2])
-            near = u @ v.T >= threshold
-            if x == y:
-                near &= np.arange(len(i))[:, None] < np.arange(len(j))
-            a, b = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x]), pa.array([y]), pa.array([float(near.any(0).mean())]), pa.array([np.minimum(i[a], j[b])], pa.list_(pa.int64())),
-                 pa.array([np.maximum(i[a], j[b])], pa.list_(pa.int64()))], names=["x", "y", "share", "a", "b"])
+        for x, y, size, i, u, j, v in zip(*(c.to_pylist() for c in batch.columns)):
+            yield _links(x, y, size, (i, u), (j, v), threshold, dtype)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -134,20 +157,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     share a component. Ties in a pass follow the id. An empty table gives no
     rows; other columns are not looked at.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"),
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    dtype = {"float": "f4", "double": "f8"}[kind]
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("e"),
                           F.col(label_col).cast("int").alias("label"))
-    big = F.array_max(F.transform("e", F.abs))
     sound = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0)
-             & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (big > 0))
-    rows = cut(rows.withColumn("e", F.when(F.coalesce(sound, F.lit(False)), F.transform("e", lambda x: x + F.lit(0.0)))))
+             & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("e", lambda x: x != 0))
+    plus = F.lit(0.0).cast(kind)  # makes a negative zero an ordinary one
+    rows = cut(rows.withColumn("e", F.when(F.coalesce(sound, F.lit(False)), F.transform("e", lambda x: x + plus))))
     live = rows.where("e IS NOT NULL")
     classes = cut(live.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")))
     widest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     n_passes = passes_for(widest, threshold)
     coded = classes.select("label", F.size("e").alias("size"), "rep", "e").mapInArrow(
-        lambda it: _codes(it, n_passes), "pass int, label int, size int, code long, id long, unit binary")
+        lambda it: _codes(it, n_passes), "pass int, label int, size int, code long, id long, vector binary")
     order = ["pass", "label", "size", "code", "id"]
-    chunks = cut(coded.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), *order, "unit")
+    chunks = cut(coded.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), *order, "vector")
                  .mapInArrow(_chunked, _CHUNK_FIELDS))
     # A row per partition and pass: the offsets that number the chunks of the whole order.
     counts = chunks.groupBy("part").agg(F.max("local").alias("n"))
@@ -155,14 +180,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     group = ["pass", "label", "size"]
     chunks = chunks.join(offsets, "part").select((F.col("o") + F.col("local")).alias("at"), *group, "ids", "vectors")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        x = chunks.select(F.col("at").alias("x"), *group, F.col("ids").alias("i"), F.col("vectors").alias("u"))
-        y = chunks.select(F.col("at").alias("y"), *(F.col(c).alias(f"{c}_y") for c in group), F.col("ids").alias("j"), F.col("vectors").alias("v"))
-        same = " AND ".join(f"{c} = {c}_y" for c in group)
-        return cut(pairs.join(x, "x").join(y, "y").where(same).select("x", "y", "size", "i", "u", "j", "v").mapInArrow(
-            lambda it: _links(it, threshold), "x long, y long, share double, a array<long>, b array<long>"))
-
-    near = compare(chunks.select(F.col("at").alias("x"), F.explode(F.array("at", F.col("at") + 1)).alias("y")))
+    near = chunks.select(F.explode(F.array("at", F.col("at") - 1)).alias("key"), "at", *group, "ids", "vectors")
+    near = cut(near.repartition("key").sortWithinPartitions("key", "at").mapInArrow(
+        lambda it: _neighbours(it, threshold, dtype), _LINKS))
     # Runs of chunks that a group fills: the gaps between full chunks number them.
     full = near.where("y = x + 1 AND share >= 0.5").select("y")
     runs = full.select("y", (F.col("y") - F.row_number().over(W.orderBy("y"))).alias("run")).groupBy("run").agg(
@@ -170,9 +190,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spans = runs.select(F.explode(F.sequence(F.col("first") - 1, "last")).alias("x"), "last").select(
         "x", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("last") + 1 - F.col("x")))).alias("step"), "last").where(
         "x + step <= last + 1").select("x", (F.col("x") + F.col("step")).alias("y"))
-    far = compare(spans)
     pair = F.explode(F.arrays_zip("a", "b")).alias("p")
-    links = cut(near.select(pair).unionByName(far.select(pair)).select("p.a", "p.b").distinct())
+    found, spans = near.select(pair), cut(spans)
+    if not spans.isEmpty():
+        x = chunks.select(F.col("at").alias("x"), *group, F.col("ids").alias("i"), F.col("vectors").alias("u"))
+        y = chunks.select(F.col("at").alias("y"), *(F.col(c).alias(f"{c}_y") for c in group), F.col("ids").alias("j"), F.col("vectors").alias("v"))
+        same = " AND ".join(f"{c} = {c}_y" for c in group)
+        found = found.unionByName(spans.join(x, "x").join(y, "y").where(same).select("x", "y", "size", "i", "u", "j", "v").mapInArrow(
+            lambda it: _pairs(it, threshold, dtype), _LINKS).select(pair))
+    links = cut(found.select("p.a", "p.b").distinct())
     many = classes.select("rep", "many")
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     direct = ends.join(many.select(F.col("rep").alias("b"), "many"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("others"))
