@@ -132,14 +132,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quotas = totals.join(weights.drop("tokens"), "source", "left").select(
         "source", "tokens", (F.greatest(quota, "tokens") if whole else quota).alias("quota"),
         F.greatest(F.lit(1), F.ceil(F.coalesce("budget", F.lit(0)) / block_tokens)).alias("blocks"))
-    # At most BUCKETS rows to a source here, whatever its documents.
+    # At most BUCKETS rows to a source here, whatever its documents: what belongs to
+    # a source reaches its documents by bucket, so no task gets a whole source.
     starts = per_bucket.withColumn("before", F.sum("tokens").over(
         W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
+    starts = starts.drop("tokens").join(quotas, "source")
     in_bucket = W.partitionBy("source", "bucket").orderBy("draw", "doc_id", "n_tokens")
     placed = (counted.withColumn("inside", F.sum("n_tokens").over(in_bucket.rowsBetween(W.unboundedPreceding, -1)))
-              .join(starts.select("source", "bucket", "before"), ["source", "bucket"])
-              .withColumn("at", F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0)))
-              .join(quotas, "source"))
+              .join(starts, ["source", "bucket"])
+              .withColumn("at", F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))))
     copies = F.when(F.col("tokens") == 0, F.lit(1)).otherwise(F.ceil((F.col("quota") - F.col("at")) / F.col("tokens")))
     reads = placed.withColumn("copies", copies.cast("int")).where("copies > 0").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
