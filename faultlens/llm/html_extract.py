@@ -355,11 +355,14 @@ def main_text(page: str, weights: np.ndarray) -> str:
 
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from at most ``sample`` pages with one article, those with the
-    smallest hashes; of them only pages under ``LONGEST`` characters."""
+    """Weights from at most ``sample`` different pages with one article, those of
+    the pages under ``LONGEST`` characters with the smallest hashes."""
     text = F.col(html_col).cast("string")
-    picked = (pages.select(text.alias("html")).where(F.col("html").isNotNull() & (F.length("html") < LONGEST) & F.lower("html").contains("<article"))
-              .select("html", F.xxhash64("html").alias("draw")).orderBy("draw").limit(sample).select("html").collect())
+    fit_for = pages.select(text.alias("html")).where(
+        F.col("html").isNotNull() & (F.length("html") < LONGEST) & F.lower("html").contains("<article")).withColumn("draw", F.xxhash64("html"))
+    # Hashes alone are ranked; of the pages only the chosen ones, each once, reach the driver.
+    least = [r.draw for r in fit_for.select("draw").distinct().orderBy("draw").limit(sample).collect()]
+    picked = fit_for.where(F.col("draw").isin(least)).groupBy("draw").agg(F.first("html").alias("html")).orderBy("draw").collect()
     rng = np.random.default_rng(5)
     trees = []
     for r in picked:
