@@ -19,6 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Edges to a partition: small graphs are walked by few tasks.
+EDGES = 1_000_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the undirected links ``(a, b)``: ``(node, root)``.
 
@@ -37,10 +41,12 @@ def components(links: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
+        k = state[0] // EDGES + 1
+        e = e.coalesce(k)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.coalesce(2 * k).distinct().coalesce(k))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.coalesce(k).unionByName(low.select("u", F.col("m").alias("v")).coalesce(k)).distinct().coalesce(k))

@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = (signed.where("n > 0").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
             .dropDuplicates(["digest", "doc_id"]))
     banded = cut(reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key")))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("pivot")).where("m > 1")
+    # Written, so that the joins with them are between plain shuffles, which Spark splits where a bucket is large.
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("pivot")).where("m > 1"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return texts.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(
@@ -232,8 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tally = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top")).select(
         "key", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.c")).alias("u")).where("u > 0")
-    tally = tally.select("key", "top", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("cm"),
-                         F.ceil(F.col("u") / BLOCK_ROWS).cast("int").alias("cu"))
+    tally = cut(tally.select("key", "top", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("cm"),
+                         F.ceil(F.col("u") / BLOCK_ROWS).cast("int").alias("cu")))
     open_ = rooted.join(tally, "key").join(reps.select("doc_id", "sketch"), "doc_id")
     slot = F.xxhash64("doc_id", F.lit(11))
     left = open_.where("root <> top").select(
