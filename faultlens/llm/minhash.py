@@ -206,10 +206,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(texts.mapInArrow(lambda it: _signed(it, shingle, n_bands),
                                   "doc_id long, n long, digest binary, bands array<long>, sketch binary"))
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = (signed.where("n > 0").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-            .dropDuplicates(["digest", "doc_id"]))
-    banded = cut(reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key")))
+    classes = cut(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = cut(signed.where("n > 0").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
+               .dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "bands", "sketch"))
+    banded = reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))  # many times its size, so never written
     # Written, so that the joins with them are between plain shuffles, which Spark splits where a bucket is large.
     shared = cut(banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("pivot")).where("m > 1"))
 
