@@ -224,3 +224,97 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     return html_extract.extract_text(pages, html_extract.train(pages))
+
+
+def multi_bpe() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@_query
+def op11_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.bpe import decode_documents, encode_documents
+
+    ranks, pattern = multi_bpe()
+    ids = encode_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), ranks, pattern)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decode_documents(ids, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                                               F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm import merkle
+
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "lang", "n_chars", "text"])
+    tampered = merkle.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text")])
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered)
+    rows = merkle.manifest(docs, docs.columns, "lang", "doc_id", {"doc_id": F.col("doc_id"), "altered": altered})
+    return merkle.verified(rows, F.coalesce("altered", "leaf")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: CRC-32 bit by bit, all levels by recursion, and a walk from each leaf upward.
+ORACLES["op12_merkle_manifest"] = """
+WITH RECURSIVE given AS (SELECT row_number() OVER () AS r, * FROM documents),
+sums AS (
+  SELECT r, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c FROM given
+), hashed AS (
+  SELECT given.r, doc_id, lang, {leaf} AS leaf, CASE WHEN xor(c, 4294967295) % 7 = 0 THEN {tampered} ELSE {leaf} END AS offered
+  FROM given JOIN sums ON given.r = sums.r
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), nodes AS (
+  SELECT lang, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2
+), tops AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h, lang FROM nodes WHERE n = 1
+), over AS (
+  SELECT level, i, n, h FROM tops
+  UNION ALL
+  SELECT level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM over WHERE n > 1 GROUP BY level, i // 2
+), climb AS (
+  SELECT r, lang, 0 AS level, i, n, '' AS proof, offered AS h FROM leaves
+  UNION ALL
+  SELECT c.r, c.lang, c.level + 1, c.i // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN c.i % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END)
+  FROM climb c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.i = xor(c.i, 1) WHERE c.n > 1
+), ascend AS (
+  SELECT c.r, t.h AS subroot, 0 AS level, t.i, t.n, c.proof, c.h FROM climb c JOIN tops t ON t.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.r, c.subroot, c.level + 1, c.i // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN c.i % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END)
+  FROM ascend c LEFT JOIN over s ON s.level = c.level AND s.i = xor(c.i, 1) WHERE c.n > 1
+)
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, a.h AS folded_root, a.h = root.h AS verified
+FROM leaves JOIN ascend a ON leaves.r = a.r AND a.n = 1, (SELECT h FROM over WHERE n = 1) root
+""".format(**{name: "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n, "text")) + ")"
+              for name, n in (("leaf", "n_chars"), ("tampered", "(n_chars + 1)"))})
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """The contract's repeats: in one of ten documents the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumns({"_w": F.when(h % 10 == 0, words), "_g": F.floor(h / 10)}).withColumn("_n", F.size("_w"))
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    docs = docs.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    again = F.transform(F.sequence(F.col("_a"), F.col("_n") - 1), lambda i: F.get("_w", F.col("_a") + (i - F.col("_a")) % F.col("_p")))
+    repeated = F.array_join(F.concat(F.slice("_w", 1, F.col("_a")), again), " ")
+    return docs.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultlens.llm.runs import detect_runs
+
+    found = detect_runs(_with_repeats(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+    rank = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r.alias("run")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumns({"best": F.array_max(rank)["run"], "lines": F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))})
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
