@@ -1,4 +1,7 @@
-"""Random-forest fault classification jobs on ``pyspark.ml``.
+"""Random-forest fault classification jobs.
+
+One model over all training rows is fitted by ``pyspark.ml``; jobs of many
+models (per node, design or fold) grow all of them at once by ``keyed_forest``.
 
 Feature columns may contain ``/``, ``.`` or ``-``; they are assembled with
 ``array_to_vector(array(...))`` instead of ``VectorAssembler`` (which fails on
@@ -9,7 +12,6 @@ grouped count, so only K^2 rows per node ever reach the metric step.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.operators import metrics, sampling
+from faultlens.plans.keyed_forest import Forests, grow_forests
 from faultlens.session import ensure_checkpoint_dir
 
 FEATURES = "features"
@@ -79,36 +82,37 @@ def train_test_nodes(features: DataFrame, cols: Sequence[str], train_nodes: Data
     return metrics.scores(predict(model, test, cols, [node], label), [node])
 
 
-def same_node_split(features: DataFrame, cols: Sequence[str], nodes: Sequence, *, node: str = "node",
-                    pos: str = "pos", label: str = "label", seed: int = 42, threads: int = 4, **kw) -> DataFrame:
-    """L2: per node, train on the first 60 % of rows and test on the rest.
-    Fits run concurrently from a small driver thread pool; each fit is a Spark job."""
-    split = sampling.positional_split(features, node=node, pos=pos).persist()
+def same_node_forests(features: DataFrame, cols: Sequence[str], nodes: Sequence | None = None, *, node: str = "node",
+                      pos: str = "pos", label: str = "label", seed: int = 42, **kw) -> Forests:
+    """L2: a forest per node, learnt from the first 60 % of its rows, judging the
+    rest. All nodes are one job (``keyed_forest``); ``nodes`` restricts them."""
+    rows = sampling.positional_split(features, node=node, pos=pos)
+    rows = rows if nodes is None else rows.where(F.col(node).isin(list(nodes)))
+    return grow_forests(rows.withColumn("test", F.col("split") == "test"), cols, model=[node], key=[node, pos], label=label, seed=seed, **kw)
+
 
-    def one(n):
-        part = split.where(F.col(node) == F.lit(n))
-        m = fit(part.where(F.col("split") == "train"), cols, label, seed, **kw)
-        return settled(metrics.scores(predict(m, part.where(F.col("split") == "test"), cols, [node], label), [node]))
+def same_node_split(features: DataFrame, cols: Sequence[str], nodes: Sequence | None = None, *, node: str = "node", **kw) -> DataFrame:
+    """L2: the scores of ``same_node_forests`` by node."""
+    return metrics.scores(same_node_forests(features, cols, nodes, node=node, **kw).predictions(), [node])
 
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        outs = list(ex.map(one, nodes))
-    split.unpersist()
-    return union_all(outs)
+
+def design_forests(features: DataFrame, cols: Sequence[str], designs: DataFrame, *, node: str = "node", pos: str = "pos",
+                   label: str = "label", seed: int = 42, balance: bool = True, strategy="majority", **kw) -> Forests:
+    """L4: a forest per (iter, k) design (M12), learnt from the design's training
+    nodes, judging its other nodes. Rows are balanced per node once (M6), and all
+    designs are one job. A design is a small table of node names."""
+    if balance:
+        features = sampling.undersample(features, label, strategy=strategy, group=[node], key=(node, pos), seed=seed)
+    rows = features.join(designs.select(node, "iter", "k", (F.col("role") != "train").alias("test")), node)
+    return grow_forests(rows, cols, model=["iter", "k"], key=[node, pos], label=label, seed=seed, **kw)
 
 
-def random_design_runs(features: DataFrame, cols: Sequence[str], designs: DataFrame, *, node: str = "node",
-                       label: str = "label", seed: int = 42, **kw) -> DataFrame:
-    """L4: for every (iter, k) design (M12), L3 with that design's training nodes.
-    One fit per design is inherent; the loop only submits jobs."""
-    features = features.persist()
-    keys = designs.select("iter", "k").distinct().orderBy("iter", "k").collect()  # design ids only
-    outs = []
-    for r in keys:
-        tr = designs.where((F.col("iter") == r["iter"]) & (F.col("k") == r["k"]) & (F.col("role") == "train"))
-        s = train_test_nodes(features, cols, tr.select(node), node=node, label=label, seed=seed, **kw)
-        outs.append(settled(s.withColumn("iter", F.lit(r["iter"])).withColumn("num_train", F.lit(r["k"]))))
-    features.unpersist()
-    return union_all(outs)
+def random_design_runs(features: DataFrame, cols: Sequence[str], designs: DataFrame, *, node: str = "node", **kw) -> DataFrame:
+    """L4: the scores of ``design_forests`` by test node, with ``iter`` and ``num_train``."""
+    made = design_forests(features, cols, designs, node=node, **kw).predictions()
+    run = F.split("model", ":")
+    made = made.withColumns({"iter": run[0].cast("int"), "num_train": run[1].cast("int")})
+    return metrics.scores(made, [node, "iter", "num_train"])
 
 
 def _fold_scores(f: DataFrame, i: int, cols, node: str, pos: str, label: str, seed: int, balance: bool, zero_division: float,
@@ -145,23 +149,26 @@ def cross_validate(features: DataFrame, cols: Sequence[str], *, k: int = 5, node
     return metrics.fold_table(union_all(outs), [node])
 
 
-def cross_validate_nodes(features: DataFrame, cols: Sequence[str], nodes: Sequence, *, k: int = 5, node: str = "node",
-                         pos: str = "pos", label: str = "label", seed: int = 42, folds: str = "contiguous",
-                         balance: bool = True, zero_division: float = 1.0, labels: Sequence[int] | None = None,
-                         threads: int = 4, **kw) -> DataFrame:
-    """L7, per node: for every node of ``nodes`` a k-fold cross-validation of its
-    own. k fits to a node are the method; they are Spark jobs that a few driver
-    threads submit, and each leaves its small score table behind."""
-    f = folded(features, k, folds, label, node, pos, seed).persist()
+def node_fold_forests(features: DataFrame, cols: Sequence[str], nodes: Sequence | None = None, *, k: int = 5, node: str = "node",
+                      pos: str = "pos", label: str = "label", seed: int = 42, folds: str = "contiguous", balance: bool = True, **kw) -> Forests:
+    """L7, per node: for every node k forests, each learnt from k - 1 folds of the
+    node and judging the last. Training and test rows are balanced apart. All
+    nodes and folds are one job; models are named ``node:fold``."""
+    rows = features if nodes is None else features.where(F.col(node).isin(list(nodes)))
+    rows = folded(rows, k, folds, label, node, pos, seed).withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows = rows.withColumn("test", F.col("fold") == F.col("_run"))
+    if balance:
+        rows = sampling.undersample(rows, label, group=[node, "_run", "test"], key=(node, pos), seed=seed)
+    return grow_forests(rows, cols, model=[node, "_run"], key=[node, pos], label=label, seed=seed, **kw)
 
-    def one(task):
-        n, i = task
-        return _fold_scores(f.where(F.col(node) == F.lit(n)), i, cols, node, pos, label, seed, balance, zero_division, labels, **kw)
 
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        outs = list(ex.map(one, [(n, i) for n in nodes for i in range(k)]))
-    f.unpersist()
-    return metrics.fold_table(union_all(outs), [node])
+def cross_validate_nodes(features: DataFrame, cols: Sequence[str], nodes: Sequence | None = None, *, node: str = "node",
+                         zero_division: float = 1.0, labels: Sequence[int] | None = None, **kw) -> DataFrame:
+    """L7, per node: F1 by node and fold, and the ``all`` rows of their means."""
+    made = node_fold_forests(features, cols, nodes, node=node, **kw).predictions()
+    made = made.withColumn("fold", F.element_at(F.split("model", ":"), -1).cast("int"))
+    scored = metrics.scores(made, [node, "fold"], metrics=["f1"], zero_division=zero_division, labels=labels)
+    return metrics.fold_table(settled(scored), [node])
 
 
 def save(model, path: str) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 
 from faultlens.operators import metrics, sampling
 from faultlens.plans.forest import FEATURES, assemble, fit, predict
-
-# Spark trees are limited to depth 30.
-MAX_TREE_DEPTH = 30
+from faultlens.plans.keyed_forest import grow_forests
 
 
 def _rank_table(spark: SparkSession, names: Sequence[str], values: Sequence[float]) -> DataFrame:
@@ -39,12 +37,13 @@ def forest_importance(features: DataFrame, cols: Sequence[str], label: str = "la
 
 
 def tree_importance(features: DataFrame, cols: Sequence[str], label: str = "label", seed: int = 42,
-                    max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
-    """Decision-tree importances (depth capped at Spark's limit of 30)."""
-    data = assemble(features, cols).select(FEATURES, F.col(label).cast("double").alias(label))
-    m = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=min(max_depth, MAX_TREE_DEPTH),
-                               seed=seed).fit(data)
-    return _rank_table(features.sparkSession, cols, m.featureImportances.toArray().tolist())
+                    max_depth: int | None = None, key: Sequence[str] = ("node", "pos")) -> DataFrame:
+    """Importances of one decision tree over all rows and features, as deep as
+    it gets unless ``max_depth`` says otherwise."""
+    rows = features.withColumns({"_model": F.lit("all"), "_test": F.lit(False)})
+    grown = grow_forests(rows, cols, model=["_model"], key=key, test="_test", label=label, num_trees=1, max_depth=max_depth,
+                         tried=len(cols), bootstrap=False, seed=seed)
+    return grown.importances().drop("model")
 
 
 def top_n_refit(features: DataFrame, test: DataFrame, cols: Sequence[str], n: int, node: str = "node",

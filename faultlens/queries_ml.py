@@ -16,7 +16,7 @@ from faultlens.functions import scalar as fx
 from faultlens.oracles import with_views
 from faultlens.operators import metrics, profile, sampling
 from faultlens.operators.positions import add_positions
-from faultlens.plans import clustering, dtw, forest, selection
+from faultlens.plans import clustering, dtw, forest, keyed_forest, selection
 from faultlens.queries import ORACLES, qz, register, round_doubles
 from faultlens.queries_ops import conf_ctes, scores_ctes
 from faultlens.session import shared_path
@@ -173,7 +173,7 @@ register("l01_forest_predictions")(l01_forest_predictions)
 
 
 def l02_same_node_split(spark, sf_dir):
-    return round_doubles(forest.same_node_split(_vectors(spark, sf_dir), _VCOLS, [f"N{i}" for i in range(8)]))
+    return round_doubles(forest.same_node_split(_vectors(spark, sf_dir), _VCOLS))
 
 
 register("l02_same_node_split")(l02_same_node_split)
@@ -186,11 +186,15 @@ def l03_train_selected_nodes(spark, sf_dir):
 register("l03_train_selected_nodes")(l03_train_selected_nodes)
 
 
+def _designs(v, sizes, iterations=1):
+    nodes = v.select("node", fx.node_number("node").alias("node_no")).distinct()
+    return sampling.random_designs(nodes, seed=42, iterations=iterations, sizes=sizes)
+
+
 def l04_random_design_runs(spark, sf_dir):
+    """Every size that leaves a test node, two runs each: fourteen forests in one job."""
     v = _vectors(spark, sf_dir)
-    nodes = v.select("node", fx.node_number("node").alias("node_no")).distinct()
-    d = sampling.random_designs(nodes, seed=42, iterations=1, sizes=[2, 4])
-    return round_doubles(forest.random_design_runs(v, _VCOLS, d))
+    return round_doubles(forest.random_design_runs(v, _VCOLS, _designs(v, range(1, 8), iterations=2)))
 
 
 register("l04_random_design_runs")(l04_random_design_runs)
@@ -215,6 +219,14 @@ def l07_cross_validation(spark, sf_dir):
 register("l07_cross_validation")(l07_cross_validation)
 
 
+def l07_node_cross_validation(spark, sf_dir):
+    """A cross-validation of every node by itself: forty forests in one job."""
+    return round_doubles(forest.cross_validate_nodes(_vectors(spark, sf_dir), _VCOLS, folds="stratified", labels=list(range(10))))
+
+
+register("l07_node_cross_validation")(l07_node_cross_validation)
+
+
 def l07_random_node_cv(spark, sf_dir):
     """One pooled cross-validation trained on four random nodes (M12), scored on all."""
     v = _vectors(spark, sf_dir)
@@ -257,6 +269,104 @@ def l08_tree_importance(spark, sf_dir):
 register("l08_tree_importance")(l08_tree_importance)
 
 
+# Shallow forests and their twins: bins, bags, features of a node and splits in SQL.
+_SHALLOW = dict(num_trees=3, max_depth=2, seed=42)
+
+
+def _ints(n, expr):
+    return ", ".join(expr.format(k=k) for k in range(n))
+
+
+def _shallow_twin(rows_sql: str, tail: str, trees: int = 3, tried: int = 8, classes: int = 10) -> str:
+    """SQL for ``tail`` over ``nodes`` (splits and leaves by model, tree and path)
+    and ``votes`` of the forests of depth two over ``rows_sql``: ``model, node, pos, label, test``."""
+    P, dims = keyed_forest._P, tv.VECTOR_DIMS
+    draw = "(({x}) * (2 * {k} + 1) + ({y}) * ((({k} + 1) * ({k} + 1)) % " + str(P) + ")) % " + str(P)
+    seeds = "('0x' || substr({h}, 1, 8))::BIGINT % " + str(P) + " AS s0, ('0x' || substr({h}, 9, 8))::BIGINT % " + str(P) + " AS s1"
+    by, K = "model, tree, path", classes
+    ends = lambda c: f"(list_max({c}) = list_sum({c}) OR list_sum({c}) < 2)"
+    weight = " + ".join(f"(d >= {t})::INT" for t in keyed_forest.POISSON)
+    edge = _ints(31, "x[(floor(len(x) * ({k} + 1) / 32))::INT + 1]")
+    extra = [
+        ("v", f"  SELECT *, row_number() OVER (PARTITION BY node ORDER BY vec_id) AS pos, [{_ints(dims, 'f{k}')}] AS f FROM ml_vectors"),
+        ("sizes", "  SELECT node, count(*) AS n FROM v GROUP BY node"),
+        ("rows_of", rows_sql),
+        ("sample", f"  SELECT unnest(f) AS value, unnest(range({dims})) AS feature FROM (SELECT v.f FROM rows_of JOIN v USING (node, pos) ORDER BY md5('42:' || node || ':' || pos) LIMIT 10000)"),
+        ("edges", f"  SELECT feature, [{edge}] AS e FROM (SELECT feature, list(value ORDER BY value) AS x FROM sample WHERE value IS NOT NULL GROUP BY feature)"),
+        ("bins", f"  SELECT node, pos, feature, len(list_filter(list_distinct(e), lambda q: q < value)) AS bin FROM (SELECT node, pos, unnest(f) AS value, unnest(range({dims})) AS feature FROM v) JOIN edges USING (feature)"),
+        ("seeded", f"  SELECT *, {seeds.format(h='h')} FROM (SELECT *, md5('42:' || model || ':' || node || ':' || pos) AS h FROM rows_of)"),
+        ("drawn", f"  SELECT *, {draw.format(x='s0', y='s1', k='tree')} AS d FROM (SELECT *, unnest(range({trees})) AS tree FROM seeded)"),
+        ("state0", f"  SELECT model, node, pos, label, test, tree, '' AS path, CASE WHEN test THEN 0 ELSE {weight} END AS w FROM drawn"),
+    ]
+    for d in (0, 1):
+        extra += [
+            (f"tries{d}", f"  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {draw.format(x='s0', y='s1', k='feature')}, feature) AS r "
+                          f"FROM (SELECT *, unnest(range({dims})) AS feature FROM (SELECT *, {seeds.format(h='h')} FROM (SELECT DISTINCT {by}, md5('42:' || model || ':' || tree || ':' || path) AS h FROM state{d})))) WHERE r <= {tried}"),
+            (f"hist{d}", f"  SELECT {by}, feature, bin, {_ints(K, 'sum(CASE WHEN label = {k} THEN w ELSE 0 END)::BIGINT AS c{k}')} FROM state{d} JOIN tries{d} USING ({by}) JOIN bins USING (node, pos, feature) WHERE w > 0 GROUP BY {by}, feature, bin"),
+            (f"sides{d}", f"  SELECT {by}, feature, bin, [{_ints(K, '(sum(c{k}) OVER upto)::BIGINT')}] AS low, [{_ints(K, '(sum(c{k}) OVER every)::BIGINT')}] AS total FROM hist{d} "
+                          f"WINDOW upto AS (PARTITION BY {by}, feature ORDER BY bin), every AS (PARTITION BY {by}, feature)"),
+            (f"scored{d}", "  SELECT *, coalesce(list_sum(list_transform(low, lambda c: c * c)) / list_sum(low) + list_sum(list_transform(high, lambda c: c * c)) / nullif(list_sum(high), 0), -1.0) AS score "
+                           f"FROM (SELECT *, list_transform(range(1, {K + 1}), lambda i: total[i] - low[i]) AS high FROM sides{d})"),
+            (f"best{d}", f"  SELECT *, score < 0 OR {ends('total')} AS final FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, feature, bin) AS r FROM scored{d}) WHERE r = 1"),
+            (f"moved{d}", f"  SELECT s.*, final, CASE WHEN final THEN total WHEN b.bin <= best{d}.bin THEN low ELSE high END AS counts, CASE WHEN b.bin <= best{d}.bin THEN '0' ELSE '1' END AS side "
+                          f"FROM state{d} s JOIN best{d} USING ({by}) JOIN bins b ON b.node = s.node AND b.pos = s.pos AND b.feature = best{d}.feature"),
+        ]
+        if d == 0:
+            extra.append(("state1", f"  SELECT model, node, pos, label, test, tree, side AS path, w FROM moved0 WHERE NOT final AND NOT {ends('counts')}"))
+    extra.append(("votes", f"  SELECT model, node, pos, label, {_ints(K, 'sum(counts[{k} + 1] * 1000000 // list_sum(counts)) AS v{k}')} FROM "
+                           f"(SELECT * FROM moved0 WHERE final OR {ends('counts')} UNION ALL SELECT * FROM moved1) WHERE test GROUP BY model, node, pos, label"))
+    extra.append(("predicted", f"  SELECT model, node, pos, label AS y, list_position(v, list_max(v)) - 1 AS pred FROM (SELECT *, [{_ints(K, 'v{k}')}] AS v FROM votes)"))
+    extra.append(("gains", "  SELECT model, tree, feature, score - list_sum(list_transform(total, lambda c: c * c)) / list_sum(total) AS gain FROM "
+                           "(SELECT * FROM best0 UNION ALL SELECT * FROM best1) WHERE NOT final"))
+    return with_views("ml_vectors", extra=extra) + tail
+
+
+_PREDICTED = "SELECT model, node, pos::BIGINT AS pos, y::INT AS y, pred::INT AS pred FROM predicted"
+_SAME_NODE = "  SELECT node AS model, node, pos, label, pos > floor(n * 6 / 10) AS test FROM v JOIN sizes USING (node)"
+
+
+def l02_shallow_predictions(spark, sf_dir):
+    """Per node three trees of depth two, the predictions of its last 40 % of rows."""
+    return forest.same_node_forests(_vectors(spark, sf_dir), _VCOLS, **_SHALLOW).predictions()
+
+
+register("l02_shallow_predictions", _shallow_twin(_SAME_NODE, _PREDICTED))(l02_shallow_predictions)
+
+
+def l04_shallow_predictions(spark, sf_dir):
+    """Designs of two, four and six training nodes, unbalanced, trees of depth two."""
+    v = _vectors(spark, sf_dir)
+    return forest.design_forests(v, _VCOLS, _designs(v, [2, 4, 6]), balance=False, **_SHALLOW).predictions()
+
+
+register("l04_shallow_predictions", _shallow_twin(
+    "  SELECT '1:' || k AS model, v.node, pos, label, r > k AS test FROM v JOIN (SELECT node, k, row_number() OVER (PARTITION BY k ORDER BY md5('42:1:' || k || ':' || node), node) AS r "
+    "FROM sizes, (VALUES (2), (4), (6)) s(k)) USING (node)", _PREDICTED))(l04_shallow_predictions)
+
+
+def l07_shallow_predictions(spark, sf_dir):
+    """Per node five contiguous folds, unbalanced, trees of depth two."""
+    return forest.node_fold_forests(_vectors(spark, sf_dir), _VCOLS, balance=False, **_SHALLOW).predictions()
+
+
+register("l07_shallow_predictions", _shallow_twin(
+    "  SELECT node || ':' || run AS model, node, pos, label, fold = run AS test FROM (SELECT *, ntile(5) OVER (PARTITION BY node ORDER BY pos) - 1 AS fold FROM v), range(5) r(run)",
+    _PREDICTED))(l07_shallow_predictions)
+
+
+def l08_shallow_importance(spark, sf_dir):
+    """Importances of the per-node forests of ``l02_shallow_predictions``."""
+    return round_doubles(forest.same_node_forests(_vectors(spark, sf_dir), _VCOLS, **_SHALLOW).importances())
+
+
+register("l08_shallow_importance", _shallow_twin(_SAME_NODE, f"""
+SELECT model, 'f' || feature AS feature, {qz('importance')} AS importance, row_number() OVER (PARTITION BY model ORDER BY importance DESC, 'f' || feature) AS rank FROM (
+  SELECT model, feature, coalesce(g / sum(g) OVER (PARTITION BY model), 0) AS importance
+  FROM (SELECT * FROM (SELECT DISTINCT model FROM gains), range({tv.VECTOR_DIMS}) d(feature)) LEFT JOIN (
+    SELECT model, feature, sum(g) AS g FROM (SELECT model, tree, feature, sum(gain) / sum(sum(gain)) OVER (PARTITION BY model, tree) AS g FROM gains GROUP BY model, tree, feature)
+    GROUP BY model, feature) USING (model, feature))"""))(l08_shallow_importance)
+
+
 def l09_rfe(spark, sf_dir):
     return selection.rfe(_vectors(spark, sf_dir), _VCOLS, 4, step=12)
 
