@@ -88,7 +88,7 @@ def same_node_forests(features: DataFrame, cols: Sequence[str], nodes: Sequence
     rest. All nodes are one job (``keyed_forest``); ``nodes`` restricts them."""
     rows = sampling.positional_split(features, node=node, pos=pos)
     rows = rows if nodes is None else rows.where(F.col(node).isin(list(nodes)))
-    return grow_forests(rows.withColumn("test", F.col("split") == "test"), cols, model=[node], key=[node, pos], label=label, seed=seed, **kw)
+    return grow_forests(rows.withColumn("_test", F.col("split") == "test"), cols, model=[node], key=[node, pos], test="_test", label=label, seed=seed, **kw)
 
 
 def same_node_split(features: DataFrame, cols: Sequence[str], nodes: Sequence | None = None, *, node: str = "node", **kw) -> DataFrame:
@@ -103,8 +103,8 @@ def design_forests(features: DataFrame, cols: Sequence[str], designs: DataFrame,
     designs are one job. A design is a small table of node names."""
     if balance:
         features = sampling.undersample(features, label, strategy=strategy, group=[node], key=(node, pos), seed=seed)
-    rows = features.join(designs.select(node, "iter", "k", (F.col("role") != "train").alias("test")), node)
-    return grow_forests(rows, cols, model=["iter", "k"], key=[node, pos], label=label, seed=seed, **kw)
+    rows = features.join(designs.select(node, "iter", "k", (F.col("role") != "train").alias("_test")), node)
+    return grow_forests(rows, cols, model=["iter", "k"], key=[node, pos], test="_test", label=label, seed=seed, **kw)
 
 
 def random_design_runs(features: DataFrame, cols: Sequence[str], designs: DataFrame, *, node: str = "node", **kw) -> DataFrame:
@@ -156,10 +156,10 @@ def node_fold_forests(features: DataFrame, cols: Sequence[str], nodes: Sequence
     nodes and folds are one job; models are named ``node:fold``."""
     rows = features if nodes is None else features.where(F.col(node).isin(list(nodes)))
     rows = folded(rows, k, folds, label, node, pos, seed).withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rows = rows.withColumn("test", F.col("fold") == F.col("_run"))
+    rows = rows.withColumn("_test", F.col("fold") == F.col("_run"))
     if balance:
-        rows = sampling.undersample(rows, label, group=[node, "_run", "test"], key=(node, pos), seed=seed)
-    return grow_forests(rows, cols, model=[node, "_run"], key=[node, pos], label=label, seed=seed, **kw)
+        rows = sampling.undersample(rows, label, group=[node, "_run", "_test"], key=(node, pos), seed=seed)
+    return grow_forests(rows, cols, model=[node, "_run"], key=[node, pos], test="_test", label=label, seed=seed, **kw)
 
 
 def cross_validate_nodes(features: DataFrame, cols: Sequence[str], nodes: Sequence | None = None, *, node: str = "node",

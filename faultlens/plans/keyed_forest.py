@@ -352,7 +352,7 @@ class Forests:
         votes = F.array(*(F.col(f"_v{k}") for k in range(len(self.classes))))
         names = F.array(*map(F.lit, self.classes))
         best = F.get(names, (F.array_position(votes, F.array_max(votes)) - 1).cast("int"))
-        return self.votes.groupBy("model", "id", "y").agg(*sums).select("model", "id.*", F.get(names, F.col("y")).alias("y"), best.alias("pred"))
+        return self.votes.groupBy("model", "id", "y").agg(*sums).where(F.array_max(votes) > 0).select("model", "id.*", F.get(names, F.col("y")).alias("y"), best.alias("pred"))
 
     def importances(self) -> DataFrame:
         """``model, feature, importance, rank``: gains per tree scaled to 1, averaged
@@ -387,11 +387,12 @@ def grow_forests(rows: DataFrame, cols: Sequence[str], *, model: Sequence[str],
     classes = [r[0] for r in rows.select(F.col(label).cast("int")).distinct().orderBy(label).limit(1001).collect()]
     if len(classes) > 1000:
         raise ValueError("more than 1000 classes")
+    classes = classes or [0]  # no rows, and no results
     edges = bin_edges(rows, cols, key, bins, seed) if edges is None else edges
     rule = _Rule(seed, num_trees, len(cols), tried or max(1, isqrt(len(cols))), len(classes), bins, max_depth, min_rows, bootstrap)
     name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in model))
     text = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))
-    number = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("int")) - 1 if classes else F.lit(0)
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("int")) - 1
     given = rows.select(name.alias("model"), F.struct(*key).alias("id"), number.cast("int").alias("y"), F.col(test).alias("test"),
                         binned(cols, edges).alias("bins"), text.alias("_text"))
     s0, s1 = _seeds(hash_key(seed, "model", "_text"))
