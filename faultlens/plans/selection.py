@@ -1,7 +1,7 @@
 """Feature ranking and selection jobs.
 
-Each step is a ``pyspark.ml`` fit over the distributed feature table; the
-driver only keeps feature names, importances and coefficients (one number per
+Each step is a distributed fit over the feature table (``pyspark.ml``,
+``keyed_forest`` or ``l1_models``); the driver only keeps feature names, importances and coefficients (one number per
 feature). Results are small DataFrames ``(feature, importance, rank)`` that the
 feature-list writer (S9/S10) stores.
 """
@@ -12,15 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.operators import metrics, sampling
 from faultlens.plans.forest import FEATURES, assemble, fit, predict
 from faultlens.plans.keyed_forest import grow_forests
+from faultlens.plans.l1_models import lasso_path
 
 
 def _rank_table(spark: SparkSession, names: Sequence[str], values: Sequence[float]) -> DataFrame:
@@ -113,20 +111,10 @@ def rfecv(features: DataFrame, cols: Sequence[str], *, k: int = 5, label: str =
     return curve_df, rfe(features, cols, n_best, label=label, step=step, seed=seed, **kw)
 
 
-def lasso_selection(features: DataFrame, cols: Sequence[str], label: str = "label",
-                    reg_params: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 5, seed: int = 42) -> DataFrame:
-    """L1 linear regression on the label as a number, penalty chosen by CV;
-    non-zero coefficients kept, sorted by |coef|."""
-    data = assemble(features, cols).select(FEATURES, F.col(label).cast("double").alias(label))
-    lr = LinearRegression(featuresCol=FEATURES, labelCol=label, elasticNetParam=1.0, standardization=True)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="mse"))
-    best = cv.fit(data).bestModel
-    coef = best.coefficients.toArray()
-    rows = [(c, float(v)) for c, v in zip(cols, coef)]
-    df = features.sparkSession.createDataFrame(rows, "feature string, coef double")
-    return df.where(F.col("coef") != 0).orderBy(F.desc(F.abs("coef")), "feature")
+def lasso_selection(features: DataFrame, cols: Sequence[str], label: str = "label", folds: int = 5, **kw) -> DataFrame:
+    """The non-zero coefficients of the cross-validated lasso, by absolute value."""
+    coefs, _ = lasso_path(features, cols, label=label, folds=folds, **kw)
+    return coefs.where(F.col("coef") != 0).orderBy(F.desc(F.abs("coef")), "feature")
 
 
 def l1_logistic_selection(features: DataFrame, cols: Sequence[str], label: str = "label", max_features: int = 100,
@@ -140,18 +128,3 @@ def l1_logistic_selection(features: DataFrame, cols: Sequence[str], label: str =
     norm = np.abs(coef).sum(axis=0)
     tbl = _rank_table(features.sparkSession, cols, norm.tolist()).withColumnRenamed("importance", "coef_norm")
     return tbl.where(F.col("rank") <= max_features)
-
-
-def l1_one_vs_rest_selection(features: DataFrame, cols: Sequence[str], label: str = "label", reg_param: float = 0.01,
-                             threshold: float = 1e-5) -> DataFrame:
-    """One L1 fit per class against the rest; features whose summed |coef|
-    over the classes is above ``threshold``, ranked by it."""
-    data = assemble(features, cols).select(FEATURES, F.col(label).cast("double").alias(label)).persist()
-    norm = np.zeros(len(cols))
-    for (c,) in data.select(label).distinct().orderBy(label).collect():  # the classes
-        m = LogisticRegression(featuresCol=FEATURES, labelCol="_is", elasticNetParam=1.0, regParam=reg_param,
-                               family="binomial", maxIter=200).fit(data.withColumn("_is", (F.col(label) == c).cast("double")))
-        norm += np.abs(m.coefficients.toArray())
-    data.unpersist()
-    tbl = _rank_table(features.sparkSession, cols, norm.tolist()).withColumnRenamed("importance", "coef_norm")
-    return tbl.where(F.col("coef_norm") > threshold)
