@@ -2,20 +2,30 @@
 averaging (DBA), and the nearest real node to every centroid (SURVEY 2.9
 L17-L18, 2.1 S5, 2.8 F9).
 
-Distribution: one row per node holds that node's series (bounded by the S5
-positional range ``start .. start+length-1``); DTW costs and alignment paths are
-computed in ``mapInPandas`` against the k centroids, which travel with the task
-(k x T x d numbers). Barycentre updates are a ``groupBy(cluster, t, dim)`` sum of
-aligned points; only the new centroids (k x T x d) return to the driver.
+Series are stored in blocks: a row holds at most ``BLOCK`` positions of a node.
+Rows are partitioned by node and sorted, and a task puts one series after the
+other together from its blocks, so no row, message or table cell holds a whole
+node, and a task holds a bounded number of points besides the series at hand.
+
+* Distances walk anti-diagonals with two rolling rows. Before any table is
+  walked, a lower bound from the envelope of the other series (every point is
+  matched with some value between its extremes, the ends with the ends) decides
+  whether it is worth it, and a walk stops as soon as two neighbouring diagonals
+  are above the best distance known.
+* Alignments of long series are found by divide and conquer in linear space:
+  forward costs of the first half and backward costs of the second meet in the
+  middle row, which splits the problem in two.
+* Barycentre updates are a ``groupBy(cluster, t, dim)`` sum of aligned points;
+  only centroids (k x T x d numbers) travel between driver and tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,22 +35,25 @@ from faultlens.operators.sampling import hash_key
 
 ship_by_value(__name__)
 
-#: Series that one task aligns at a time.
-PAIRS = 64
+#: Positions of a node in a row, series that are compared at a time and the points
+#: these may have together, and cells of a table of directions that may be kept.
+BLOCK, PAIRS, POINTS, CELLS = 4096, 64, 1 << 20, 1 << 18
 
 
 def node_series(df: DataFrame, metrics: Sequence[str], *, node: str = "node", pos: str = "pos",
                 start: int = 1, length: int | None = None, scale: bool = True) -> DataFrame:
     """S5 + F9: the rows of each node from ``start`` (``length`` of them, or all), z-scaled per node and
-    metric, as ``(node, series array<array<double>>)`` in position order."""
+    metric, as ``(node, block, series array<array<double>>)``: blocks of at most
+    ``BLOCK`` positions, in position order inside and by number."""
     r = df.where(F.col(pos) >= start).select(node, pos, *metrics)
     if length is not None:
         r = r.where(F.col(pos) < start + length)
     if scale:
         r = zscore_scale(r, list(metrics), part=(node,))
-    pts = r.groupBy(node).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
-                                                                   F.array(*metrics).alias("v")))).alias("_s"))
-    return pts.select(node, F.transform("_s", lambda x: x["v"]).alias("series"))
+    block = F.floor((F.col(pos) - start) / BLOCK).cast("long")
+    pts = r.groupBy(node, block.alias("block")).agg(F.sort_array(F.collect_list(F.struct(
+        F.col(pos).alias("p"), F.array(*metrics).alias("v")))).alias("_s"))
+    return pts.select(node, "block", F.transform("_s", lambda x: x["v"]).alias("series"))
 
 
 def _diagonals(n: int, m: int):
@@ -49,31 +62,53 @@ def _diagonals(n: int, m: int):
         yield k, np.arange(max(0, k - m + 1), min(n, k + 1))
 
 
-def _dtw_batch(A: np.ndarray, la: np.ndarray, B: np.ndarray, lb: np.ndarray) -> np.ndarray:
+def _dtw_batch(A: np.ndarray, la: np.ndarray, B: np.ndarray, lb: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
     """DTW cost (sqrt of summed squared distances) for pairs (A[p], B[p]).
     A: (P, Ta, d) padded, B: (P, Tb, d) padded; returns (P,).
 
     The table is walked along its anti-diagonals, whose cells don't depend on
-    one another, and only the last two are kept: memory is P x Ta.
+    one another, and only the last two are kept: memory is P x Ta. A pair whose
+    cells on two neighbouring diagonals are all above its ``limit`` is given up
+    (infinite), as every path crosses one of them.
     """
-    P, n, _ = A.shape
-    m = B.shape[1]
-    cost = np.full(P, np.inf)
-    before, last = np.full((P, n + 1), np.inf), np.full((P, n + 1), np.inf)  # column i + 1 is row i
+    n, m = A.shape[1], B.shape[1]
+    cost = np.full(len(A), np.inf)
+    bound = np.full(len(A), np.inf) if limit is None else np.asarray(limit, float) ** 2 * (1 + 1e-12)
+    alive = np.arange(len(A))
+    before, last = np.full((len(A), n + 1), np.inf), np.full((len(A), n + 1), np.inf)  # column i + 1 is row i
+    low = np.full(len(A), -np.inf)  # least cell of the last diagonal
     for k, i in _diagonals(n, m):
         step = ((A[:, i] - B[:, k - i]) ** 2).sum(-1)
-        best = np.minimum(np.minimum(last[:, i + 1], last[:, i]), before[:, i]) if k else np.zeros((P, 1))
-        now = np.full((P, n + 1), np.inf)
+        best = np.minimum(np.minimum(last[:, i + 1], last[:, i]), before[:, i]) if k else np.zeros((len(A), 1))
+        now = np.full((len(A), n + 1), np.inf)
         now[:, i + 1] = step + best
         done = np.flatnonzero(la + lb - 2 == k)
-        cost[done] = now[done, la[done]]
-        before, last = last, now
+        cost[alive[done]] = now[done, la[done]]
+        least = now.min(1)
+        stay = (la + lb - 2 > k) & (np.minimum(low, least) <= bound)
+        before, last, low = last, now, least
+        if not stay.all():
+            A, B, la, lb, alive, bound, low = (x[stay] for x in (A, B, la, lb, alive, bound, low))
+            before, last = before[stay], last[stay]
+            if not len(alive):
+                break
     return np.sqrt(cost)
 
 
-def dtw_path(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Optimal alignment path between two series (for DBA and tests). Of the
-    table only the direction of every cell is kept, one byte each."""
+def lower_bound(a: np.ndarray, b: np.ndarray) -> float:
+    """At most the DTW cost: what each point lacks to the envelope of the other
+    series, the ends to the ends; the larger of both directions."""
+
+    def outside(x: np.ndarray, y: np.ndarray) -> float:
+        ends = ((x[0] - y[0]) ** 2).sum() + (((x[-1] - y[-1]) ** 2).sum() if len(x) > 1 else 0.0)
+        inner = x[1:-1]
+        return ends + (np.maximum(np.maximum(inner - y.max(0), y.min(0) - inner), 0) ** 2).sum()
+
+    return float(np.sqrt(max(outside(a, b), outside(b, a))))
+
+
+def _table_path(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Optimal path by a table of directions, one byte to a cell."""
     n, m = len(a), len(b)
     came = np.zeros((n, m), np.int8)
     before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
@@ -96,6 +131,49 @@ def dtw_path(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return path[::-1]
 
 
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs of the best paths from (0, 0) to every cell of the last row, in linear space."""
+    n, m = len(a), len(b)
+    out = np.empty(m)
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    for k, i in _diagonals(n, m):
+        now = np.full(n + 1, np.inf)
+        now[i + 1] = ((a[i] - b[k - i]) ** 2).sum(-1) + (np.minimum(np.minimum(last[i + 1], last[i]), before[i]) if k else 0.0)
+        if k >= n - 1:
+            out[k - n + 1] = now[n]
+        before, last = last, now
+    return out
+
+
+def dtw_path(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> list[tuple[int, int]]:
+    """Optimal alignment path between two series (for DBA and tests).
+
+    Up to ``cells`` cells come from a table of directions. A larger problem is
+    split at its middle row: the column in which a best path leaves that row is
+    where the forward costs of the upper half and the backward costs of the lower
+    half are least together. Memory is linear in the lengths.
+    """
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    path: list[tuple[int, int]] = []
+    stack = [(0, len(a), 0, len(b))]
+    while stack:
+        i0, i1, j0, j1 = stack.pop()
+        if (i1 - i0) * (j1 - j0) <= cells or i1 - i0 == 1:
+            part = _table_path(a[i0:i1], b[j0:j1]) if i1 - i0 > 1 else [(0, j) for j in range(j1 - j0)]
+            path += [(i0 + i, j0 + j) for i, j in part]
+            continue
+        mid = (i0 + i1) // 2
+        upper = _last_row(a[i0:mid], b[j0:j1])
+        lower = _last_row(a[mid:i1][::-1], b[j0:j1][::-1])[::-1]
+        straight, slant = upper + lower, upper[:-1] + lower[1:]
+        j, s = int(straight.argmin()), int(slant.argmin()) if len(slant) else 0
+        enter = j
+        if len(slant) and slant[s] <= straight[j]:
+            j, enter = s, s + 1
+        stack += [(mid, i1, j0 + enter, j1), (i0, mid, j0, j0 + j + 1)]
+    return path
+
+
 def dtw_distance(a: np.ndarray, b: np.ndarray) -> float:
     a, b = np.asarray(a, float), np.asarray(b, float)
     return float(_dtw_batch(a[None], np.array([len(a)]), b[None], np.array([len(b)]))[0])
@@ -114,37 +192,106 @@ def _to_arr(s) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in s], dtype=float)
 
 
-def _distances_fn(centroids: list[np.ndarray], node: str):
+def _assembled(batches: Iterator[pd.DataFrame], node: str) -> Iterator[tuple[object, np.ndarray]]:
+    """``(node, series)`` of rows that are sorted by node and block."""
+    name, blocks = None, []
+    for pdf in batches:
+        for key, part in zip(pdf[node].tolist(), pdf["series"]):
+            if blocks and key != name:
+                yield name, np.concatenate(blocks)
+                blocks = []
+            name = key
+            blocks.append(_to_arr(part))
+    if blocks:
+        yield name, np.concatenate(blocks)
+
+
+def _series_batches(batches: Iterator[pd.DataFrame], node: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Some series at a time: at most ``PAIRS``, and ``POINTS`` padded points unless one has more."""
+    names, held, longest = [], [], 0
+    for name, x in _assembled(batches, node):
+        if names and (len(names) == PAIRS or (len(names) + 1) * max(longest, len(x)) > POINTS):
+            yield names, held
+            names, held, longest = [], [], 0
+        names.append(name)
+        held.append(x)
+        longest = max(longest, len(x))
+    if names:
+        yield names, held
+
+
+def _by_node(series: DataFrame, node: str) -> DataFrame:
+    """Rows ``node, block, series``, the blocks of a node together and in order."""
+    blocks = series if "block" in series.columns else series.withColumn("block", F.lit(0).cast("long"))
+    return blocks.select(node, "block", "series").repartition(node).sortWithinPartitions(node, "block")
+
+
+def _bounded(series: list[np.ndarray], centroid: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to a centroid where they may be at most ``limit`` (else infinite),
+    and which pairs the lower bound alone ruled out."""
+    cost = np.full(len(series), np.inf)
+    worth = np.array([lower_bound(x, centroid) for x in series]) <= limit * (1 + 1e-12)
+    at = np.flatnonzero(worth)
+    if len(at):
+        A, la = _pad([series[k] for k in at])
+        cost[at] = _dtw_batch(A, la, np.broadcast_to(centroid, (len(at), *centroid.shape)), np.full(len(at), len(centroid)), limit[at])
+    return cost, ~worth
+
+
+def _nearest_centroid_fn(centroids: list[np.ndarray], node: str):
     cents = [np.asarray(c, float) for c in centroids]
 
     def fn(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            for s in range(0, len(pdf), PAIRS):  # a bounded number of tables at a time
-                part = pdf.iloc[s:s + PAIRS]
-                ser = [_to_arr(x) for x in part["series"]]
-                A, la = _pad(ser)
-                for ci, c in enumerate(cents):
-                    B = np.broadcast_to(c, (len(ser), *c.shape))
-                    dist = _dtw_batch(A, la, B, np.full(len(ser), len(c)))
-                    yield pd.DataFrame({node: part[node].to_numpy(), "centroid": ci, "dtw": dist})
+        for names, series in _series_batches(it, node):
+            best, cluster = np.full(len(series), np.inf), np.full(len(series), -1)
+            for k, c in enumerate(cents):
+                cost, _ = _bounded(series, c, best)
+                near = (cost < best) | (cluster < 0)
+                best, cluster = np.where(near, cost, best), np.where(near, k, cluster)
+            yield pd.DataFrame({node: pd.Series(names, dtype=object), "cluster": cluster.astype(np.int32), "dtw": best})
     return fn
 
 
-def _align_fn(centroids: list[np.ndarray], node: str):
+def _nearest_node_fn(centroids: list[np.ndarray], limits: list[float], node: str):
+    cents = [np.asarray(c, float) for c in centroids]
+
+    def fn(it):
+        limit, best = list(limits), [None] * len(cents)
+        tried, ruled_out = [0] * len(cents), [0] * len(cents)
+        for names, series in _series_batches(it, node):
+            for k, c in enumerate(cents):
+                cost, out = _bounded(series, c, np.full(len(series), limit[k]))
+                tried[k] += len(series)
+                ruled_out[k] += int(out.sum())
+                for name, x in zip(names, cost.tolist()):
+                    if np.isfinite(x) and (best[k] is None or (x, name) < best[k]):
+                        best[k], limit[k] = (x, name), min(limit[k], x)
+        rows = [(b[1] if b else None, k, b[0] if b else None, tried[k], ruled_out[k]) for k, b in enumerate(best)]
+        out = pd.DataFrame(rows, columns=[node, "centroid", "dtw", "tried", "ruled_out"])
+        out[node] = pd.Series([r[0] for r in rows], dtype=object)  # no numbers made of names beside missing ones
+        yield out
+    return fn
+
+
+def _align_fn(centroids: list[np.ndarray], clusters: str, node: str):
     cents = [np.asarray(c, float) for c in centroids]
 
     def fn(it):
         # sums per task, so a task sends k x T x d numbers whatever its series
         sums = [np.zeros_like(c) for c in cents]
         counts = [np.zeros(len(c), np.int64) for c in cents]
-        for pdf in it:
-            for s, cl in zip(pdf["series"], pdf["cluster"]):
-                a = _to_arr(s)
-                ti, si = np.array(dtw_path(cents[int(cl)], a)).T
-                np.add.at(sums[int(cl)], ti, a[si])
-                np.add.at(counts[int(cl)], ti, 1)
+        of = {}
+
+        def seen(batches):
+            for pdf in batches:
+                of.update(zip(pdf[node].tolist(), pdf[clusters].tolist()))
+                yield pdf
+
+        for name, a in _assembled(seen(it), node):
+            cl = int(of.pop(name))
+            ti, si = np.array(dtw_path(cents[cl], a)).T
+            np.add.at(sums[cl], ti, a[si])
+            np.add.at(counts[cl], ti, 1)
         for cl, (x, n) in enumerate(zip(sums, counts)):
             t, dd = np.nonzero(np.broadcast_to(n[:, None] > 0, x.shape))
             if len(t):
@@ -161,22 +308,25 @@ def _collect_centroids(sums: DataFrame, k: int, old: list[np.ndarray]) -> list[n
     return new
 
 
+def first_series(series: DataFrame, k: int, node: str = "node", seed: int = 42) -> list[np.ndarray]:
+    """The k series with the smallest ``md5(seed:node)``, in that order."""
+    names = series.select(node).distinct().orderBy(hash_key(seed, node), node).limit(k)
+    rows = _by_node(series, node).join(F.broadcast(names), node, "left_semi").toPandas()  # k series
+    found = dict(_assembled([rows.sort_values([node, "block"])], node))
+    return [found[r[node]] for r in names.collect()]
+
+
 def dtw_kmeans(series: DataFrame, k: int, *, node: str = "node", seed: int = 42, max_iter: int = 10,
                max_iter_barycenter: int = 30) -> tuple[DataFrame, list[np.ndarray]]:
     """Returns ``(assignments (node, cluster, dtw), centroids)``.
     Initial centroids: the k series with the smallest ``md5(seed:node)``."""
-    series = series.select(node, "series").persist()
-    init = series.orderBy(hash_key(seed, node), node).limit(k).collect()  # k series
-    cents = [_to_arr(r["series"]) for r in init]
-    dist_schema = T.StructType([series.schema[node], T.StructField("centroid", T.IntegerType()),
-                                T.StructField("dtw", T.DoubleType())])
+    series = _by_node(series, node).persist()
+    cents = first_series(series, k, node, seed)
+    assign_schema = T.StructType([series.schema[node], T.StructField("cluster", T.IntegerType()), T.StructField("dtw", T.DoubleType())])
     align_schema = "cluster int, t int, dim int, total double, n long"
     prev = None
     for _ in range(max_iter):
-        d = series.mapInPandas(_distances_fn(cents, node), dist_schema)
-        w = Window.partitionBy(node).orderBy("dtw", "centroid")
-        assign = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1) \
-            .select(node, F.col("centroid").alias("cluster"), "dtw").persist()
+        assign = series.mapInPandas(_nearest_centroid_fn(cents, node), assign_schema).persist()
         if prev is not None:
             changed = assign.join(prev.select(node, F.col("cluster").alias("_old")), on=node) \
                 .where(F.col("cluster") != F.col("_old")).count()  # scalar
@@ -184,24 +334,46 @@ def dtw_kmeans(series: DataFrame, k: int, *, node: str = "node", seed: int = 42,
                 break
             prev.unpersist()
         prev = assign
-        members = series.join(assign.select(node, "cluster"), on=node)
+        members = series.join(assign.select(node, "cluster"), on=node).repartition(node).sortWithinPartitions(node, "block").persist()
         for _b in range(max_iter_barycenter):
-            al = members.mapInPandas(_align_fn(cents, node), align_schema)
+            al = members.mapInPandas(_align_fn(cents, "cluster", node), align_schema)
             sums = al.groupBy("cluster", "t", "dim").agg((F.sum("total") / F.sum("n")).alias("v"))
             cents = _collect_centroids(sums, k, cents)
-    d = series.mapInPandas(_distances_fn(cents, node), dist_schema)
-    w = Window.partitionBy(node).orderBy("dtw", "centroid")
-    assign = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1) \
-        .select(node, F.col("centroid").alias("cluster"), "dtw")
+        members.unpersist()
+    assign = series.mapInPandas(_nearest_centroid_fn(cents, node), assign_schema)
     if prev is not None:
         prev.unpersist()
     return assign, cents
 
 
-def nearest_nodes(series: DataFrame, centroids: list[np.ndarray], node: str = "node") -> DataFrame:
-    """The real node closest (DTW) to every centroid."""
-    dist_schema = T.StructType([series.schema[node], T.StructField("centroid", T.IntegerType()),
-                                T.StructField("dtw", T.DoubleType())])
-    d = series.select(node, "series").mapInPandas(_distances_fn(centroids, node), dist_schema)
-    return d.groupBy("centroid").agg(F.min_by(node, F.struct("dtw", node)).alias(node),
-                                     F.min("dtw").alias("dtw"))
+def nearest_nodes(series: DataFrame, centroids: list[np.ndarray], node: str = "node", counts: bool = False) -> DataFrame:
+    """The real node closest (DTW) to every centroid, the smallest name on ties.
+
+    In every task the node with the least lower bound of each centroid is measured
+    first; the least of these distances is the limit above which no other table is
+    walked to its end. With
+    ``counts`` the result says how many nodes were looked at and how many of them
+    the lower bound alone ruled out. No nodes give no rows.
+    """
+    blocks = _by_node(series, node)
+    cents = [np.asarray(c, float) for c in centroids]
+
+    def promising(it):
+        best = [None] * len(cents)
+        for name, x in _assembled(it, node):
+            for k, c in enumerate(cents):
+                low = lower_bound(x, c)
+                if best[k] is None or low < best[k][0]:
+                    best[k] = (low, x)
+        if all(best):
+            yield pd.DataFrame({"centroid": range(len(cents)), "dtw": [dtw_distance(b[1], c) for b, c in zip(best, cents)]})
+
+    found = blocks.mapInPandas(promising, "centroid int, dtw double").groupBy("centroid").agg(F.min("dtw").alias("limit")).collect()  # a number per centroid
+    limits = {r["centroid"]: r["limit"] for r in found}
+    schema = T.StructType([T.StructField(node, series.schema[node].dataType), T.StructField("centroid", T.IntegerType()), T.StructField("dtw", T.DoubleType()),
+                           T.StructField("tried", T.LongType()), T.StructField("ruled_out", T.LongType())])
+    d = blocks.mapInPandas(_nearest_node_fn(cents, [limits.get(k, np.inf) for k in range(len(cents))], node), schema)
+    out = d.groupBy("centroid").agg(F.min(F.when(F.col("dtw").isNotNull(), F.struct("dtw", node))).alias("b"),
+                                    F.sum("tried").alias("tried"), F.sum("ruled_out").alias("ruled_out"))
+    out = out.where("b IS NOT NULL").select("centroid", f"b.{node}", "b.dtw", "tried", "ruled_out")
+    return out if counts else out.drop("tried", "ruled_out")

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultlens.functions import scalar as fx
 from faultlens.oracles import with_views
-from faultlens.operators import metrics, profile, sampling
+from faultlens.operators import features, metrics, profile, sampling
 from faultlens.operators.positions import add_positions
-from faultlens.plans import clustering, dtw, forest, keyed_forest, selection
+from faultlens.plans import clustering, dtw, forest, keyed_forest, l1_models, selection
 from faultlens.queries import ORACLES, qz, register, round_doubles
 from faultlens.queries_ops import conf_ctes, scores_ctes
 from faultlens.session import shared_path
@@ -390,6 +391,45 @@ def l11_lasso_selection(spark, sf_dir):
 register("l11_lasso_selection")(l11_lasso_selection)
 
 
+_LASSO = ["l_quantity", "l_discount", "l_tax", "label"]
+
+
+def l11_lasso_path(spark, sf_dir):
+    """What a lasso of the price finds among four columns: coefficients at the chosen penalty."""
+    coefs, curve = l1_models.lasso_path(tv.windows_big(spark, sf_dir), _LASSO, label="l_extendedprice")
+    best = curve.agg(F.min_by("alpha", F.struct("mse", -F.col("alpha"))).alias("alpha"))
+    return round_doubles(coefs.crossJoin(F.broadcast(best)), 3)  # one row
+
+
+def _lasso_twin(sweeps: int = 12) -> str:
+    """Coordinate descent as recursion: a step is a sweep, ``sweeps`` of them to a penalty."""
+    x, d = _LASSO, len(_LASSO)
+    g = [f"covar_pop({x[i]}, {x[j]}) AS g{i}{j}" for i in range(d) for j in range(d)]
+    c = [f"covar_pop({a}, l_extendedprice) AS c{i}, avg({a}) AS m{i}" for i, a in enumerate(x)]
+    step = "SELECT * FROM s"
+    for i in range(d):
+        pull = f"(c{i} - ({' + '.join(f'g{i}{j} * w{j}' for j in range(d) if j != i)}))"
+        step = f"SELECT * REPLACE (sign({pull}) * greatest(abs({pull}) - alpha, 0) / g{i}{i} AS w{i}) FROM ({step})"
+    ws = ", ".join(f"w{i}" for i in range(d))
+    fit = " + ".join(f"w{i} * ({a} - m{i})" for i, a in enumerate(x))
+    extra = [
+        ("sizes", "  SELECT node, count(*) AS n FROM windows_big GROUP BY node"),
+        ("train", "  SELECT *, ntile(5) OVER (PARTITION BY node ORDER BY pos) - 1 AS fold FROM windows_big JOIN sizes USING (node) WHERE pos <= floor(n * 6 / 10)"),
+        ("stats", f"  SELECT h, {', '.join(g + c)}, avg(l_extendedprice) AS my FROM train, (VALUES (-1), (0), (1), (2), (3), (4)) v(h) WHERE fold <> h GROUP BY h"),
+        ("top", f"  SELECT greatest({', '.join(f'abs(c{i})' for i in range(d))}) AS top FROM stats WHERE h = -1"),
+        ("walk", f"  SELECT h, 0 AS k, {', '.join(f'0.0::DOUBLE AS w{i}' for i in range(d))} FROM stats\n  UNION ALL\n"
+                 f"  SELECT h, k + 1, {ws} FROM (WITH s AS (SELECT walk.*, stats.* EXCLUDE (h), top * pow(0.001, (k // {sweeps}) / 99) AS alpha FROM walk JOIN stats ON walk.h = stats.h, top WHERE k < {100 * sweeps}) {step})"),
+        ("path", f"  SELECT *, k // {sweeps} - 1 AS a FROM walk WHERE k > 0 AND k % {sweeps} = 0"),
+        ("errors", f"  SELECT a, h, avg(pow(l_extendedprice - my - ({fit}), 2)) AS mse FROM train JOIN path ON path.h = fold JOIN stats ON stats.h = fold GROUP BY a, h".replace("SELECT a, h,", "SELECT a, path.h,").replace("GROUP BY a, h", "GROUP BY a, path.h")),
+        ("best", "  SELECT a FROM (SELECT a, avg(mse) AS e FROM errors GROUP BY a) ORDER BY e, a LIMIT 1"),
+    ]
+    sql = with_views("windows_big", extra=extra).replace("WITH ", "WITH RECURSIVE ", 1)
+    return sql + f"SELECT unnest([{', '.join(repr(a) for a in x)}]) AS feature, unnest([{', '.join(qz(f'w{i}', 3) for i in range(d))}]) AS coef, {qz('top * pow(0.001, a / 99)', 3)} AS alpha FROM path JOIN best USING (a), top WHERE h = -1"
+
+
+register("l11_lasso_path", _lasso_twin())(l11_lasso_path)
+
+
 def l12_l1_logistic_selection(spark, sf_dir):
     return round_doubles(selection.l1_logistic_selection(_vectors(spark, sf_dir), _VCOLS, max_features=5))
 
@@ -398,7 +438,7 @@ register("l12_l1_logistic_selection")(l12_l1_logistic_selection)
 
 
 def l13_l1_threshold_selection(spark, sf_dir):
-    return round_doubles(selection.l1_one_vs_rest_selection(_vectors(spark, sf_dir), _VCOLS))
+    return round_doubles(l1_models.hinge_selection(_vectors(spark, sf_dir), _VCOLS))
 
 
 register("l13_l1_threshold_selection")(l13_l1_threshold_selection)
@@ -456,6 +496,43 @@ def l18_nearest_nodes(spark, sf_dir):
 register("l18_nearest_nodes")(l18_nearest_nodes)
 
 
+_DTW_START, _DTW_LENGTH = 100, 24
+_DTW_METRICS = ["l_quantity", "l_tax"]
+
+
+def l18_nearest_to_means(spark, sf_dir):
+    """On a positional range (S5): suppliers in three groups, their mean series per
+    group, and the supplier whose series is nearest to each."""
+    w = readers.positional_range(tv.windows_big(spark, sf_dir), _DTW_START, _DTW_LENGTH)
+    scaled = features.zscore_scale(w, _DTW_METRICS)
+    means = scaled.groupBy((F.col("node") % 3).alias("g"), "pos").agg(*(F.avg(m).alias(m) for m in _DTW_METRICS)).orderBy("g", "pos").collect()  # 3 x 24 x 2 numbers
+    cents = [np.array([[r[m] for m in _DTW_METRICS] for r in means if r["g"] == g]) for g in range(3)]
+    return round_doubles(dtw.nearest_nodes(dtw.node_series(w, _DTW_METRICS, start=_DTW_START, length=_DTW_LENGTH), cents))
+
+
+def _dtw_twin():
+    T, a, b = _DTW_LENGTH, *_DTW_METRICS
+    cost = "pow(a1[i] - b1[{j}], 2) + pow(a2[i] - b2[{j}], 2)"
+    far = "'Infinity'::DOUBLE"
+    cell = (f"CASE WHEN k + 3 - i BETWEEN 1 AND {T} THEN {cost.format(j='(k + 3 - i)')} + least(last[i], "
+            f"CASE WHEN i > 1 THEN least(last[i - 1], before[i - 1]) ELSE {far} END) ELSE {far} END")
+    z = lambda m: f"coalesce(({m} - avg({m}) OVER (PARTITION BY node)) / nullif(stddev_pop({m}) OVER (PARTITION BY node), 0), 0)"
+    extra = [
+        ("scaled", f"  SELECT node, pos, {z(a)} AS x, {z(b)} AS y FROM windows_big WHERE pos BETWEEN {_DTW_START} AND {_DTW_START + T - 1}"),
+        ("series", "  SELECT node, list(x ORDER BY pos) AS a1, list(y ORDER BY pos) AS a2 FROM scaled GROUP BY node"),
+        ("means", "  SELECT g, list(x ORDER BY pos) AS b1, list(y ORDER BY pos) AS b2 FROM (SELECT node % 3 AS g, pos, avg(x) AS x, avg(y) AS y FROM scaled GROUP BY 1, 2) GROUP BY g"),
+        ("walk", f"  SELECT node, g, a1, a2, b1, b2, 0 AS k, list_transform(range(1, {T + 1}), lambda i: {far}) AS before,\n"
+                 f"    list_transform(range(1, {T + 1}), lambda i: CASE WHEN i = 1 THEN {cost.format(j='1')} ELSE {far} END) AS last FROM series, means\n  UNION ALL\n"
+                 f"  SELECT node, g, a1, a2, b1, b2, k + 1, last, list_transform(range(1, {T + 1}), lambda i: {cell}) FROM walk WHERE k < {2 * T - 2}"),
+        ("ends", f"  SELECT node, g, sqrt(last[{T}]) AS d, row_number() OVER (PARTITION BY g ORDER BY last[{T}], node) AS r FROM walk WHERE k = {2 * T - 2}"),
+    ]
+    return with_views("windows_big", extra=extra).replace("WITH ", "WITH RECURSIVE ", 1) + \
+        f"SELECT g::INT AS centroid, node, {qz('d')} AS dtw FROM ends WHERE r = 1"
+
+
+register("l18_nearest_to_means", _dtw_twin())(l18_nearest_to_means)
+
+
 def f10_mahalanobis(spark, sf_dir):
     """Distance of every node to its cluster (node number by 4) over mean and
     spread of its readings, the 2 x 2 covariance inverted in closed form."""
