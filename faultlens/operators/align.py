@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from faultlens.constants import LABEL_COLUMNS
 from faultlens.functions.scalar import floor_second, strip_slashes
+from faultlens.operators.keys import join_same
 from faultlens.operators.positions import CHUNK_COL, HALO_COL, add_positions, chunked
 
 #: Positions of a node, or of a series, that one task sorts.
@@ -111,9 +112,9 @@ def delta_encode_counters(df: DataFrame, value: str = "value", part=("node", "me
     every hole filled backward with the next difference (W13 + W14 + W17)."""
     mono = monotonic_series(df, value, part, order)
     if labels:
-        mono = mono.withColumn("monotonic", F.col("monotonic") & ~F.col(part[-1]).isin(list(labels)))
+        mono = mono.withColumn("monotonic", F.col("monotonic") & ~F.coalesce(F.col(part[-1]).isin(list(labels)), F.lit(False)))
     d = add_positions(first_difference(df, value, part, order, out="_delta"), list(part), list(order), "_pos")
-    d = fill_backward(d, ["_delta"], part, "_pos").join(mono, on=list(part), how="left")
+    d = join_same(fill_backward(d, ["_delta"], part, "_pos"), mono, list(part), "left")
     return d.withColumn(value, F.when(F.col("monotonic"), F.col("_delta")).otherwise(F.col(value))) \
             .drop("_delta", "_pos", "monotonic")
 
@@ -201,4 +202,4 @@ def regular_grid(df: DataFrame, freq_seconds: int, part=("node",), ts: str = "ts
         F.col("_b") * block, F.least(F.col("_b") * block + (block - 1), F.col("_last")))).alias("_i"))
     at = F.timestamp_micros(F.unix_micros(F.col("_t0").cast("timestamp")) + F.col("_i") * step)
     grid = grid.select(*part, at.cast(df.schema[ts].dataType).alias(ts))
-    return grid.join(df, on=[*part, ts], how="left")
+    return join_same(grid, df, [*part, ts], "left")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.scalar import node_number, truncate_decimals
+from faultlens.operators.positions import ranked
 
 
 # P2 / P3 / P4 / P6 -----------------------------------------------------------
@@ -93,10 +94,9 @@ def versus_baseline(scores: DataFrame, baseline: DataFrame, keys: Sequence[str]
 def run_blocks(df: DataFrame, order: Sequence[str], block_rows: int, n_blocks: int = 10,
                col: str = "method") -> DataFrame:
     """Rows in ``order`` cut in blocks of ``block_rows``: r1..r{n_blocks}, rest ``placeholder``."""
-    rn = F.row_number().over(Window.orderBy(*order))
-    blk = F.floor((rn - 1) / block_rows) + 1
-    return df.withColumn(col, F.when(blk <= n_blocks, F.concat(F.lit("r"), blk.cast("string")))
-                         .otherwise(F.lit("placeholder")))
+    blk = F.floor((F.col("_rn") - 1) / block_rows) + 1
+    return ranked(df, order, "_rn").withColumn(col, F.when(blk <= n_blocks, F.concat(F.lit("r"), blk.cast("string")))
+                         .otherwise(F.lit("placeholder"))).drop("_rn")
 
 
 # W20 -------------------------------------------------------------------------

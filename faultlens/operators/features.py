@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.constants import PERCENTILES, STATS_6, STATS_11
+from faultlens.operators.keys import join_same
 from faultlens.operators.positions import CHUNK_COL, HALO_COL, chunked
 
 DEFAULT_CHUNK_ROWS = 1_000_000
@@ -192,7 +193,7 @@ def window_features_exploded(df: DataFrame, metrics: Sequence[str], *, node="nod
     lo = F.greatest(F.ceil((p - w) / F.lit(step)), F.lit(0)).cast("long")
     hi = F.floor((p - 1) / F.lit(step)).cast("long")
     n_rows = df.groupBy(*part).agg(F.max(pos).alias("_n"))
-    x = df.join(n_rows, on=part).withColumn("_wid", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+    x = join_same(df, n_rows, part).withColumn("_wid", F.explode(F.sequence(lo, F.greatest(lo, hi))))
     x = x.where((F.col("_wid") * step + w <= F.col("_n")) & (F.col("_wid") * step < p)
                 & (p <= F.col("_wid") * step + w))
     aggs = []
@@ -280,7 +281,7 @@ def scale_stats(df: DataFrame, cols: Sequence[str], part=("node",)) -> DataFrame
 
 def _scaled(df: DataFrame, cols: Sequence[str], part, fn) -> DataFrame:
     st = scale_stats(df, cols, part)
-    j = df.join(st, on=list(part), how="left")
+    j = join_same(df, st, list(part), "left")
     return j.select(*[fn(c).alias(c) if c in set(cols) else F.col(f"`{c}`") for c in df.columns])
 
 

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.operators.keys import join_same
+
 
 def pair_counts(df: DataFrame, group: Sequence[str], y: str = "y", pred: str = "pred") -> DataFrame:
     return df.groupBy(*group, y, pred).agg(F.count(F.lit(1)).alias("n"))
@@ -38,7 +40,7 @@ def confusion(df: DataFrame, group: Sequence[str] = ("node",), y: str = "y", pre
     ex = pc.select(*g, F.explode(contrib).alias("c")).select(*g, "c.*")
     per = ex.groupBy(*g, "cls").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     tot = pc.groupBy(*g).agg(F.sum("n").alias("_total"))
-    j = per.join(tot, on=g)
+    j = join_same(per, tot, g)
     return j.withColumn("tn", F.col("_total") - F.col("tp") - F.col("fp") - F.col("fn")).drop("_total")
 
 
@@ -75,7 +77,7 @@ def class_scores(conf: DataFrame, group: Sequence[str], metrics: Sequence[str] =
                                                  .alias("cls"))
         # a class that never occurs has no positives: all rows of the group are true negatives
         rows_of = conf.groupBy(*g).agg(F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("_rows"))
-        c = full.join(conf, on=[*g, "cls"], how="left").join(rows_of, on=g).withColumn(
+        c = join_same(join_same(full, conf, [*g, "cls"], "left"), rows_of, g).withColumn(
             "tn", F.coalesce("tn", "_rows")).drop("_rows").fillna(0, subset=["tp", "fp", "fn"])
     rows = []
     for m in metrics:

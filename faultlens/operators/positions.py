@@ -76,6 +76,27 @@ def _sorted_positions(df: DataFrame, part: list[str], order: list[str], pos_col:
     return rows.join(parts, same).select(*df.columns, (F.col("_off") + F.col("_i") - F.col("_lo") + 1).alias(pos_col))
 
 
+def running_totals(df: DataFrame, order_cols, value: str, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over all rows before a row in ``order_cols``,
+    which make rows unique. The rows are range-sorted over all tasks and written
+    once; the totals of earlier tasks are a table of one row per task."""
+    order = _cols(order_cols)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")).checkpoint()
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(earlier.partitionBy("_p").orderBy("_i")), F.lit(0))
+    tasks = rows.groupBy(F.col("_p").alias("_of_p")).agg(F.sum(value).alias("_t"))
+    tasks = tasks.select("_of_p", F.coalesce(F.sum("_t").over(earlier.orderBy("_of_p")), F.lit(0)).alias("_off"))
+    done = rows.withColumn("_in", inside).join(F.broadcast(tasks), F.col("_p") == F.col("_of_p"))  # one row per task
+    return done.select(*df.columns, (F.col("_off") + F.col("_in")).alias(out))
+
+
+def ranked(df: DataFrame, order_cols, pos_col: str = "pos") -> DataFrame:
+    """Positions 1, 2, ... of all rows in ``order_cols`` without one task for all."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    return running_totals(one, order_cols, "_one", pos_col).withColumn(pos_col, F.col(pos_col) + 1).drop("_one")
+
+
 def chunked(df: DataFrame, pos_col: str, w: int, chunk_rows: int) -> DataFrame:
     """Assign ``_chunk`` and copy each chunk's last ``w-1`` rows into the next as halo rows."""
     if chunk_rows < max(w - 1, 1):

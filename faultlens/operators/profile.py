@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.constants import FAULT_NAMES
+from faultlens.operators.keys import join_same
+from faultlens.operators.positions import running_totals
 from faultlens.session import ensure_checkpoint_dir
 
 
@@ -59,7 +61,7 @@ def with_halves(df: DataFrame, node: str = "node", pos: str = "pos") -> DataFram
     """``half`` = 1 for the first ``floor(n/2)`` rows of a node, else 2 (split before filters).
     ``n`` per node comes from a grouped count joined back (no per-node window)."""
     n = df.groupBy(node).agg(F.count(F.lit(1)).alias("_n"))
-    return (df.join(n, on=node).withColumn("half", F.when(F.col(pos) <= F.floor(F.col("_n") / 2), 1)
+    return (join_same(df, n, [node]).withColumn("half", F.when(F.col(pos) <= F.floor(F.col("_n") / 2), 1)
                                            .otherwise(2)).drop("_n"))
 
 
@@ -173,11 +175,9 @@ def null_profile(df: DataFrame) -> DataFrame:
 def node_row_ranges(df: DataFrame, node: str = "node", order: str = "node_no") -> DataFrame:
     """Row-index range of each node inside the concatenation of all nodes in
     ``order``: ``start = sum of earlier node sizes``, ``end = start + n - 1``.
-    The window runs over the per-node count table (one row per node)."""
+    The per-node counts are range-sorted and summed up over all tasks."""
     n = df.groupBy(node, order).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(order, node).rowsBetween(Window.unboundedPreceding, -1)
-    return (n.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
-            .withColumn("end", F.col("start") + F.col("n") - 1))
+    return running_totals(n, [order, node], "n", "start").withColumn("end", F.col("start") + F.col("n") - 1)
 
 
 def fold_ranges(df: DataFrame, group: Sequence[str], fold: str = "fold", pos: str = "pos") -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.operators.keys import join_same
 from faultlens.operators.positions import add_positions
 
 HASH_COL = "_h"
@@ -152,7 +153,7 @@ def node_sizes(df: DataFrame, node: Sequence[str] | str = "node") -> DataFrame:
 def positional_split(df: DataFrame, *, node="node", pos="pos", num: int = 6, den: int = 10) -> DataFrame:
     """M7: first ``floor(n * num / den)`` rows of each node train (``split='train'``), rest test."""
     g = [node] if isinstance(node, str) else list(node)
-    j = df.join(node_sizes(df, g), on=g)
+    j = join_same(df, node_sizes(df, g), g)
     cut = F.floor(F.col("_n") * num / den)
     return j.withColumn("split", F.when(F.col(pos) <= cut, "train").otherwise("test")).drop("_n")
 
@@ -171,7 +172,7 @@ def kfold(df: DataFrame, k: int = 5, *, node="node", pos="pos", shuffle: bool =
           fold_col: str = "fold") -> DataFrame:
     """M8 (contiguous) and M9 (seeded shuffle) k-fold per node, folds 0..k-1."""
     g = [node] if isinstance(node, str) else list(node)
-    j = df.join(node_sizes(df, g), on=g)
+    j = join_same(df, node_sizes(df, g), g)
     if shuffle:
         j = add_positions(j.withColumn("_h", hash_key(seed, *g, pos)), g, ["_h", pos], "_rank").drop("_h")
         rank = F.col("_rank")
@@ -193,7 +194,7 @@ def stratified_kfold(df: DataFrame, k: int = 5, *, label: str = "label", node="n
     cnt = df.groupBy(*g, label).agg(F.count(F.lit(1)).alias("_nc"))
     wc = Window.partitionBy(*g).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("_C", F.coalesce(F.sum("_nc").over(wc), F.lit(0)))
-    j = add_positions(df, [*g, label], [pos], "_j").join(cnt, on=[*g, label]).withColumn("_j", F.col("_j") - 1)
+    j = join_same(add_positions(df, [*g, label], [pos], "_j"), cnt, [*g, label]).withColumn("_j", F.col("_j") - 1)
     C, nc, jj = F.col("_C"), F.col("_nc"), F.col("_j")
 
     def alloc(f: int) -> Column:  # count of i in [C, C+nc) with i % k == f
@@ -234,7 +235,7 @@ def random_designs(nodes: DataFrame, *, node: str = "node", node_no: str = "node
     # the constant bound lets every task drop all but its own first max(sizes) nodes before the shuffle
     first = d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(sizes)).where(F.col("_rn") <= F.col("k"))
     train = first.select(node, "iter", "k", F.lit("train").alias("role"))
-    return d.join(train, [node, "iter", "k"], "left").fillna("test", ["role"]).select(node, node_no, "iter", "k", "role")
+    return join_same(d, train, [node, "iter", "k"], "left").fillna("test", ["role"]).select(node, node_no, "iter", "k", "role")
 
 
 def test_nodes(all_nodes: DataFrame, train: DataFrame, on: Sequence[str] = ("node",)) -> DataFrame:

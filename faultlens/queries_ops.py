@@ -12,7 +12,7 @@ from faultlens.constants import FAULT_NAMES
 from faultlens.functions import scalar as fx
 from faultlens.oracles import with_views
 from faultlens.operators import compare, metrics, profile, sampling
-from faultlens.operators.positions import add_positions
+from faultlens.operators.positions import add_positions, ranked
 from faultlens.queries import ORACLES, qz, register, round_doubles
 from faultlens.sources import telemetry as tv
 
@@ -871,7 +871,7 @@ FROM d WHERE rn <= k""")(w20_flag_repeats)
 
 def k01_natural_order(spark, sf_dir):
     n = compare.natural_node_order(_nodes(spark, sf_dir))
-    return n.withColumn("order_rank", F.row_number().over(Window.orderBy(fx.node_number("node"), "node")).cast("long"))
+    return ranked(n, [fx.node_number("node"), "node"], "order_rank")
 
 
 register("k01_natural_order", with_views("readings") + """SELECT node, node_no, row_number() OVER
@@ -881,7 +881,7 @@ register("k01_natural_order", with_views("readings") + """SELECT node, node_no,
 
 def k02_nodes_by_score(spark, sf_dir):
     s = scores_long(spark, sf_dir).where(F.col("cls") == "overall").select("node", "score")
-    return round_doubles(s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "node")).cast("long")))
+    return round_doubles(ranked(s, [F.desc("score"), "node"], "rank"))
 
 
 register("k02_nodes_by_score", _SCORES_LONG_SQL + f"""SELECT node, {qz('score')} AS score,
@@ -969,3 +969,45 @@ register("w14_delta_encode_counters", with_views("readings", extra=[
           "event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS dd FROM d"),
 ]) + f"SELECT node, metric, event_id, {qz('CASE WHEN mono THEN dd ELSE value END')} AS value "
      "FROM f JOIN m USING (node, metric)")(w14_delta_encode_counters)
+
+
+# NULL nodes are a node of their own -------------------------------------------------
+def _unnamed(spark, sf_dir):
+    """``windows_big`` with the rows of every fourth supplier under no name."""
+    li = tv.table(spark, sf_dir, "lineitem", ["l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", *tv.LINEITEM_METRICS])
+    li = li.select(F.when(F.col("l_suppkey") % 4 != 0, F.col("l_suppkey")).alias("node"), *tv.LINEITEM_ORDER, (F.col("l_linenumber") - 1).alias("label"))
+    return add_positions(li, "node", tv.LINEITEM_ORDER).select("node", "pos", *tv.LINEITEM_METRICS, "label")
+
+
+_UNNAMED = [("sizes", "  SELECT node, count(*) AS n FROM u GROUP BY node")]
+_UNNAMED.insert(0, ("u", f"  SELECT CASE WHEN l_suppkey % 4 <> 0 THEN l_suppkey END AS node, row_number() OVER (PARTITION BY CASE WHEN l_suppkey % 4 <> 0 THEN l_suppkey END "
+                         f"ORDER BY {', '.join(tv.LINEITEM_ORDER)}) AS pos, {', '.join(tv.LINEITEM_METRICS)}, l_linenumber - 1 AS label FROM lineitem"))
+
+
+def m07_unnamed_node(spark, sf_dir):
+    """Split (M7), folds (M8) and halves (A5) keep the rows of a NULL node."""
+    u = profile.with_halves(sampling.kfold(sampling.positional_split(_unnamed(spark, sf_dir))))
+    return u.select(F.col("node").cast("string").alias("node"), "pos", "split", "fold", "half")
+
+
+register("m07_unnamed_node", with_views("windows_big", extra=_UNNAMED) + """SELECT u.node::VARCHAR AS node, pos, CASE WHEN pos <= floor(n * 6 / 10) THEN 'train' ELSE 'test' END AS split,
+  ntile(5) OVER (PARTITION BY u.node ORDER BY pos)::INT - 1 AS fold, CASE WHEN pos <= n // 2 THEN 1 ELSE 2 END AS half
+FROM u JOIN sizes ON u.node IS NOT DISTINCT FROM sizes.node""")(m07_unnamed_node)
+
+
+def f08_unnamed_node(spark, sf_dir):
+    """Scaled values (F7, F8) of a NULL node come from its own statistics."""
+    from faultlens.operators import features
+
+    u = features.minmax_scale(_unnamed(spark, sf_dir), ["l_tax"])
+    return round_doubles(features.zscore_scale(u, ["l_quantity", "l_discount"]).select(
+        F.col("node").cast("string").alias("node"), "pos", "l_quantity", "l_discount", "l_tax"))
+
+
+def _z(c):
+    return qz(f"coalesce(({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER w, 0), 0)") + f" AS {c}"
+
+
+register("f08_unnamed_node", with_views("windows_big", extra=_UNNAMED) + f"""SELECT node::VARCHAR AS node, pos, {_z('l_quantity')}, {_z('l_discount')},
+  {qz('coalesce((l_tax - min(l_tax) OVER w) / nullif(max(l_tax) OVER w - min(l_tax) OVER w, 0), 0)')} AS l_tax
+FROM u WINDOW w AS (PARTITION BY node)""")(f08_unnamed_node)
