@@ -109,23 +109,30 @@ def window_features(df: DataFrame, metrics: Sequence[str], *, node: Sequence[str
                     stats: Sequence[str] | None = None, label: str | None = None,
                     label_mode: str = "mode", corr: bool | Sequence[tuple[str, str]] = False,
                     extra: Sequence[Column] = (), chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
-                    keep: Sequence[str] = (), engine: str = "native") -> DataFrame:
+                    keep: Sequence[str] = (), engine: str | None = None) -> DataFrame:
     """Feature vectors of full windows of ``w`` rows, every ``step`` rows.
 
     Output: node keys, ``pos`` (end row), ``window_id``, ``<stat>_<metric>`` in
     metric-then-statistic order, ``corr_<a>_<b>``, ``label``.
     ``extra`` accepts user window expressions (``F.something(...)`` without
     ``.over``, e.g. a grouped-agg ``pandas_udf``); they are applied over the same frame.
+    Engines give the same output: ``moving`` (numpy over many nodes at once, cost per
+    row independent of ``w``) and ``native`` (window expressions; the default with
+    ``extra`` or ``keep``).
     """
     part = [node] if isinstance(node, str) else list(node)
     stats = list(stats) if stats is not None else stat_names(numfeatures)
-    if engine == "pandas":
+    if engine is None:
+        engine = "native" if extra or keep else "moving"
+    if engine == "moving":
         if extra or keep:
             raise ValueError("extra/keep columns need engine='native'")
-        return _window_features_pandas(df, metrics, part, pos, w, step, stats, label, label_mode, corr,
-                                       min(chunk_rows or KERNEL_CHUNK_ROWS, max(KERNEL_CHUNK_ROWS, w)))
+        if label and label_mode not in ("mode", "last"):
+            raise ValueError("label mode must be 'mode' or 'last'")
+        return _moving_features(df, metrics, part, pos, w, step, stats, label, label_mode, corr,
+                                min(chunk_rows or KERNEL_CHUNK_ROWS, max(KERNEL_CHUNK_ROWS, 4 * w)))
     if engine != "native":
-        raise ValueError("engine must be 'native' or 'pandas'")
+        raise ValueError("engine must be 'native' or 'moving'")
     src = df
     wpart = list(part)
     if chunk_rows:
@@ -155,30 +162,30 @@ def window_features(df: DataFrame, metrics: Sequence[str], *, node: Sequence[str
     return out.select(*part, pos, wid, *[c for c in out.columns if c not in set(part) | {pos}])
 
 
-def _window_features_pandas(df, metrics, part, pos, w, step, stats, label, label_mode, corr,
-                            chunk_rows) -> DataFrame:
-    """Same output as the native plan; statistics from the numpy kernel, one
-    ``applyInPandas`` call per ``(node, chunk)`` group (bounded size)."""
-    from functools import partial
-
+def _moving_features(df, metrics, part, pos, w, step, stats, label, label_mode, corr, chunk_rows) -> DataFrame:
+    """Same output as the native plan, many (node, chunk) groups to a numpy call:
+    rows meet in their group's partition, sorted, and are read as Arrow batches."""
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    from faultlens.operators.window_kernel import window_stats_frame
+    from faultlens.operators.moving import window_batches
 
     pairs = correlation_pairs(metrics) if corr is True else list(corr or [])
     need = list(dict.fromkeys([*metrics, *[x for pr in pairs for x in pr]]))
-    src = chunked(df.select(*part, pos, *need, *([label] if label else [])), pos, w, chunk_rows)
-    fields = [df.schema[k] for k in part] + [T.StructField(pos, T.LongType()),
-                                              T.StructField("window_id", T.LongType())]
+    src = chunked(df.select(*part, F.col(pos).cast("long").alias(pos), *need, *([label] if label else [])), pos, w, chunk_rows)
+    keys = [*part, CHUNK_COL]
+    src = src.repartition(*keys).sortWithinPartitions(*keys, pos)
+    fields = [df.schema[k] for k in part] + [T.StructField(pos, T.LongType()), T.StructField("window_id", T.LongType())]
     for m in metrics:
         fields += [T.StructField(f"{s}_{m}", T.DoubleType()) for s in stats]
     fields += [T.StructField(f"corr_{a}_{b}", T.DoubleType()) for a, b in pairs]
     if label:
         fields.append(T.StructField("label", T.IntegerType()))
-    fn = partial(window_stats_frame, keys=part, pos=pos, metrics=list(metrics), stats=stats, pairs=pairs,
-                 label=label, label_mode=label_mode, w=w, step=step, halo_col=HALO_COL)
-    return src.groupBy(*part, CHUNK_COL).applyInPandas(
-        lambda pdf: fn(pdf).reindex(columns=[f.name for f in fields]), schema=T.StructType(fields))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    arrow = to_arrow_schema(schema)
+    return src.mapInArrow(lambda it: window_batches(
+        it, keys=part, chunk=CHUNK_COL, halo=HALO_COL, pos=pos, metrics=list(metrics), stats=list(stats), pairs=pairs, label=label,
+        label_mode=label_mode, w=w, step=step, schema=arrow), schema)
 
 
 def window_features_exploded(df: DataFrame, metrics: Sequence[str], *, node="node", pos: str = "pos",

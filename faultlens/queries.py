@@ -143,7 +143,7 @@ _FLAG_STATS = [f"{s}_{m}" for m in tv.EVENT_METRICS for s in STATS11]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features.window_features(_small(spark, sf_dir), tv.EVENT_METRICS, w=SMALL_W, step=1,
-                                     numfeatures=11, label="fault", label_mode="mode", engine="pandas")
+                                     numfeatures=11, label="fault", label_mode="mode", engine="moving")
     means = feats.groupBy("label").agg(F.count(F.lit(1)).alias("n_windows"),
                                        *[F.avg(c).alias(c) for c in _FLAG_STATS])
     return round_doubles(means, 4)
@@ -229,7 +229,7 @@ register("w11_feature_vectors_big", _windows_sql(
 def w11_feature_vectors_big_pandas(spark, sf_dir):
     """Same R1 configuration through the Arrow/numpy window kernel."""
     out = features.window_features(_big(spark, sf_dir), tv.LINEITEM_METRICS, w=BIG_W, step=1, numfeatures=11,
-                                   label="label", label_mode="mode", corr=True, engine="pandas")
+                                   label="label", label_mode="mode", corr=True, engine="moving")
     return round_doubles(out, 4)
 
 
@@ -238,7 +238,7 @@ register("w11_feature_vectors_big_pandas", ORACLES["w11_feature_vectors_big"])(w
 
 def w09_window_label_last_pandas(spark, sf_dir):
     out = features.window_features(_small(spark, sf_dir), tv.EVENT_METRICS, w=SMALL_W, step=3, numfeatures=11,
-                                   label="fault", label_mode="last", engine="pandas")
+                                   label="fault", label_mode="last", engine="moving")
     return round_doubles(out, 6)
 
 

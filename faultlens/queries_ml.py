@@ -244,7 +244,7 @@ def r1_windows_to_forest(spark, sf_dir):
     11 statistics -> balanced forest on three nodes -> scores of all other nodes."""
     from faultlens.operators import features as ft
     w = ft.window_features(_node_points(spark, sf_dir), tv.EVENT_METRICS, w=10, step=1, numfeatures=11, label="fault",
-                           engine="pandas").persist()
+                           engine="moving").persist()
     cols = [c for c in w.columns if c not in ("node", "pos", "window_id", "label")]
     nodes = w.select("node", fx.node_number("node").alias("node_no")).distinct()
     tr = sampling.random_designs(nodes, seed=42, iterations=1, sizes=[3]).where("role = 'train'")

@@ -39,7 +39,7 @@ def test_halo_chunks_equal_whole_node_windows(big):
 def test_pandas_engine_matches_native(big):
     kw = dict(w=5, step=3, numfeatures=11, label="label", corr=True, chunk_rows=11)
     a = features.window_features(big, tv.LINEITEM_METRICS, engine="native", **kw)
-    b = features.window_features(big, tv.LINEITEM_METRICS, engine="pandas", **kw)
+    b = features.window_features(big, tv.LINEITEM_METRICS, engine="moving", **kw)
     cols = [c for c in a.columns]
     pa = a.toPandas().sort_values(["node", "pos"]).reset_index(drop=True)
     pb = b.select(*cols).toPandas().sort_values(["node", "pos"]).reset_index(drop=True)
