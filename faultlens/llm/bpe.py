@@ -9,7 +9,7 @@ neighbour, and the token that is gone. Each is a point update of logarithmic
 cost, so a piece of n bytes takes O(n log n) however long it is.
 
 Encoding and decoding are one Arrow pass each: no shuffle, and memory is bounded
-by a text, a batch of ids and the table of remembered pieces.
+by a text, a batch of ids and the table of known units.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from faultlens.llm import graph  # noqa: F401  ships this package's code with the tasks
+from faultlens.llm.tokens import TokenIds, _wide_space
+from faultlens.llm.words import Powers, text_slices
 
-#: Pieces that a task remembers at most (past it, it starts afresh), the longest
-#: piece it remembers, pieces of a text handled at once, and ids to a batch.
-KNOWN_PIECES, LONG_PIECE, PIECES, BATCH_IDS = 1 << 19, 64, 1 << 16, 1 << 20
+#: The fewest and the longest pieces that are merged side by side, bytes of a unit that is looked
+#: up whole, pieces of a text that are handled at once, and ids to a batch.
+FEW_PIECES, LONG_PIECE, LONG_UNIT, PIECES, BATCH_IDS = 32, 64, 1000, 1 << 16, 1 << 20
 
 _NONE = 1 << 62
 _PLACE = (1 << 32) - 1
@@ -85,72 +87,169 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Pieces(dict):
-    """Ids of pieces seen so far; an unknown piece is merged when it is asked for."""
+class Merger:
+    """Merges many pieces at once: the trees of pieces of like size are the rows of
+    one matrix, and every step carries out one merge in each of them."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
         self.ranks = ranks
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge_piece(piece.encode(), self.ranks)
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= KNOWN_PIECES:
-                self.clear()
-            self[piece] = ids
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # Whichever two tokens make up a token, their join has that token's rank.
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """Leaf values: rank and place of the pairs that fit and are tokens."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(fits & (self.keys[at] == key), self.joined[at] << 32 | place, _NONE)
+
+    def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        ids: list[tuple[int, ...]] = [()] * len(pieces)
+        sized: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                ids[k] = (whole,)
+            elif len(piece) > LONG_PIECE:
+                ids[k] = tuple(merge_piece(piece, self.ranks))
+            elif piece:
+                sized.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(k)
+        for width, members in sized.items():
+            if len(members) < FEW_PIECES:
+                for k in members:
+                    ids[k] = tuple(merge_piece(pieces[k], self.ranks))
+                continue
+            for a in range(0, len(members), 4096):
+                part = members[a:a + 4096]
+                for k, found in zip(part, self._merged([pieces[k] for k in part], width)):
+                    ids[k] = found
         return ids
 
+    def _merged(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+        n = np.array([len(p) for p in pieces])
+        rows, places = np.arange(len(pieces)), np.arange(width)
+        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        token = np.concatenate([self.byte[data], np.zeros((len(rows), 2), np.int64)], axis=1)
+        after = np.tile(np.arange(1, width + 2), (len(rows), 1))
+        before = np.tile(np.arange(-1, width), (len(rows), 1))
+        tree = np.full((len(rows), 2 * width), _NONE)
+        tree[:, width:] = self._pair(token[:, :width], token[:, 1:width + 1], places, places + 1 < n[:, None])
+        for k in range(width - 1, 0, -1):
+            tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
+        live = np.ones((len(rows), width + 1), bool)
+        while True:
+            rows = rows[tree[rows, 1] != _NONE]
+            if not len(rows):
+                break
+            best = tree[rows, 1]
+            k = best & _PLACE
+            gone = after[rows, k]
+            end = after[rows, gone]
+            token[rows, k], after[rows, k], before[rows, end] = best >> 32, end, k
+            live[rows, gone] = False
+            left = before[rows, k]
+            first = np.maximum(left, 0)
+            tree[rows, width + gone] = _NONE
+            tree[rows, width + k] = self._pair(best >> 32, token[rows, end], k, end < n[rows])
+            tree[rows, width + first] = np.where(left < 0, tree[rows, width + first], self._pair(token[rows, first], best >> 32, first, left >= 0))
+            at, flat = np.stack([gone, k, first]) + width, tree.reshape(-1)
+            base = rows * (2 * width)
+            for _ in range(width.bit_length() - 1):  # the paths from the three leaves to the root
+                at = at >> 1
+                below = base + 2 * at
+                flat[base + at] = np.minimum(flat[below], flat[below + 1])
+        live = live[:, :width] & (places < n[:, None])
+        flat, ends = token[:, :width][live].tolist(), np.cumsum(live.sum(1)).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+class TextIds(TokenIds):
+    """Ids of whole texts by a rank file and the pattern that splits them.
+
+    With ``space_led`` a match begins at every space before a non-space
+    character, so a text falls apart there into units that have the same ids
+    wherever they stand: the units of a slice of texts are told apart by numpy
+    fingerprints and each new one is split and merged once. Texts with white space
+    beyond ASCII or with very long units are split as a whole.
+    """
 
-class TextIds:
-    """Ids of whole texts by a rank file and the pattern that splits them."""
-
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, space_led: bool = True) -> None:
         import regex
 
-        self.split = regex.compile(pattern)
-        self.known = Pieces(read_ranks(path))
-
-    def __call__(self, text: str) -> np.ndarray:
-        if len(text) <= PIECES:
-            parts = [self.split.findall(text)]
-        else:
-            found = (m[0] for m in self.split.finditer(text))
-            parts = iter(lambda: list(islice(found, PIECES)), [])
-        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, p)), np.int32) for p in parts]
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ranks = read_ranks(path)
+        self.split, self.merge, self.space_led = regex.compile(pattern), Merger(ranks), space_led
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
+        self.powers = Powers()
+        self.clear()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text by the pattern alone, some pieces at a time."""
+        found = (m[0] for m in self.split.finditer(text))
+        parts = iter(lambda: list(islice(found, PIECES)), [])
+        out = []
+        for pieces in parts:
+            new = list(set(pieces))
+            ids = dict(zip(new, self.merge([p.encode() for p in new])))
+            out.append(np.fromiter(chain.from_iterable(map(ids.__getitem__, pieces)), np.uint32))
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column."""
+        for _, data, offsets in text_slices(column):
+            edges = np.union1d(np.flatnonzero(data == 0x20), offsets)
+            long = edges[:-1][np.diff(edges) > LONG_UNIT]
+            whole = set(_wide_space(data, offsets).tolist()) | set((np.searchsorted(offsets, long, "right") - 1).tolist())
+            if self.space_led and len(whole) < len(offsets) - 1:
+                ids, at = self._slice(data, offsets)
+            for k in range(len(offsets) - 1):
+                if k in whole or not self.space_led:
+                    yield self.encode(data[offsets[k]:offsets[k + 1]].tobytes().decode())
+                else:
+                    yield ids[at[k]:at[k + 1]]
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encode = TextIds(path, pattern)
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, space_led: bool) -> Iterator[pa.RecordBatch]:
+    encode = TextIds(path, pattern, space_led)
     for batch in batches:
-        at = 0
+        made, at = encode.rows(batch.column(1)), 0
         while at < len(batch):
             ids, held = [], 0
-            for text in batch.column(1)[at:]:
-                ids.append(encode(text.as_py() or ""))
-                held += len(ids[-1])
+            for row in made:
+                ids.append(row)
+                held += len(row)
                 if held >= BATCH_IDS:
                     break
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate(ids))
+            lists = pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0)[at:at + len(ids)], lists], schema=_IDS)
             at += len(ids)
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                     space_led: bool = True) -> DataFrame:
     """``doc_id, ids`` for every row: the token ids of its whole text.
 
     ``ranks`` is the path of a rank file that all nodes can read; it holds every
-    single byte. ``pattern`` splits a text into pieces (syntax of ``regex``).
+    single byte. ``pattern`` splits a text into pieces (syntax of ``regex``); pass
+    ``space_led=False`` if a match of it may run over a space that stands before a
+    non-space character.
     Null and empty texts have no ids. Ids of rows may be null or repeat: every
     row is encoded by itself. Empty tables give no rows; other columns are not
     looked at, whatever their names.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(lambda it: _encoded(it, ranks, pattern), "doc_id long, ids array<int>")
+    return texts.mapInArrow(lambda it: _encoded(it, ranks, pattern, space_led), "doc_id long, ids array<int>")
 
 
 class Decoder:

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from faultlens.llm import bpe
+from faultlens.llm import bpe, tokens
 from faultlens.llm.queries import QUERIES, multi_bpe
 
 PATH, PATTERN = multi_bpe()
@@ -47,24 +47,28 @@ def test_segment_tree_against_the_plain_rule():
     for _ in range(2000):
         piece = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40)))
         assert bpe.merge_piece(piece, small) == plain(piece, small)
+    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(80))) for _ in range(6000)]  # side by side
+    assert bpe.Merger(small)(pieces) == [tuple(plain(p, small)) if p else () for p in pieces]
     for text in random_texts(60, 2):
         assert bpe.merge_piece(text.encode(), RANKS) == (plain(text.encode(), RANKS) if text else [])
 
 
 def test_ids_equal_the_library(library, monkeypatch):
     texts = [t or "" for t in ODD] + random_texts(400, 3)
+    for space_led in (True, False):
+        encode = bpe.TextIds(PATH, PATTERN, space_led)
+        for _ in range(2):  # fresh, and from what is known
+            assert [x.tolist() for x in encode.rows(bpe.pa.array(texts))] == [library.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "PIECES", 50)  # long texts in parts, and a table of units that fills up
+    monkeypatch.setattr(tokens, "KNOWN_UNITS", 40)
     encode = bpe.TextIds(PATH, PATTERN)
-    assert [encode(t).tolist() for t in texts] == [library.encode_ordinary(t) for t in texts]
-    monkeypatch.setattr(bpe, "PIECES", 50)  # long texts in parts, and a table that fills up
-    monkeypatch.setattr(bpe, "KNOWN_PIECES", 40)
-    encode = bpe.TextIds(PATH, PATTERN)
-    assert [encode(t).tolist() for t in texts] == [library.encode_ordinary(t) for t in texts]
+    assert [x.tolist() for x in encode.rows(bpe.pa.array(texts))] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_one_very_long_piece(library):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefé漢") for _ in range(60_000))
-    assert bpe.TextIds(PATH, PATTERN)(text).tolist() == library.encode_ordinary(text)
+    assert next(bpe.TextIds(PATH, PATTERN).rows(bpe.pa.array([text]))).tolist() == library.encode_ordinary(text)
 
 
 def test_every_token_decodes():
