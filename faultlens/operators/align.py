@@ -17,6 +17,7 @@ from faultlens.constants import LABEL_COLUMNS
 from faultlens.functions.scalar import floor_second, strip_slashes
 from faultlens.operators.keys import join_same
 from faultlens.operators.positions import CHUNK_COL, HALO_COL, add_positions, chunked
+from faultlens.operators.spline import with_curvature
 
 #: Positions of a node, or of a series, that one task sorts.
 CHUNK_ROWS = 1_000_000
@@ -182,6 +183,44 @@ def fill_linear(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "
     return fill_table(df, lines=cols, part=part, pos=pos, **options)
 
 
+def fill_cubic(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos", chunk_rows: int = CHUNK_ROWS,
+               chunk_points: int | None = None) -> DataFrame:
+    """Natural cubic spline by row position through the known values; holes before
+    the first and after the last known value repeat it, as with ``fill_linear``. One
+    known value fills all holes, two give a line. Filled columns are doubles."""
+    x, before, after = _neighbours(with_curvature(df, cols, list(part), pos, chunk_points), cols, part, pos, chunk_rows)
+    filled = {}
+    for c in cols:
+        a, b = before[c], after[c]
+        h = (b["p"] - a["p"]).cast("double")
+        s, t = (b["p"] - F.col(pos)) / h, (F.col(pos) - a["p"]) / h
+        bend = ((s * s * s - s) * a["v"]["m"] + (t * t * t - t) * b["v"]["m"]) * h * h / 6
+        inside = a.isNotNull() & b.isNotNull() & (b["p"] > a["p"])
+        filled[c] = F.when(inside, s * a["v"]["v"] + t * b["v"]["v"] + bend).otherwise(F.coalesce(a["v"]["v"], b["v"]["v"]))
+    return x.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
+
+
+def fill_nearest(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The known value nearest by row position, the earlier one halfway."""
+    x, before, after = _neighbours(df, cols, part, pos, chunk_rows)
+    filled = {}
+    for c in cols:
+        a, b = before[c], after[c]
+        late = b["p"] - F.col(pos) < F.col(pos) - a["p"]
+        filled[c] = F.when(a.isNull() | F.coalesce(late, F.lit(False)), b["v"]).otherwise(a["v"])
+    return x.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
+
+
+def interpolate(df: DataFrame, cols: Sequence[str], method: str = "linear", order: int = 3, **options) -> DataFrame:
+    """W16 by method name: ``linear``, ``nearest``, ``cubic`` (natural spline), or
+    ``spline`` with ``order`` 1 or 3."""
+    if method == "spline" and order in (1, 3):
+        method = "linear" if order == 1 else "cubic"
+    if method not in ("linear", "nearest", "cubic"):
+        raise ValueError(f"unknown interpolation {method!r} of order {order}")
+    return {"linear": fill_linear, "nearest": fill_nearest, "cubic": fill_cubic}[method](df, cols, **options)
+
+
 def fill_backward(df: DataFrame, cols: Sequence[str], part=("node",), pos: str = "pos", **options) -> DataFrame:
     """Backward fill only."""
     return fill_table(df, holds=cols, part=part, pos=pos, **options)

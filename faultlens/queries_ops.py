@@ -1011,3 +1011,54 @@ def _z(c):
 register("f08_unnamed_node", with_views("windows_big", extra=_UNNAMED) + f"""SELECT node::VARCHAR AS node, pos, {_z('l_quantity')}, {_z('l_discount')},
   {qz('coalesce((l_tax - min(l_tax) OVER w) / nullif(max(l_tax) OVER w - min(l_tax) OVER w, 0), 0)')} AS l_tax
 FROM u WINDOW w AS (PARTITION BY node)""")(f08_unnamed_node)
+
+
+# W16 with other methods --------------------------------------------------------------
+def w16_fill_cubic(spark, sf_dir):
+    from faultlens.operators import align
+
+    ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts").select("node", "pos", "click", "view")
+    return round_doubles(align.interpolate(ns, ["click", "view"], "spline", order=3))
+
+
+def _spline_ctes(m):
+    """The tridiagonal system of a column's known points by elimination and back substitution."""
+    at = "(PARTITION BY node ORDER BY x)"
+    return [
+        (f"{m}_points", f"  SELECT *, row_number() OVER {at} AS k, count(*) OVER (PARTITION BY node) AS n, x - lag(x) OVER {at} AS h0, lead(x) OVER {at} - x AS h1,\n"
+                        f"    6 * ((lead(y) OVER {at} - y) / (lead(x) OVER {at} - x) - (y - lag(y) OVER {at}) / (x - lag(x) OVER {at})) AS r\n"
+                        f"  FROM (SELECT node, pos::DOUBLE AS x, {m} AS y FROM ns_pos WHERE {m} IS NOT NULL)"),
+        (f"{m}_down", f"  SELECT node, k, n, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM {m}_points WHERE k = 1\n  UNION ALL\n"
+                      f"  SELECT p.node, p.k, p.n, p.h1 / (2 * (p.h0 + p.h1) - p.h0 * f.c), (p.r - p.h0 * f.d) / (2 * (p.h0 + p.h1) - p.h0 * f.c)\n"
+                      f"  FROM {m}_down f JOIN {m}_points p ON p.node = f.node AND p.k = f.k + 1 WHERE p.k < p.n"),
+        (f"{m}_up", f"  SELECT node, n AS k, 0.0::DOUBLE AS m FROM {m}_points WHERE k = n\n  UNION ALL\n"
+                    f"  SELECT u.node, u.k - 1, f.d - f.c * u.m FROM {m}_up u JOIN {m}_down f ON f.node = u.node AND f.k = u.k - 1 WHERE u.k > 1"),
+        (f"{m}_rows", f"  SELECT s.node, s.pos, p.x, p.y, u.m FROM ns_pos s LEFT JOIN {m}_points p ON p.node = s.node AND p.x = s.pos LEFT JOIN {m}_up u ON u.node = p.node AND u.k = p.k"),
+        (f"{m}_near", "  SELECT node, pos, " + ", ".join(
+            f"{f}_value({c} IGNORE NULLS) OVER (PARTITION BY node ORDER BY pos ROWS BETWEEN {frame}) AS {c}{i}" for c in ("x", "y", "m")
+            for i, f, frame in ((0, "last", "UNBOUNDED PRECEDING AND CURRENT ROW"), (1, "first", "CURRENT ROW AND UNBOUNDED FOLLOWING"))) + f" FROM {m}_rows"),
+        (f"{m}_filled", "  SELECT node, pos, CASE WHEN x1 > x0 THEN s * y0 + t * y1 + ((s * s * s - s) * m0 + (t * t * t - t) * m1) * h * h / 6 ELSE coalesce(y0, y1) END AS v\n"
+                        f"  FROM (SELECT *, (x1 - pos) / nullif(h, 0) AS s, (pos - x0) / nullif(h, 0) AS t FROM (SELECT *, x1 - x0 AS h FROM {m}_near))"),
+    ]
+
+
+register("w16_fill_cubic", with_views("ns_pos", extra=_spline_ctes("click") + _spline_ctes("view")).replace("WITH ", "WITH RECURSIVE ", 1) +
+         f"SELECT node, pos, {qz('c.v')} AS click, {qz('w.v')} AS view FROM click_filled c JOIN view_filled w USING (node, pos)")(w16_fill_cubic)
+
+
+def w16_fill_nearest(spark, sf_dir):
+    from faultlens.operators import align
+
+    ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts").select("node", "pos", "click", "view")
+    return round_doubles(align.interpolate(ns, ["click", "view"], "nearest"))
+
+
+def _nearest_sql(m):
+    known = f"CASE WHEN {m} IS NOT NULL THEN {{'p': pos, 'v': {m}}} END"
+    a = f"last_value({known} IGNORE NULLS) OVER (PARTITION BY node ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    b = f"first_value({known} IGNORE NULLS) OVER (PARTITION BY node ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"{a} AS a_{m}, {b} AS b_{m}", qz(f"CASE WHEN a_{m} IS NULL OR b_{m}.p - pos < pos - a_{m}.p THEN b_{m}.v ELSE a_{m}.v END") + f" AS {m}"
+
+
+register("w16_fill_nearest", with_views("ns_pos") + "SELECT node, pos, {1}, {3} FROM (SELECT node, pos, {0}, {2} FROM ns_pos)".format(
+    *_nearest_sql("click"), *_nearest_sql("view")))(w16_fill_nearest)

@@ -184,3 +184,50 @@ def test_node_pca_separates_planted_directions(spark):
         top = top * np.sign(top[np.arange(2), np.abs(top).argmax(1)])[:, None]
         want = top @ z[np.array([r[4] for r in rows if r[0] == n]) == 1].mean(0)
         assert np.allclose([got[n].pc1, got[n].pc2], want)
+
+
+def plain_spline(x, y, at):
+    """Natural cubic spline by one dense solve."""
+    n = len(x)
+    A, r = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        a, b = x[i] - x[i - 1], x[i + 1] - x[i]
+        A[i, i - 1:i + 2] = a, 2 * (a + b), b
+        r[i] = 6 * ((y[i + 1] - y[i]) / b - (y[i] - y[i - 1]) / a)
+    m = np.linalg.solve(A, r)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    h = x[k + 1] - x[k]
+    s, t = (x[k + 1] - at) / h, (at - x[k]) / h
+    return s * y[k] + t * y[k + 1] + ((s**3 - s) * m[k] + (t**3 - t) * m[k + 1]) * h * h / 6
+
+
+@pytest.mark.parametrize("points", [130, 10**9])
+def test_spline_equals_one_solve_across_chunks(spark, points):
+    """Chunks of 130 known points with 64 of each neighbour give the curve of one system."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for node, n in (("a", 1500), (None, 300)):
+        y = np.cumsum(rng.normal(size=n)) * 100
+        known = rng.random(n) < rng.choice([0.1, 0.9], n)
+        known[[3, n - 6]] = True
+        known[:3] = known[n - 5:] = False
+        x = np.arange(1, n + 1, dtype=float)
+        rows += [(node, i + 1, float(y[i]) if known[i] else None) for i in range(n)]
+        inner = plain_spline(x[known], y[known], x)
+        want[node] = np.where(x < 4, y[3], np.where(x > n - 5, y[n - 6], inner))
+    rows += [("one", 1, None), ("one", 2, 5.0), ("one", 3, None), ("none", 1, None), ("two", 1, 0.0), ("two", 2, None), ("two", 4, 3.0)]
+    df = spark.createDataFrame(rows, "node string, pos long, x double").repartition(4)
+    got = {}
+    for r in align.fill_cubic(df, ["x"], chunk_points=points, chunk_rows=200).orderBy("pos").collect():
+        got.setdefault(r.node, []).append(r.x)
+    for node, w in want.items():
+        assert np.allclose(got[node], w, rtol=1e-9, atol=1e-7)
+    assert got["one"] == [5.0, 5.0, 5.0] and got["none"] == [None] and np.allclose(got["two"], [0, 1, 3])
+
+
+def test_nearest_known_value_and_method_names(spark):
+    df = spark.createDataFrame([("a", i + 1, v) for i, v in enumerate([None, 1.0, None, None, None, 9.0, None])], "node string, pos long, x double")
+    assert [r.x for r in align.interpolate(df, ["x"], "nearest").orderBy("pos").collect()] == [1.0, 1.0, 1.0, 1.0, 9.0, 9.0, 9.0]
+    assert align.interpolate(df, ["x"], "spline", order=1).exceptAll(align.fill_linear(df, ["x"])).count() == 0
+    with pytest.raises(ValueError):
+        align.interpolate(df, ["x"], "spline", order=7)
