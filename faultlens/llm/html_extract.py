@@ -11,6 +11,10 @@ that mark their main text with one article element. Each labelled tree is also
 learnt from in altered forms (another tag or class on the article, boilerplate
 moved into it or given its text), so that no single mark decides.
 
+The marks' prior is strong: a part that goes by the name of navigation, comments, a
+form and the like is not content whatever its text, nor is a header inside the
+article; training decides about everything that isn't marked, or marked otherwise.
+
 Parsing and inference run row by row in one Arrow pass; no shuffle.
 """
 
@@ -52,9 +56,12 @@ disqus form search login signup signin subscribe subscription newsletter share s
 overlay toolbar topbar copyright legal disclaimer tags meta byline""".split())
 BOILER_TEXT = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|sign up|log in", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/><]*)((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"']|[\"'])*+)>|<[!?][^>]*(?:>|\Z)", re.S)
+# A value in quotes after an equals sign may hold anything but its quote, other quotes are letters like any.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/><]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""(class|id|role|itemprop|aria-label|data-role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[A-Za-z][a-z]*")
+#: Class names that say what an article is about, not what a part is for.
+TOPIC = re.compile(r"(?:tag|category|cat|topic|type|format|status|author|post)-\S")
 
 NAMES = ["element", "other tag", "content tag", "other word", "content word", "prose", "heading", "list", "hidden", "outer",
          "text", "link share", "length", "sentence", "short", "boiler text", "only differs below content", "only differs below other"]
@@ -87,22 +94,34 @@ class Tree:
         return len(self.parent) - 1
 
 
-def _marks(attrs: str) -> frozenset:
-    found = set()
+def _marks(attrs: str, tag: str) -> frozenset:
+    """Words of the names that a part goes by. Names of an article's topics don't
+    count, and an article or main part that goes by a content name isn't
+    something else because of another of its names."""
+    found, names = set(), []
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             found.add("#hidden")
         elif name not in ("hidden", "aria-hidden", "style"):
-            found.update(WORD.findall(value))
-    return frozenset(found)
+            names += [set(WORD.findall(n)) for n in value.split() if not TOPIC.match(n)]
+    if tag in CONTENT_TAGS and any(n & CONTENT_WORDS and not n & OTHER_WORDS for n in names):
+        names = [n for n in names if not n & OTHER_WORDS]
+    return frozenset(found.union(*names))
 
 
 def parse(page: str) -> Tree:
     """The tree of a page. Markup errors are mended as browsers commonly do:
     open paragraphs and items end where the next block or item begins, stray end
-    tags are ignored, what is left open ends with the page."""
+    tags are ignored, what is left open ends with the page. Where a name is open is
+    looked up, so the time is linear in the page however deep it is."""
     tree, stack, run, links, in_link = Tree(), [(0, "#page")], [], 0, False
+    depth: dict[str, list[int]] = {}  # where in the stack each name is open
+
+    def close(k: int):
+        for _, name in stack[k:]:
+            depth[name].pop()
+        del stack[k:]
 
     def flush():
         nonlocal links
@@ -154,24 +173,20 @@ def parse(page: str) -> Tree:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == tag:
-                    del stack[k:]
-                    in_link = False
-                    break
+            if depth.get(tag):
+                close(depth[tag][-1])
+                in_link = False
             continue
         if stack[-1][1] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         elif tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][1] in SCOPE.get(tag, ()):
-                    break
+            nearest = max((depth[t][-1] for t in CLOSES[tag] if depth.get(t)), default=0)
+            if nearest > max((depth[t][-1] for t in SCOPE.get(tag, ()) if depth.get(t)), default=0):
+                close(nearest)
         if stack[-1][1] in HEADINGS and tag in HEADINGS:
-            stack.pop()
-        stack.append((tree.add(stack[-1][0], tag, _marks(m[3]) if m[3] else frozenset()), tag))
+            close(len(stack) - 1)
+        depth.setdefault(tag, []).append(len(stack))
+        stack.append((tree.add(stack[-1][0], tag, _marks(m[3], tag) if m[3] else frozenset()), tag))
     flush()
     return tree
 
@@ -184,7 +199,7 @@ def evenness(tree: Tree) -> float:
 
 def node_features(s: float, tag: str, marks: frozenset, text: str | None, links: int) -> list[float]:
     if text is None:
-        return [s, float(tag in OTHER_TAGS), float(tag in CONTENT_TAGS), float(not OTHER_WORDS.isdisjoint(marks)),
+        return [s, float(tag in OTHER_TAGS), float(tag in CONTENT_TAGS and OTHER_WORDS.isdisjoint(marks)), float(not OTHER_WORDS.isdisjoint(marks)),
                 float(not CONTENT_WORDS.isdisjoint(marks) and OTHER_WORDS.isdisjoint(marks)), s * (tag in PROSE_TAGS), s * (tag in HEADINGS),
                 s * (tag in LIST_TAGS), float("#hidden" in marks), float(tag in OUTER_TAGS), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
     n = len(text)
