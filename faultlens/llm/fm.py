@@ -182,17 +182,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample is the rows with the smallest hashes of their ids. Null ids and
     null labels are not learnt from; of several labels of one id their rounded
-    mean counts. No labelled rows give a machine that scores all rows 0.5.
+    mean counts, and of several documents of one id the one with the least
+    statistics. A document sends at most ``BUCKETS`` word counts to the driver. No labelled rows give a machine that scores all rows 0.5.
     """
     picked = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
               .groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.round(F.avg(label_col)).alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         (F.col(chars_col) if chars_col in docs.columns else F.lit(None)).cast("double").alias("n_chars"))
-    # The picked side has at most ``sample`` rows of 16 bytes.
+    # The picked side has at most ``sample`` rows of 16 bytes; of rows that share an
+    # id one is learnt from, whatever their number.
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "n_chars", "label").mapInArrow(
         _feature_rows, "doc_id long, label double, bucket array<int>, value array<double>, stats array<double>")
-    got = rows.toArrow().sort_by("doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("stats", "bucket", "value", "label")).alias("r")).select("doc_id", "r.*")
+    got = one.toArrow().sort_by("doc_id")
     buckets, values, stats = (got.column(c).combine_chunks() for c in ("bucket", "value", "stats"))
     rows = [(buckets[i].values.to_numpy(), values[i].values.to_numpy(), stats[i].values.to_numpy()) for i in range(len(got))]
     return fit(rows, got.column("label").to_numpy())

@@ -23,7 +23,7 @@ from faultlens.llm.graph import cut
 
 #: Buckets that a source's documents are dealt over, bits of fixed point of the
 #: weights, and steps of the bisection.
-BUCKETS, SCALE, STEPS = 4096, 1_000_000, 40
+BUCKETS, SCALE, STEPS = 4096, 10**15, 40
 
 #: Stands for a null source in keys.
 NO_SOURCE = "\x00"
@@ -42,7 +42,8 @@ def _hash(*cols) -> Column:
 
 def source_weights(totals: DataFrame, budget: Column, target_entropy: float | None = None,
                    max_repeats: float | None = None, whole: bool = False) -> DataFrame:
-    """``source, tokens, ppm, budget``: the weights in millionths from ``source, tokens``.
+    """``source, tokens, weight, budget``: the weights, as whole numbers of which
+    all sources' add up to about ``SCALE``, from ``source, tokens``.
 
     The totals of all sources (one row each, which is bounded by the number of
     sources) meet in one row, where an ``aggregate`` bisects the exponent: the
@@ -97,7 +98,22 @@ def source_weights(totals: DataFrame, budget: Column, target_entropy: float | No
     row = row.withColumn("a", a).withColumn("budget", budget_at(F.col("a")))
     return row.select("budget", "a", F.explode(F.arrays_zip(F.col("s").alias("t"), powered(F.col("a")).alias("w"),
                                                             F.array_repeat(total(powered(F.col("a"))), F.size("s")).alias("z"))).alias("x")).select(
-        "x.t.source", "x.t.tokens", F.round(F.col("x.w") / F.col("x.z") * SCALE).cast("long").alias("ppm"), "budget")
+        "x.t.source", "x.t.tokens", F.round(F.col("x.w") / F.col("x.z") * SCALE).cast("long").alias("weight"), "budget")
+
+
+def largest_remainders(weights: DataFrame) -> DataFrame:
+    """``source, quota, budget``: the budget in whole tokens by weight. Every source gets
+    the whole part of its share, and the tokens left over go to the largest
+    remainders, ties by source, so quotas add up to the budget. Exact arithmetic; a
+    row per source."""
+    every = W.partitionBy(F.lit(0))  # one row per source, as in ``source_weights``
+    due = F.col("weight").cast("decimal(19,0)") * F.col("budget").cast("decimal(18,0)")
+    w = weights.withColumn("_all", F.sum("weight").over(every).cast("decimal(19,0)")).withColumn("_due", due)
+    w = w.withColumn("_rest", F.col("_due") % F.col("_all"))
+    w = w.withColumn("_whole", ((F.col("_due") - F.col("_rest")) / F.col("_all")).cast("long"))
+    left = F.col("budget") - F.sum("_whole").over(every)
+    rank = F.row_number().over(every.orderBy(F.desc("_rest"), "source"))
+    return w.select("source", "budget", (F.col("_whole") + (rank <= left).cast("long")).alias("quota"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -128,8 +144,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_bucket = counted.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     totals = per_bucket.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     weights = source_weights(totals, F.floor(F.sum("tokens") * F.lit(float(budget_share))), target_entropy, max_repeats, whole)
-    quota = F.coalesce(F.floor(F.col("ppm") / SCALE * F.col("budget")), F.lit(0))
-    quotas = totals.join(weights.drop("tokens"), "source", "left").select(
+    quota = F.coalesce("quota", F.lit(0))
+    quotas = totals.join(largest_remainders(weights), "source", "left").select(
         "source", "tokens", (F.greatest(quota, "tokens") if whole else quota).alias("quota"),
         F.greatest(F.lit(1), F.ceil(F.coalesce("budget", F.lit(0)) / block_tokens)).alias("blocks"))
     # At most BUCKETS rows to a source here, whatever its documents: what belongs to

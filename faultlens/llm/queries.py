@@ -137,10 +137,14 @@ by_entropy AS (
     CASE WHEN (SELECT -sum(p * ln(p)) >= 0.95 * any_value(most) FROM live) THEN 1.0 ELSE (SELECT lo FROM by_entropy WHERE k = 40) END,
     CASE WHEN (SELECT max(budget / (SELECT count(*) FROM live) / tokens) <= 4.0 FROM live) THEN 0.0 ELSE (SELECT hi FROM by_repeats WHERE k = 40) END) AS a
 ), weights AS (
-  SELECT source, tokens, budget, round(pow(p, a) / sum(pow(p, a)) OVER () * 1000000)::BIGINT AS ppm FROM live, exponent
+  SELECT source, tokens, budget, round(pow(p, a) / sum(pow(p, a)) OVER () * 1000000000000000)::HUGEINT AS weight FROM live, exponent
+), due AS (
+  SELECT *, weight * budget // sum(weight) OVER () AS whole, weight * budget % sum(weight) OVER () AS rest FROM weights
+), shared AS (
+  SELECT source, budget, (whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= budget - sum(whole) OVER () THEN 1 ELSE 0 END)::BIGINT AS q FROM due
 ), quotas AS (
-  SELECT t.source, t.tokens, coalesce(floor(ppm / 1000000 * budget), 0)::BIGINT AS quota,
-    greatest(1, ceil(coalesce(budget, 0) / 1048576))::BIGINT AS blocks FROM totals t LEFT JOIN weights w ON t.source = w.source
+  SELECT t.source, t.tokens, coalesce(q, 0) AS quota,
+    greatest(1, ceil(coalesce(budget, 0) / 1048576))::BIGINT AS blocks FROM totals t LEFT JOIN shared w ON t.source = w.source
 ), placed AS (
   SELECT c.*, tokens, quota, blocks, coalesce(sum(n_tokens) OVER (PARTITION BY c.source ORDER BY draw % 4096, draw, doc_id, n_tokens
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot

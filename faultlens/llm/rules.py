@@ -31,8 +31,9 @@ SYMBOLS = "#*$%&|<>"
 #: of distinct words, this doesn't change with a text's length.
 NEAR = 16
 #: Most labelled rows to learn from, thresholds tried for a statistic, conditions
-#: of a rule, rules of a list, and what a rule must reach on the pruning part.
-SAMPLE, CUTS, CONDITIONS, RULES, PRECISION, COVER = 20_000, 64, 4, 24, 0.9, 3
+#: of a rule, rules of a list, what a rule must reach on the pruning part, and rules
+#: in a row that may fail it.
+SAMPLE, CUTS, CONDITIONS, RULES, PRECISION, COVER, RETRIES = 20_000, 64, 4, 24, 0.9, 3, 3
 
 
 def _flags(chars) -> np.ndarray:
@@ -167,6 +168,7 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[list[Conditi
     (a column per name). Rows alternate between growing (two of three) and
     pruning; a rule counts if it is precise enough where it was not grown."""
     rules: list[list[Condition]] = []
+    tried = 0
     if not len(x) or not bad.any():
         return rules
     at = np.linspace(0, 1, CUTS + 1)
@@ -184,10 +186,12 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[list[Conditi
             return (p - n) / (p + n) if p + n else -1.0, p, n
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: worth(r)[0])
         _, p, n = worth(rule)
-        if p < COVER or p < PRECISION * (p + n):
+        if p >= COVER and p >= PRECISION * (p + n):
+            rules.append(rule)
+            tried = 0
+        elif (tried := tried + 1) > RETRIES:
             break
-        rules.append(rule)
-        left &= ~_holds(x, names, rule)
+        left &= ~_holds(x, names, rule)  # what an imprecise rule covers is set aside, and the covering goes on
     return rules
 
 
@@ -203,16 +207,24 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return out.otherwise(F.lit(0)) if rules else F.lit(0)
 
 
+def base_failed() -> Column:
+    """The fixed test before any rule: too few words, or mostly repeated ones."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
                 sample: int = SAMPLE) -> list[list[Condition]]:
     """Learn from at most ``sample`` labelled rows, those with the smallest
-    hashes of their ids; rows held out for tests, null ids and null labels are
-    never learnt from. Without labelled bad rows the list is empty."""
+    hashes of their ids; rows held out for tests, rows that the base test rejects
+    anyway, null ids and null labels are never learnt from. Without labelled bad rows the list is empty."""
     picked = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
               .groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.avg(label_col) < 0.5).alias("bad"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    # The picked side has at most ``sample`` rows of 16 bytes.
-    got = stats.join(F.broadcast(picked), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
+    # The picked side has at most ``sample`` rows of 16 bytes; of rows that share an
+    # id one is learnt from, whatever their number.
+    live = stats.where(~base_failed())
+    found = live.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*RATES, "bad")).alias("r"))
+    got = found.select("doc_id", "r.*").toArrow().sort_by([("doc_id", "ascending")])
     names = [c for c in RATES if c != "mean_word"]  # word lengths tell languages apart, not quality
     x = np.stack([got.column(c).to_numpy().astype(float) for c in names], 1) if len(got) else np.zeros((0, len(names)))
     return learn(x, got.column("bad").to_numpy().astype(bool), names)
@@ -224,6 +236,5 @@ def apply_rules(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     Every row gets a verdict: empty texts fail the base test; null and repeated
     ids are ordinary values; an empty table gives no rows.
     """
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.withColumn("rule", verdict(rules)).withColumn("base_failed", base).withColumn(
+    return stats.withColumn("rule", verdict(rules)).withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0))

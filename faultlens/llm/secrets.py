@@ -31,10 +31,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "identifier", "token", "endpoint"]
 
-#: Weak parts. A token needs three kinds of characters and some entropy.
-IDENTIFIER = re.compile(r"\b(?:client|account|tenant|app|user|access|key)[_-]?(?:id|name)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,64}", re.I | re.A)
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])", re.A)
-ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>|]{3,200}", re.I | re.A)
+#: Weak parts, of any length. A token needs three kinds of characters and some entropy.
+IDENTIFIER = re.compile(r"\b(?:client|account|tenant|app|user|access|key)[_-]?(?:id|name)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}+", re.I | re.A)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", re.A)
+ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>|]{3,}+", re.I | re.A)
 SCOPE, TOKEN_BITS = 200, 3.5
 
 _ROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([

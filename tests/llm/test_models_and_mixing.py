@@ -4,9 +4,11 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
-from faultlens.llm import fm
+from pyspark.sql import functions as F
+
+from faultlens.llm import fm, rules
 from faultlens.llm.embed_dedup import near_vectors, passes_for
-from faultlens.llm.mixing import mix_documents, mix_sources
+from faultlens.llm.mixing import largest_remainders, mix_documents, mix_sources
 from faultlens.llm.words import Powers
 
 
@@ -112,3 +114,29 @@ def test_mixture_edges(spark):
     mixed = mix_documents(df, whole=True)
     assert mixed.columns == df.columns and {(r.doc_id, r.source, r.block) for r in mixed.collect()} == {(d, s, "x") for d, _, s in rows}
     assert mix_sources(df.limit(0)).collect() == []
+
+
+def test_a_tiny_source_is_read_once_at_natural_weights(spark):
+    """Quotas are whole tokens that add up to the budget, so with natural weights
+    and a budget of all tokens every document is read exactly once."""
+    rows = [(k, "w " * 1500, f"big{k % 2}") for k in range(1800)] + [(9000, "one", "tiny"), (9001, "two words", "small")]
+    _, reads = mixture(spark, rows, target_entropy=None, max_repeats=None)
+    assert sorted(r.doc_id for r in reads) == sorted(r[0] for r in rows) and {r.copy for r in reads} == {0}
+
+
+def test_quotas_add_up_to_the_budget(spark):
+    df = spark.createDataFrame([("a", 333, 1000), ("b", 333, 1000), ("c", 334, 1000), ("d", 0, 1000)], "source string, weight long, budget long")
+    for budget in (0, 1, 7, 1000, 10 ** 13 + 1):
+        got = {r.source: r.quota for r in largest_remainders(df.withColumn("budget", F.lit(budget).cast("long"))).collect()}
+        assert sum(got.values()) == budget and all(abs(got[s] - budget * w / 1000) < 1 for s, w in (("a", 333), ("b", 333), ("c", 334), ("d", 0)))
+    assert {r.source: r.quota for r in largest_remainders(df.withColumn("budget", F.lit(2).cast("long"))).collect()} == {"a": 1, "b": 0, "c": 1, "d": 0}
+
+
+def test_a_repeated_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(k % 3, f"good words of number {j}" if k % 3 else f"BAD | # {j}", 20) for j in range(400) for k in range(3)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    machine = fm.train(docs, labels)
+    again = fm.train(docs.repartition(7), labels)
+    assert np.allclose(machine.linear, again.linear) and np.isfinite(machine.linear).all()
+    stats = rules.text_statistics(docs)
+    assert rules.learn_rules(stats, labels) == rules.learn_rules(rules.text_statistics(docs.repartition(5)), labels)
