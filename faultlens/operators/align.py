@@ -46,7 +46,8 @@ def pivot_metrics(long_df: DataFrame, metrics: Sequence[str], keys=("node", "ts"
 
 
 def outer_align(left: DataFrame, right: DataFrame, keys=("node", "ts")) -> DataFrame:
-    """Two-table full outer join on the time key (J1, public two-input variant)."""
+    """Two-table full outer join on the time key (J1, public two-input variant).
+    Keys without a value on the other side, NULL keys among them, keep their rows."""
     return left.join(right, on=list(keys), how="full_outer")
 
 

@@ -9,7 +9,6 @@ driver only reads the k means/covariances of the fitted mixture.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -109,8 +108,3 @@ def pca_node_means(table: DataFrame, cols: Sequence[str], *, node: str = "node",
         return F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x)
 
     return means.join(comps, node).select(node, *[dot(i).alias(f"pc{i + 1}") for i in range(k)])
-
-
-def run_config(spark, **params) -> DataFrame:
-    """One-row record of the run parameters, stored beside the results."""
-    return spark.createDataFrame([(json.dumps(params, sort_keys=True, default=str),)], "config string")

@@ -344,6 +344,13 @@ class Forests:
     votes: DataFrame
     classes: list[int]
     cols: list[str]
+    edges: list[list[float]]
+
+    def save(self, path: str) -> None:
+        """The trees, and beside them what rows need to walk down them."""
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        rule = self.nodes.sparkSession.createDataFrame([(self.classes, self.cols, self.edges)], "classes array<int>, cols array<string>, edges array<array<double>>")
+        rule.write.mode("overwrite").parquet(f"{path}/rule")
 
     def predictions(self) -> DataFrame:
         """``model, <key columns>, y, pred``: the class of the largest sum of shares,
@@ -390,8 +397,7 @@ def grow_forests(rows: DataFrame, cols: Sequence[str], *, model: Sequence[str],
     classes = classes or [0]  # no rows, and no results
     edges = bin_edges(rows, cols, key, bins, seed) if edges is None else edges
     rule = _Rule(seed, num_trees, len(cols), tried or max(1, isqrt(len(cols))), len(classes), bins, max_depth, min_rows, bootstrap)
-    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in model))
-    text = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))
+    name, text = _named(model), _named(key)
     number = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("int")) - 1
     given = rows.select(name.alias("model"), F.struct(*key).alias("id"), number.cast("int").alias("y"), F.col(test).alias("test"),
                         binned(cols, edges).alias("bins"), text.alias("_text"))
@@ -412,4 +418,44 @@ def grow_forests(rows: DataFrame, cols: Sequence[str], *, model: Sequence[str],
     for part in parts[1:]:
         grown = grown.unionByName(part)
     grown = _settled(grown)
-    return Forests(grown.where("id IS NULL").drop("id", "y"), grown.where("id IS NOT NULL").select("model", "counts", "id", "y"), classes, cols)
+    return Forests(grown.where("id IS NULL").drop("id", "y"), grown.where("id IS NOT NULL").select("model", "counts", "id", "y"),
+                   classes, cols, [list(e) for e in edges])
+
+
+def _named(columns: Sequence[str]) -> Column:
+    return F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+
+
+def judge_saved(path: str, rows: DataFrame, *, model: Sequence[str], key: Sequence[str] = ("node", "pos"), label: str = "label") -> DataFrame:
+    """The predictions of saved forests for ``rows``, each by the model that its
+    ``model`` columns name: ``model, <key columns>, y, pred``.
+
+    All rows walk down all trees of their models together, a level at a time; a
+    row keeps its bins and its place, and meets only the node it stands at. Rows
+    of unknown models, and of labels the forests never saw, are left out.
+    """
+    spark = rows.sparkSession
+    nodes = spark.read.parquet(f"{path}/nodes")
+    rule = spark.read.parquet(f"{path}/rule").first()  # classes, columns, edges
+    classes, cols, edges = list(rule["classes"]), list(rule["cols"]), [list(e) for e in rule["edges"]]
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("int")) - 1
+    given = rows.select(_named(model).alias("model"), F.struct(*key).alias("id"), number.cast("int").alias("y"), binned(cols, edges).alias("bins"))
+    roots = nodes.where("path = ''").groupBy("model").agg(F.collect_list("tree").alias("_trees"))
+    state = given.where("y >= 0").join(roots, "model").select("model", F.explode("_trees").alias("tree"), F.lit("").alias("path"), "id", "y", "bins")
+    votes, depth = [], 0
+    while True:
+        at = nodes.where(F.length("path") == depth).select(*_NODE, "feature", "cut", "counts")
+        state = _settled(_with_node(state, at))
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+        share = F.transform("counts", lambda c: F.floor(c * _VOTES / total).cast("long"))
+        votes.append(state.where("feature IS NULL").select("model", share.alias("counts"), "id", "y"))
+        state = state.where("feature IS NOT NULL")
+        if state.isEmpty():
+            break
+        low = F.get("bins", F.col("feature")) <= F.col("cut")
+        state = state.select("model", "tree", F.concat("path", F.when(low, "0").otherwise("1")).alias("path"), "id", "y", "bins")
+        depth += 1
+    all_votes = votes[0]
+    for v in votes[1:]:
+        all_votes = all_votes.unionByName(v)
+    return Forests(nodes, all_votes, classes, cols, edges).predictions()

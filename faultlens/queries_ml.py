@@ -345,6 +345,19 @@ register("l04_shallow_predictions", _shallow_twin(
     "FROM sizes, (VALUES (2), (4), (6)) s(k)) USING (node)", _PREDICTED))(l04_shallow_predictions)
 
 
+def l05_score_saved_forest(spark, sf_dir):
+    """Forests learnt on the first 60 % of every node, saved, loaded and scored on the rest."""
+    v = _vectors(spark, sf_dir)
+    grown = forest.same_node_forests(v, _VCOLS, **_SHALLOW)
+    path = _scratch(spark, "forests")
+    grown.save(path)
+    rest = sampling.positional_split(v).where("split = 'test'")
+    return keyed_forest.judge_saved(path, rest, model=["node"])
+
+
+register("l05_score_saved_forest", _shallow_twin(_SAME_NODE, _PREDICTED))(l05_score_saved_forest)
+
+
 def l07_shallow_predictions(spark, sf_dir):
     """Per node five contiguous folds, unbalanced, trees of depth two."""
     return forest.node_fold_forests(_vectors(spark, sf_dir), _VCOLS, balance=False, **_SHALLOW).predictions()
@@ -496,6 +509,43 @@ def l18_nearest_nodes(spark, sf_dir):
 register("l18_nearest_nodes")(l18_nearest_nodes)
 
 
+def s16_run_config(spark, sf_dir):
+    """The parameters of a run are written beside its results and read back: whether
+    halves were asked for, and which rows, decides what the next run computes."""
+    path = _scratch(spark, "run")
+    table = _node_points(spark, sf_dir)
+    sinks.write_run_config(spark, f"{path}/config", faults=[0, 1], apps=[20, 21, 22], columns=["click", "error", "view"], halves=True)
+    run = sinks.read_run_config(spark, f"{path}/config")
+    means = profile.filtered_half_means if run["halves"] else profile.filtered_node_means
+    sinks.write_table(means(table, run["columns"], faults=run["faults"], apps=run["apps"]), f"{path}/means")
+    return round_doubles(spark.read.parquet(f"{path}/means"))
+
+
+_IN_RUN = "fault IN (0, 1) AND app IN (20, 21, 22)"
+register("s16_run_config", with_views("node_table", extra=[
+    ("h", "  SELECT *, CASE WHEN pos <= floor(count(*) OVER (PARTITION BY node) / 2) THEN 1 ELSE 2 END AS half FROM node_table")]) +
+    "SELECT node, half, " + ", ".join(f"{qz(f'avg(CASE WHEN {_IN_RUN} THEN {c} END)')} AS {c}" for c in ("click", "error", "view")) +
+    ", node || '_' || half AS nodename FROM h GROUP BY node, half")(s16_run_config)
+
+
+def l08_top_n_refit(spark, sf_dir):
+    """The eight most important features of the first 60 % refitted, the rest scored."""
+    v = sampling.positional_split(_vectors(spark, sf_dir))
+    return round_doubles(selection.top_n_refit(v.where("split = 'train'"), v.where("split = 'test'"), _VCOLS, 8))
+
+
+register("l08_top_n_refit")(l08_top_n_refit)
+
+
+def l16_pca_clustering(spark, sf_dir):
+    """The clustering job on components: node-local PCA, mixture, outliers, prototypes."""
+    res = clustering.clustering_job(_node_points(spark, sf_dir), tv.EVENT_METRICS, k=3, faults=[0, 1, 2, 3], apps=None, method="pca", threshold=2.0)
+    return round_doubles(res["clustered"])
+
+
+register("l16_pca_clustering")(l16_pca_clustering)
+
+
 _DTW_START, _DTW_LENGTH = 100, 24
 _DTW_METRICS = ["l_quantity", "l_tax"]
 
@@ -533,6 +583,17 @@ def _dtw_twin():
 register("l18_nearest_to_means", _dtw_twin())(l18_nearest_to_means)
 
 
+def j08_candidate_rows(spark, sf_dir):
+    """The rows of the suppliers that ``l18_nearest_to_means`` finds, by name."""
+    found = l18_nearest_to_means(spark, sf_dir).select("node", "centroid")
+    rows = tv.windows_big(spark, sf_dir).join(F.broadcast(found), "node")  # one row per centroid
+    return round_doubles(rows.groupBy("centroid", "node").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("l_quantity").alias("quantity")))
+
+
+register("j08_candidate_rows", _dtw_twin().rsplit("SELECT g::INT", 1)[0] + f"""SELECT g::INT AS centroid, w.node, count(*) AS n_rows, {qz('avg(l_quantity)')} AS quantity
+FROM ends JOIN windows_big w ON w.node = ends.node WHERE r = 1 GROUP BY g, w.node""")(j08_candidate_rows)
+
+
 def f10_mahalanobis(spark, sf_dir):
     """Distance of every node to its cluster (node number by 4) over mean and
     spread of its readings, the 2 x 2 covariance inverted in closed form."""

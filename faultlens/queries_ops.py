@@ -1062,3 +1062,34 @@ def _nearest_sql(m):
 
 register("w16_fill_nearest", with_views("ns_pos") + "SELECT node, pos, {1}, {3} FROM (SELECT node, pos, {0}, {2} FROM ns_pos)".format(
     *_nearest_sql("click"), *_nearest_sql("view")))(w16_fill_nearest)
+
+
+# J1 for two tables, J7 -----------------------------------------------------------------
+def j01_outer_align(spark, sf_dir):
+    """Two sensors' seconds of every node side by side, holes on either side."""
+    from faultlens.operators import align
+
+    r = tv.readings(spark, sf_dir).withColumn("ts", F.date_trunc("second", "ts"))
+    one = lambda m: r.where(F.col("metric") == m).groupBy("node", "ts").agg(F.avg("value").alias(m))
+    both = align.outer_align(one("click"), one("view"))
+    return round_doubles(both.select("node", fx.epoch_micros("ts").alias("micros"), "click", "view"))
+
+
+register("j01_outer_align", with_views("readings", extra=[
+    (m, f"  SELECT node, date_trunc('second', ts) AS ts, avg(value) AS {m} FROM readings WHERE metric = '{m}' GROUP BY 1, 2") for m in ("click", "view")]) +
+    f"""SELECT coalesce(c.node, v.node) AS node, epoch_us(coalesce(c.ts, v.ts)) AS micros, {qz('click')} AS click, {qz('view')} AS view
+FROM click c FULL OUTER JOIN view v ON c.node = v.node AND c.ts = v.ts""")(j01_outer_align)
+
+
+def j07_labels_after_scaling(spark, sf_dir):
+    """Labels stay beside the rows that a transform changes: the mean scaled value per label."""
+    from faultlens.operators import features
+
+    z = features.zscore_scale(tv.windows_big(spark, sf_dir), ["l_quantity", "l_discount"])
+    return round_doubles(z.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount")))
+
+
+register("j07_labels_after_scaling", with_views("windows_big", extra=[
+    ("z", "  SELECT node, label, " + ", ".join(f"coalesce(({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER w, 0), 0) AS {c}" for c in ("l_quantity", "l_discount")) +
+     " FROM windows_big WINDOW w AS (PARTITION BY node)")]) +
+    f"SELECT node, label, count(*) AS n, {qz('avg(l_quantity)')} AS quantity, {qz('avg(l_discount)')} AS discount FROM z GROUP BY node, label")(j07_labels_after_scaling)

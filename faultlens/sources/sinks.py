@@ -7,7 +7,9 @@ append mode adds one run at a time, partitioned by metric.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +37,12 @@ def with_run_tags(scores: DataFrame, num_train: int, num_iter: int | None = None
     return out
 
 
-def write_run_config(config: DataFrame, path: str) -> None:
-    """The one-row run configuration next to the results."""
-    config.coalesce(1).write.mode("overwrite").json(path)
+def write_run_config(spark: SparkSession, path: str, **params) -> None:
+    """The parameters of a run as one JSON row next to its results."""
+    row = spark.createDataFrame([(json.dumps(params, sort_keys=True, default=str),)], "config string")
+    row.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_run_config(spark: SparkSession, path: str) -> dict:
+    """The parameters that ``write_run_config`` left; one row."""
+    return json.loads(spark.read.text(path).first()["value"])

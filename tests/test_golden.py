@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultlens.operators import profile
 from faultlens.sources.featurelist import FeatureReader, feature_table
 
+# Fixed values of the studied tests: the toy series, its labels and the expected sums.
 FOO = [1, 2, 4, 8, 10, 16, 32, 64]
 FAULT = [0, 0, 0, 1, 0, 1, 2, 3]
 APP = [20, 20, 21, 20, 21, 21, 20, 24]
@@ -51,6 +52,7 @@ def test_smoothing_mean_keeps_empty_nodes(toy):
     assert got["N1"] == 1.5 and got["N2"] is None
 
 
+# Fixed values of the studied tests: list file texts, sections of it and error messages.
 def _write(text):
     d = tempfile.mkdtemp(prefix="fl-")
     p = os.path.join(d, "list.txt")

@@ -113,3 +113,11 @@ def test_without_repeated_test_rows_each_is_judged_once(planted):
     assert f.predictions().groupBy("node", "pos").count().where("count > 1").count() == 0
     kept = forest.node_fold_forests(planted, COLS, k=3, num_trees=3, balance=False).predictions()
     assert kept.count() == planted.count()
+
+
+def test_saved_forests_judge_like_grown_ones(planted, tmp_path):
+    f = keyed_forest.grow_forests(planted, COLS, model=["node"], num_trees=3, max_depth=3)
+    f.save(str(tmp_path / "f"))
+    rows = planted.where("test").withColumns({"counts": F.lit(0), "tree": F.lit("x")})
+    again = keyed_forest.judge_saved(str(tmp_path / "f"), rows.union(rows.withColumn("node", F.lit("unknown")).limit(3)), model=["node"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, f.predictions().collect()))
