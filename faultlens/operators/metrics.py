@@ -128,3 +128,20 @@ def wide_scores(long_scores: DataFrame, group: Sequence[str], classes: Sequence[
     return long_scores.groupBy(*group, "metric").pivot("cls", ["overall", *classes]).agg(F.first("score"))
 
 
+
+
+# X3 ------------------------------------------------------------------------------
+def label_scorers(labels: Sequence[int], group: Sequence[str] = ("node",), metric: str = "f1", zero_division: float = 0.0):
+    """A scorer per label and one for all of them: name -> function of a table of
+    ``y, pred`` that gives ``(group..., score)``. Names are the labels as text and
+    ``weighted`` (by true support, over all true classes). A label that a group
+    never has scores its undefined value."""
+    wanted = [str(x) for x in dict.fromkeys(labels)]
+
+    def scorer(cls: str):
+        def score(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+            found = scores(df, group, y, pred, [metric], zero_division, None if cls == "overall" else [int(cls)])
+            return found.where(F.col("cls") == cls).select(*group, "score")
+        return score
+
+    return {**{name: scorer(name) for name in wanted}, "weighted": scorer("overall")}

@@ -323,8 +323,7 @@ FROM (SELECT *, CASE WHEN click IS NULL THEN fault END AS f FROM ns_pos)""")(w15
 
 
 def w17_fill_backward(spark, sf_dir):
-    from faultlens.operators.positions import add_positions
-    ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts")
+    ns = tv.positioned_seconds(spark, sf_dir)
     out = align.fill_backward(ns, tv.EVENT_METRICS, chunk_rows=7)
     return round_doubles(out.select("node", "pos", *tv.EVENT_METRICS))
 

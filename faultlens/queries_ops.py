@@ -503,7 +503,7 @@ register("f06_nan_inf_replace", with_views("windows_big") +
 
 def f07_minmax_scaling(spark, sf_dir):
     from faultlens.operators.features import minmax_scale
-    ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts")  # with its holes
+    ns = tv.positioned_seconds(spark, sf_dir)  # with its holes
     t = minmax_scale(ns, tv.EVENT_METRICS, part=("node",))
     return round_doubles(t.select("node", "pos", *tv.EVENT_METRICS, "fault"))
 
@@ -1017,7 +1017,7 @@ FROM u WINDOW w AS (PARTITION BY node)""")(f08_unnamed_node)
 def w16_fill_cubic(spark, sf_dir):
     from faultlens.operators import align
 
-    ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts").select("node", "pos", "click", "view")
+    ns = tv.positioned_seconds(spark, sf_dir).select("node", "pos", "click", "view")
     return round_doubles(align.interpolate(ns, ["click", "view"], "spline", order=3))
 
 
@@ -1049,7 +1049,7 @@ register("w16_fill_cubic", with_views("ns_pos", extra=_spline_ctes("click") + _s
 def w16_fill_nearest(spark, sf_dir):
     from faultlens.operators import align
 
-    ns = add_positions(tv.node_seconds(spark, sf_dir), "node", "ts").select("node", "pos", "click", "view")
+    ns = tv.positioned_seconds(spark, sf_dir).select("node", "pos", "click", "view")
     return round_doubles(align.interpolate(ns, ["click", "view"], "nearest"))
 
 
@@ -1093,3 +1093,40 @@ register("j07_labels_after_scaling", with_views("windows_big", extra=[
     ("z", "  SELECT node, label, " + ", ".join(f"coalesce(({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER w, 0), 0) AS {c}" for c in ("l_quantity", "l_discount")) +
      " FROM windows_big WINDOW w AS (PARTITION BY node)")]) +
     f"SELECT node, label, count(*) AS n, {qz('avg(l_quantity)')} AS quantity, {qz('avg(l_discount)')} AS discount FROM z GROUP BY node, label")(j07_labels_after_scaling)
+
+
+# X3, X5 ------------------------------------------------------------------------------
+def x03_label_scorers(spark, sf_dir):
+    """F1 of two labels and of all, each by its own scorer."""
+    p = tv.predictions(spark, sf_dir)
+    tables = [score(p).withColumn("scorer", F.lit(name)) for name, score in metrics.label_scorers([1, 4]).items()]
+    return round_doubles(tables[0].unionByName(tables[1]).unionByName(tables[2]).select("node", "scorer", "score"))
+
+
+register("x03_label_scorers", with_views("predictions", extra=conf_ctes("predictions", "node") + scores_ctes("node", ["f1"])) + f"""
+SELECT n.node, k.scorer, {qz('coalesce(s.score, 0)')} AS score FROM (SELECT DISTINCT node FROM predictions) n, (VALUES ('1', '1'), ('4', '4'), ('weighted', 'overall')) k(scorer, cls)
+LEFT JOIN scores s ON s.node = n.node AND s.cls::VARCHAR = k.cls AND s.metric = 'f1'""")(x03_label_scorers)
+
+_COLLECTIONS = {"healthy": {"faults": [0]}, "late": {"faults": [2, 3], "apps": [21, 23]}, "all": {}}
+
+
+def x05_run_collections(spark, sf_dir):
+    """Three collections of readings, mean and spread per collection and node."""
+    from faultlens.operators import runs_of
+
+    return round_doubles(runs_of.gather(tv.readings(spark, sf_dir), _COLLECTIONS).mean_std("value"))
+
+
+def x05_collection_boxes(spark, sf_dir):
+    from faultlens.operators import runs_of
+
+    return round_doubles(runs_of.gather(tv.readings(spark, sf_dir), _COLLECTIONS).box("value"))
+
+
+_GATHERED = [("gathered", "  SELECT r.*, c AS collection FROM readings r, (VALUES ('healthy'), ('late'), ('all')) v(c) "
+              "WHERE c = 'all' OR c = 'healthy' AND fault = 0 OR c = 'late' AND fault IN (2, 3) AND app IN (21, 23)")]
+register("x05_run_collections", with_views("readings", extra=_GATHERED) +
+         f"SELECT collection, node, {qz('avg(value)')} AS mean, {qz('stddev_samp(value)')} AS std FROM gathered GROUP BY collection, node")(x05_run_collections)
+register("x05_collection_boxes", with_views("readings", extra=_GATHERED + [("keyed", "  SELECT collection || '/' || node AS g, value FROM gathered")]) + ",\n" +
+         box_sql("keyed", "g", "value").replace("SELECT g, ", "SELECT split_part(g, '/', 1) AS collection, split_part(g, '/', 2) AS node, ", 2).replace(
+             "SELECT split_part(g, '/', 1) AS collection, split_part(g, '/', 2) AS node, quantile_cont", "SELECT g, quantile_cont"))(x05_collection_boxes)

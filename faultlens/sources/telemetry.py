@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from faultlens.operators import align
 from faultlens.operators.positions import add_positions
+from faultlens.session import ensure_checkpoint_dir
 from faultlens.sources.tables import table
 
 # The five event types act as metrics, in this order (their codes 0..4).
@@ -77,10 +78,19 @@ def node_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            F.max("app").alias("app")])
 
 
+def positioned_seconds(spark: SparkSession, sf_dir: str, pos_method: str = "range") -> DataFrame:
+    """``node_seconds`` with ``pos``, holes and all, written to the shared folder: sizes,
+    positions and the fills that follow read it several times, and the aggregation
+    that makes it runs once."""
+    ensure_checkpoint_dir(spark)
+    ns = node_seconds(spark, sf_dir).checkpoint()
+    return add_positions(ns, "node", "ts", method=pos_method).checkpoint()
+
+
 def node_table(spark: SparkSession, sf_dir: str, pos_method: str = "range") -> DataFrame:
     """``node_seconds`` with ``pos``, labels forward/backward filled (W15) and
     metrics interpolated by position then backward filled (W16, W17)."""
-    ns = add_positions(node_seconds(spark, sf_dir), "node", "ts", method=pos_method)
+    ns = positioned_seconds(spark, sf_dir, pos_method)
     return align.fill_table(ns, steps=["fault", "app"], lines=EVENT_METRICS)
 
 

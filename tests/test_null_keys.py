@@ -92,3 +92,26 @@ def test_ranks_and_totals_without_one_task(spark):
     before = np.concatenate([[0], np.cumsum(np.arange(5000) % 7)])
     assert all(before[r.k] == r.t for r in running_totals(df, ["k"], "n", "t").collect())
     assert ranked(df.limit(0), ["k"]).collect() == []
+
+
+def test_collections_of_runs(spark):
+    from faultlens.operators import runs_of
+
+    rows = [("a", 0, 20, 1.0), ("a", 0, 21, 3.0), ("a", None, 20, 9.0), ("b", 1, 20, 5.0), (None, 0, None, 7.0)]
+    df = spark.createDataFrame(rows, "node string, fault int, app int, value double").withColumn("collection", F.lit("old"))
+    runs = runs_of.gather(df, {"healthy": {"faults": [0]}, "kripke a": {"apps": [20], "nodes": ["a"]}, "every": {}, "none": {"faults": [7]}},
+                          extend=lambda t: t.withColumn("twice", F.col("value") * 2))
+    assert {(r.collection, r.node, r.n) for r in runs.nodes().collect()} == {
+        ("healthy", "a", 2), ("healthy", None, 1), ("kripke a", "a", 2), ("every", "a", 3), ("every", "b", 1), ("every", None, 1)}
+    assert {(r.collection, r.node): r.mean for r in runs.mean_std("twice").collect()}["kripke a", "a"] == 10.0
+    assert {(r.collection, r.node): r.median for r in runs.box("value").collect()}["every", "a"] == 3.0
+    with pytest.raises(ValueError):
+        runs_of.gather(df, {"x": {"fault": [0]}})
+
+
+def test_a_scorer_per_label(spark):
+    df = spark.createDataFrame([("a", 0, 0), ("a", 1, 0), ("a", 1, 1), ("b", 0, 0)], "node string, y int, pred int")
+    scorers = metrics.label_scorers([0, 1, 1], zero_division=1.0)
+    assert list(scorers) == ["0", "1", "weighted"]
+    got = {name: {r.node: round(r.score, 4) for r in score(df).collect()} for name, score in scorers.items()}
+    assert got == {"0": {"a": 0.6667, "b": 1.0}, "1": {"a": 0.6667, "b": 1.0}, "weighted": {"a": 0.6667, "b": 1.0}}
