@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultlens.llm.graph import components, cut
+from faultlens.operators.positions import ranked
 
 BITS, CHUNK, MISS, SEED = 32, 256, 1e-5, 20240
 
@@ -34,7 +35,9 @@ _CHUNK_FIELDS = "pass int, part int, local int, place int, label int, size int,
 def passes_for(n_label: int, threshold: float) -> int:
     """Passes that miss a pair at ``threshold`` among ``n_label`` vectors with a
     chance of at most ``MISS``: the two have to agree on the leading bits that
-    cut the label down to a window."""
+    cut the label down to a window. That holds for vectors that point everywhere;
+    where a label's vectors share a direction, or more than 256 passes would be
+    needed, pairs right at the threshold are missed more often."""
     bits = max(0.0, np.log2(max(1, n_label) / CHUNK)) + 1
     hit = (1 - np.arccos(threshold) / np.pi) ** bits
     return int(min(256, max(4, np.ceil(np.log(MISS) / np.log1p(-min(hit, 0.95))))))
@@ -185,7 +188,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         lambda it: _neighbours(it, threshold, dtype), _LINKS))
     # Runs of chunks that a group fills: the gaps between full chunks number them.
     full = near.where("y = x + 1 AND share >= 0.5").select("y")
-    runs = full.select("y", (F.col("y") - F.row_number().over(W.orderBy("y"))).alias("run")).groupBy("run").agg(
+    runs = ranked(full, ["y"], "r").select("y", (F.col("y") - F.col("r")).alias("run")).groupBy("run").agg(
         F.min("y").alias("first"), F.max("y").alias("last"))
     spans = runs.select(F.explode(F.sequence(F.col("first") - 1, "last")).alias("x"), "last").select(
         "x", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("last") + 1 - F.col("x")))).alias("step"), "last").where(
@@ -199,9 +202,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         found = found.unionByName(spans.join(x, "x").join(y, "y").where(same).select("x", "y", "size", "i", "u", "j", "v").mapInArrow(
             lambda it: _pairs(it, threshold, dtype), _LINKS).select(pair))
     links = cut(found.select("p.a", "p.b").distinct())
-    many = classes.select("rep", "many")
+    copied = classes.where("many > 1").select(F.col("rep").alias("b"), (F.col("many") - 1).alias("more"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    direct = ends.join(many.select(F.col("rep").alias("b"), "many"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("others"))
+    # A hub's links are counted before any shuffle; only links to copied vectors meet these.
+    direct = ends.select("a", F.lit(1).cast("long").alias("n")).unionByName(ends.join(copied, "b").select("a", F.col("more").alias("n"))).groupBy(
+        F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     roots = components(links).withColumnRenamed("node", "rep")
     judged = classes.join(direct, "rep", "left").join(roots, "rep", "left").select(
         "label", "e", (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))

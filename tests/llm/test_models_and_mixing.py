@@ -140,3 +140,22 @@ def test_a_repeated_id_is_learnt_from_once(spark):
     assert np.allclose(machine.linear, again.linear) and np.isfinite(machine.linear).all()
     stats = rules.text_statistics(docs)
     assert rules.learn_rules(stats, labels) == rules.learn_rules(rules.text_statistics(docs.repartition(5)), labels)
+
+
+def test_vectors_that_share_a_direction_are_nearly_all_found(spark):
+    """Passes are meant for vectors that point everywhere; with a mean cosine near
+    0.8 almost all links are found still."""
+    rng = np.random.default_rng(6)
+    n, d = 3000, 32
+    x = rng.normal(size=(n, d)) * 0.5 + rng.normal(size=d) * 0.95
+    x[n // 2:] = x[:n // 2] + rng.normal(size=(n // 2, d)) * 0.28
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, 0)
+    want = (c >= 0.93).sum(1)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = np.zeros(n)
+    for r in near_vectors(df).collect():
+        got[r.vec_id] = r.n_links
+    assert (u @ u.mean(0)).mean() > 0.7 and want.sum() > 1000
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()

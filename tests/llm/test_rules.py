@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -49,13 +50,15 @@ def test_list_is_an_ordered_conditional(spark):
 
 
 def test_verdicts_on_corpus_and_edges(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     learnt = rules.learn_rules(rules.text_statistics(docs), labels)
     judged = rules.apply_rules(rules.text_statistics(docs), learnt).join(labels, "doc_id").collect()
     assert len(learnt) >= 1
-    fair = [r for r in judged if not r.base_failed]
-    assert sum((r.rule == 0) == (r.quality == 1) for r in fair) / len(fair) > 0.9
+    # Rows whose labels were not learnt from and that the rules alone decide: one
+    # threshold tells these apart so well that no conjunction helps.
+    fair = [r for r in judged if not r.base_failed and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(fair) > 1000 and sum((r.rule == 0) == (r.quality == 1) for r in fair) / len(fair) > 0.99
     odd = spark.createDataFrame([(None, None, "x"), (1, "", "x"), (1, "w " * 60, "x")], "doc_id long, text string, n_words string")
     got = rules.apply_rules(rules.text_statistics(odd), learnt).select("doc_id", "n_words", "base_failed").collect()
     assert [tuple(r) for r in got] == [(None, 0, True), (1, 0, True), (1, 60, True)]
