@@ -97,3 +97,12 @@ def test_node_series_in_blocks(spark, monkeypatch):
     s = dtw.node_series(df, ["x"], start=3, length=18, scale=False).orderBy("block").collect()
     assert [len(r.series) for r in s] == [4, 4, 4, 4, 2]
     assert np.allclose([v[0] for r in s for v in r.series], np.sin(np.arange(2, 20)))
+
+
+def test_tables_walked_together_give_each_path_alone():
+    rng = np.random.default_rng(4)
+    for n, longest in ((30, 50), (1, 4), (6, 1), (5, 9)):
+        c = rng.normal(size=(n, 2)).round()  # many ties
+        series = [rng.normal(size=(int(rng.integers(1, longest + 1)), 2)).round() for _ in range(20)]
+        for x, path in zip(series, dtw._table_paths(c, series)):
+            assert [tuple(p) for p in path.tolist()] == dtw._table_path(c, x)
