@@ -125,3 +125,15 @@ def test_positions_are_dense(big):
                       method="range", max_group_rows=50)
     chk = p.groupBy("node").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count(F.lit(1)).alias("n"))
     assert chk.where((F.col("a") != 1) | (F.col("b") != F.col("n"))).count() == 0
+
+
+def test_node_tables_are_one_file_each(spark, tmp_path, monkeypatch):
+    from faultlens import queries_ml
+
+    path = str(tmp_path / "nodes")
+    monkeypatch.setattr(queries_ml, "_scratch", lambda spark, name: path)
+    rows = spark.range(4000).selectExpr("concat('N', id % 20) AS node", "id AS ts", "double(id) AS click").repartition(6)
+    monkeypatch.setattr(queries_ml.tv, "node_seconds", lambda spark, sf_dir: rows)
+    got = {r.node: r.n for r in queries_ml.s07_node_tables_roundtrip(spark, "").collect()}
+    assert got == {f"N{i}": 200 for i in range(20)}
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "nodes").glob("node=*"))
