@@ -122,3 +122,36 @@ def test_cost_of_a_row_does_not_grow_with_the_window():
         c.mean(), c.std(), c.percentiles(list(PERCENTILES.values())), moving.mode_labels(np.floor(x), at)
         took[w] = time.process_time() - t
     assert took[3600] < 3 * took[150] + 0.5
+
+
+def test_rounding_in_the_engine_is_that_of_the_expression(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=300) * 100
+    a[:40] = np.arange(40) / 8 - 2.49995  # on and beside half-way values
+    a[100], a[101], a[200] = 1e300, -1e300, -0.0
+    rows = [(i % 3, i // 3 + 1, None if i % 11 == 0 else float(x), float(i % 7)) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "node int, pos long, a double, b double")
+    plain = features.window_features(df, ["a", "b"], w=5, corr=True)
+    names = [c for c in plain.columns if c not in ("node", "pos", "window_id")]
+    want = sorted(plain.withColumns({c: features.quantize(F.col(c), 4) for c in names}).collect(), key=lambda r: (r.node, r.pos))
+    got = features.window_features(df, ["a", "b"], w=5, corr=True, digits=4)
+    assert sorted(got.collect(), key=lambda r: (r.node, r.pos)) == want
+    native = features.window_features(df.where("abs(a) < 1e6 OR a IS NULL"), ["a", "b"], w=5, corr=True, digits=4, engine="native")
+    plain = features.window_features(df.where("abs(a) < 1e6 OR a IS NULL"), ["a", "b"], w=5, corr=True, engine="native")
+    want = sorted(plain.withColumns({c: features.quantize(F.col(c), 4) for c in names}).collect(), key=lambda r: (r.node, r.pos))
+    assert sorted(native.collect(), key=lambda r: (r.node, r.pos)) == want
+
+
+@pytest.mark.parametrize("name", ["w11_feature_vectors_big"])
+def test_window_tasks_stay_apart_and_rounding_is_theirs(spark, tmp_path, name):
+    from faultlens.queries import QUERIES
+
+    rows = spark.range(600).selectExpr(
+        "id % 4 AS l_suppkey", "id AS l_orderkey", "id AS l_partkey", "CAST(id % 5 + 1 AS int) AS l_linenumber", "timestamp_seconds(id) AS l_shipdate",
+        *(f"CAST(id * 7 % {k} AS double) / 3 AS {c}" for k, c in ((50, "l_quantity"), (97, "l_extendedprice"), (11, "l_discount"), (9, "l_tax"))))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = QUERIES[name](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "floor" not in plan[:plan.index("MapInArrow")].lower()
+    assert made.count() == 4 * (150 - 59)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few kB, and not put together
