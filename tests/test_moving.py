@@ -142,7 +142,7 @@ def test_rounding_in_the_engine_is_that_of_the_expression(spark):
     assert sorted(native.collect(), key=lambda r: (r.node, r.pos)) == want
 
 
-@pytest.mark.parametrize("name", ["w11_feature_vectors_big"])
+@pytest.mark.parametrize("name", ["w11_feature_vectors_big", "w11_feature_vectors_big_pandas"])
 def test_window_tasks_stay_apart_and_rounding_is_theirs(spark, tmp_path, name):
     from faultlens.queries import QUERIES
 
