@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultlens.plans import forest, selection
+from faultlens.operators import features
+from faultlens.plans import forest, keyed_forest, selection
+from faultlens.queries import QUERIES, round_doubles
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +96,38 @@ def test_leaves_of_a_few_rows_split_as_counted_ones():
 def test_training_rows_need_labels(planted):
     with pytest.raises(Exception, match="Labels MUST NOT be Null"):
         forest.fit(planted.withColumn("label", F.when(F.col("pos") > 3, F.col("label"))), COLS, **SMALL)
+
+
+@pytest.mark.parametrize("shipped", [keyed_forest.SHIPPED_NODES, 0])
+def test_vectors_of_test_nodes_are_judged_before_rows_are_dealt(planted, monkeypatch, shipped):
+    """Balancing sorts rows by class; judged rows are keys and classes by then, as long
+    as the forest goes to the tasks. The scores are those of vectors balanced first."""
+    monkeypatch.setattr(keyed_forest, "SHIPPED_NODES", shipped)
+    some = planted.where("NOT (label = 0 AND pos % 3 = 0)")
+    tr = planted.sparkSession.createDataFrame([("N0",)], "node string")
+    test = forest.sampling.undersample(some.where("node <> 'N0'"), group=["node"])
+    model = forest.fit(forest.sampling.undersample(some.where("node = 'N0'"), group=["node"]), COLS, **SMALL)
+    want = forest.metrics.scores(forest.predict(model, test, COLS), ["node"])
+    seen, plain = [], forest.sampling.undersample
+    monkeypatch.setattr(forest.sampling, "undersample", lambda df, *a, **kw: seen.append(df.columns) or plain(df, *a, **kw))
+    got = forest.train_test_nodes(some, COLS, tr, **SMALL)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and {r.node for r in got.collect()} == {"N1", "N2"}
+    assert len(seen) == 2 and "f0" in seen[0] and ("f0" in seen[1]) == (not shipped)
+
+
+def test_windows_to_forest_is_the_forest_of_all_windows(spark, tmp_path):
+    """The query parts the nodes before it makes vectors; the scores are those of parting the vectors."""
+    rows = spark.range(8 * 60).selectExpr(
+        "id AS event_id", "CAST(timestamp_seconds(1704067200 + id * 3) AS timestamp_ntz) AS ts", "IF(id % 8 = 7 AND id > 64, NULL, id % 8) AS user_id",
+        "element_at(array('click', 'error', 'purchase', 'signup', 'view'), CAST(id * 7 % 5 + 1 AS int)) AS event_type",
+        "CAST(id * 37 % 101 AS double) AS value", """concat('{"k": ', id DIV 48, '}') AS props""")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    from faultlens.functions.scalar import node_number
+    from faultlens.sources import telemetry as tv
+    w = features.window_features(tv.node_table(spark, str(tmp_path)), tv.EVENT_METRICS, w=10, label="fault").cache()
+    cols = [c for c in w.columns if c not in ("node", "pos", "window_id", "label")]
+    nodes = w.select("node", node_number("node").alias("node_no")).distinct()
+    tr = forest.sampling.random_designs(nodes, seed=42, iterations=1, sizes=[3]).where("role = 'train'")
+    want = round_doubles(forest.train_test_nodes(w, cols, tr)).collect()
+    got = QUERIES["r1_windows_to_forest"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 100 and None in {r.node for r in got}
